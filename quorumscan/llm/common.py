@@ -51,6 +51,29 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the broadcast bitmap of ``mark_members``: 2**24 bits are 2 MB at most.
+FILTER_BITS = 1 << 24
+#: Bits that one row of the bitmap holds; a fixed value of Spark's bitmap functions.
+BUCKET_BITS = 32768
+
+
+def mark_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """``rows`` with a boolean ``_member``: true wherever ``key`` is in ``members``.
+
+    A bitmap of fixed size is broadcast, so nothing is shuffled.  It is true for few other
+    rows while the bitmap is not full, and for more as it fills; never false for a member.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", (bit / BUCKET_BITS).cast("int")).withColumn("_at", (bit % BUCKET_BITS).cast("int"))
+
+    bitmap = placed(members.select(key)).groupBy("_bucket").agg(F.bitmap_construct_agg(F.col("_at").cast("long")).alias("_bits"))
+    is_set = "(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, _at % 8)) != 0"
+    asked = placed(rows).join(F.broadcast(bitmap), "_bucket", "left")
+    return asked.withColumn("_member", F.coalesce(F.expr(is_set), F.lit(False))).drop("_bucket", "_at", "_bits")
+
+
 def text_of(text: str | Column) -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -22,12 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import pick, scratch_path, written
+from quorumscan.llm.common import mark_members, pick, scratch_path, written
 
-#: Bits of the broadcast bitmap of hit digests: 2**24 bits are 2 MB at most.
-FILTER_BITS = 1 << 24
-#: Bits that one row of the bitmap holds; a fixed value of Spark's bitmap functions.
-BUCKET_BITS = 32768
 RUN = "digest binary, sha binary, id long"
 MERGED = "digest binary, least_id long, largest_id long, n long"
 
@@ -63,18 +59,6 @@ class DigestIndex:
         return self.spark.read.schema(MERGED).parquet(f"{self.path}/merged/level={self.levels}")
 
 
-def maybe_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
-    """Rows whose digest may be among ``hits``: all that are, and few others while the bitmap is not full."""
-    bit = F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS))
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_bucket", (bit / BUCKET_BITS).cast("int")).withColumn("_at", (bit % BUCKET_BITS).cast("int"))
-
-    bitmap = placed(hits).groupBy("_bucket").agg(F.bitmap_construct_agg(F.col("_at").cast("long")).alias("_bits"))
-    is_set = "(cast(conv(hex(substring(_bits, cast(_at div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, _at % 8)) != 0"
-    return placed(rows).join(F.broadcast(bitmap), "_bucket").filter(is_set).drop("_bucket", "_at", "_bits")
-
-
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "least", digest_bytes: int = 16) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -93,7 +77,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = index.compact().filter("n > 1").select("digest", F.col(f"{keep}_id").alias("keep_id"), F.col("n").alias("group_size"))
 
     # The bytes of all texts of a digest are the same if the smallest is the largest.
-    texts = maybe_hits(rows.select("digest", "text"), hits.select("digest"))
+    texts = mark_members(rows.select("digest", "text"), hits, "digest").filter("_member")
     spread = texts.groupBy("digest").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
     collided = written(spread.filter("lo != hi").select("digest"), "collided")
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumscan.llm import bpe, exact, packing, token_counts
+from quorumscan.llm import bpe, exact, packing, simhash, substring, token_counts
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -29,7 +33,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_packing, op5_bpe, op7_exact_dedup, op8_token_counts)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.drop_repeats(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op4_packing, op5_bpe, op7_exact_dedup, op8_token_counts, op9_substring_dedup)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
@@ -41,4 +49,26 @@ ORACLES: dict[str, str] = {
         FROM documents
         WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), starts AS (
+            SELECT doc_id, unnest(range(1, len(w) - 18)) AS s FROM words
+        ), windows AS (
+            SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS win FROM starts JOIN words USING (doc_id)
+        ), later AS (
+            SELECT doc_id, s FROM (
+                SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM windows
+            ) WHERE k > 1
+        ), covered AS (
+            SELECT DISTINCT doc_id, s + o AS i FROM later, range(0, 20) AS r(o)
+        ), per_doc AS (
+            SELECT doc_id, list(i) AS gone FROM covered GROUP BY doc_id
+        )
+        SELECT doc_id,
+               CAST(len(w) AS BIGINT) AS n_words,
+               CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+               sha256(array_to_string([x FOR x, i IN w IF gone IS NULL OR NOT list_contains(gone, i)], ' ')) AS kept_sha256
+        FROM words LEFT JOIN per_doc USING (doc_id)
+    """,
 }
