@@ -9,6 +9,7 @@ library only once per worker.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import public_tokenizers
@@ -20,6 +21,7 @@ from quorumscan.llm.common import groups_of
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
 
 WORD_BPE = "word_bpe_49k.json"
+SEPARATOR = b"|"
 
 
 def tokenizer_path(path: str | None, default: str = WORD_BPE) -> str:
@@ -38,6 +40,7 @@ class WordMemo:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        (self.separator,) = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
         self.value, self.keep, self.memo, self.old = value, keep, {}, {}
 
     def learn(self, words: Iterable[bytes]) -> None:
@@ -52,10 +55,26 @@ class WordMemo:
                 listed.append(w)
             else:
                 memo[w] = known
-        for at in range(0, len(listed), 4096):
-            part = listed[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                memo[w] = self.value(e.ids)
+        for w, ids in self._encoded(listed):
+            memo[w] = self.value(ids)
+
+    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """Ids of distinct words.  Many are encoded as one text, with a word of one id of its own between them."""
+        alone = [w for w in words if SEPARATOR in w]
+        joined = [w for w in words if SEPARATOR not in w]
+        for at in range(0, len(alone), 4096):
+            part = alone[at : at + 4096]
+            yield from zip(part, (e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)), strict=True)
+        for at in range(0, len(joined), 1 << 14):
+            parts = [joined[k : k + 256] for k in range(at, min(at + (1 << 14), len(joined)), 256)]
+            texts = [(b" " + SEPARATOR + b" ").join(p).decode() for p in parts]
+            for part, e in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids, begin = e.ids, 0
+                for w in part[:-1]:
+                    end = ids.index(self.separator, begin)
+                    yield w, ids[begin:end]
+                    begin = end + 1
+                yield part[-1], ids[begin:]
 
     def values(self, data: bytes) -> list:
         """Values of the words of ``data``; texts of any length go in bounded pieces."""
@@ -71,9 +90,16 @@ class WordMemo:
         return out
 
 
+#: Between a letter and a sign that the pre-tokenizer parts from it anyway (an apostrophe may begin a contraction).
+PARTED = re.compile(rb"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+
+
 def folded(data: bytes) -> bytes:
-    """A-Z in lower case, as the vocabulary has it, unless a special token's string may be there."""
-    return data if b"<|" in data else data.lower()
+    """The same ids from fewer distinct words: A-Z in lower case, signs behind letters apart.
+
+    A text that may hold a special token's string is left as it is.
+    """
+    return data if b"<|" in data else PARTED.sub(b" ", data.lower())
 
 
 def learnt_rows(batch: pa.RecordBatch, memo: WordMemo) -> Iterator[tuple[object, bytes]]:
