@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumscan.llm import bpe, exact, packing, quality, simhash, substring, token_counts, toxicity
+from quorumscan.llm import bpe, exact, packing, quality, secrets, simhash, substring, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir), secrets.train(secrets.labelled_samples(spark)))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_toxicity, op4_packing, op5_bpe, op6_quality_rules, op7_exact_dedup, op8_token_counts, op9_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_toxicity, op4_packing, op5_bpe, op6_quality_rules, op7_exact_dedup, op8_token_counts, op9_substring_dedup)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """
