@@ -12,17 +12,17 @@ so a task that runs again after a lost executor gives the same rows.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quorumscan.llm.common import Out, pick
-from quorumscan.llm.tokenization import WordMemo, learnt_rows
+from quorumscan.llm.tokenization import WordMemo, encoded_rows
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64())])
 DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -89,7 +89,7 @@ def padded(fill: int, capacity: int) -> int:
 @cache
 def id_memo(path: str | None) -> WordMemo:
     """One memo per Python worker: words to their ids as little-endian unsigned 32-bit numbers."""
-    return WordMemo(path, lambda ids: np.array(ids, "<u4").tobytes())
+    return WordMemo(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, block_pieces: int = 1 << 16) -> DataFrame:
@@ -116,8 +116,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             rests.clear()
 
         for batch in batches:
-            for doc_id, raw in learnt_rows(batch, memo):
-                data = b"".join(memo.values(raw)) + end
+            for doc_id, ids in encoded_rows(batch, memo):
+                data = ids + end
                 total = len(data) // 4
                 full = total - total % capacity
                 for start in range(0, full, capacity):

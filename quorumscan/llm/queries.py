@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quorumscan.llm import bpe, exact, packing, quality, secrets, simhash, substring, token_counts, toxicity
+from quorumscan.llm import bpe, exact, lines, packing, quality, secrets, simhash, substring, token_counts, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.drop_repeats(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_toxicity, op4_packing, op5_bpe, op6_quality_rules, op7_exact_dedup, op8_token_counts, op9_substring_dedup)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_near_lines(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_toxicity, op4_packing, op5_bpe, op6_quality_rules, op7_exact_dedup, op8_token_counts, op9_substring_dedup, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_dedup": """

@@ -32,7 +32,7 @@ from quorumscan.llm.components import connected_components
 SEED, FANOUT = 42, 8
 #: Pairs of nodes that are expanded at once; bounds the memory of a search.
 FRONTIER = 1 << 18
-PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("print", pa.int64()), ("n_words", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -58,18 +58,19 @@ def fingerprint(text: str, width: int = 3) -> tuple[int, int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """doc_id, print (the 64 bits as a long) and n_words of every row."""
+    """doc_id, text_hash (which tells rows of one identifier apart), print (the 64 bits as a long) and n_words of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = Out(PRINTS)
-            for doc_id, text in rows_of(batch, "doc_id", "text"):
+            for doc_id, text_hash, text in rows_of(batch, "doc_id", "text_hash", "text"):
                 bits, n = fingerprint(text, width)
-                out.add(doc_id, bits - (bits >> 63 << 64), n)
+                out.add(doc_id, text_hash, bits - (bits >> 63 << 64), n)
             if len(out):
                 yield out.take()
 
-    return pick(docs, id_col, text_col).mapInArrow(run, "doc_id long, print long, n_words long")
+    rows = pick(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, print long, n_words long")
 
 
 def _split(df: DataFrame, bits: int) -> tuple[DataFrame, int]:
@@ -208,7 +209,7 @@ def links(prints: DataFrame, radius: int = 3, most_in_shard: int = 200_000, bloc
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, most_in_shard: int = 200_000) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, n_words.
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id, n_words, text_hash.
 
     ``component_id`` is the smallest identifier that links reach from the row, its own
     included.  Null texts and texts without a word have fingerprint zero, which links like
@@ -223,5 +224,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = classed.groupBy("component").agg(F.min("least").alias("component_id"))
     return (
         prints.join(classed.join(named, "component").select("print", "component_id"), "print")
-        .select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "n_words")
+        .select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "n_words", "text_hash")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs``, all columns, that name their component (see ``near_duplicates``).
+
+    Rows that repeat an identifier and a text stay or go together; of rows with a null
+    identifier only those stay whose whole component has none.
+    """
+    verdict = near_duplicates(docs, id_col, text_col, **how)
+    gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (text_hash == gone["_gone_hash"]), "left_anti")

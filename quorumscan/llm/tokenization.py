@@ -12,8 +12,10 @@ import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from quorumscan.llm.common import groups_of
@@ -102,9 +104,30 @@ def folded(data: bytes) -> bytes:
     return data if b"<|" in data else PARTED.sub(b" ", data.lower())
 
 
-def learnt_rows(batch: pa.RecordBatch, memo: WordMemo) -> Iterator[tuple[object, bytes]]:
-    """(doc_id, UTF-8 text) of a batch; the words of some rows are learnt in one go before they come."""
+def encoded(texts: list[bytes], memo: WordMemo) -> list[bytes]:
+    """Ids of each text as little-endian unsigned 32-bit numbers; ``memo`` holds words in that form.
+
+    Words are split and numbered by Arrow, so that Python sees each distinct word once.
+    """
+    words = pc.ascii_split_whitespace(pa.array([folded(t) for t in texts], pa.string()))
+    numbered = words.flatten().dictionary_encode()
+    distinct = numbered.dictionary.cast(pa.binary()).to_pylist()
+    found = list(map(memo.memo.get, distinct))
+    if None in found:
+        memo.learn(distinct)
+        found = list(map(memo.memo.__getitem__, distinct))
+    pool = np.frombuffer(b"".join(found), "<u4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    first = np.cumsum(sizes) - sizes
+    which = numbered.indices.to_numpy()
+    size = sizes[which]
+    after = np.cumsum(size)
+    ids = pool[np.repeat(first[which] - (after - size), size) + np.arange(after[-1] if len(after) else 0)]
+    cuts = np.r_[0, after][words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+    return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+
+def encoded_rows(batch: pa.RecordBatch, memo: WordMemo) -> Iterator[tuple[object, bytes]]:
+    """(doc_id, ids) of the rows of a batch, in groups of bounded size."""
     for group in groups_of(batch, "doc_id", "text"):
-        rows = [(doc_id, folded(text.encode())) for doc_id, text in group]
-        memo.learn({w for _, raw in rows for w in raw.split()})
-        yield from rows
+        yield from zip((doc_id for doc_id, _ in group), encoded([text.encode() for _, text in group], memo), strict=True)
