@@ -23,79 +23,81 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import Out, mark_members, rows_of, text_of, written
+from quorumscan.llm.common import Out, groups_of, mark_members, rows_of, text_of, written
 
 #: Identifier that stands for null in the order of documents: it comes last.
 LAST = (1 << 63) - 1
 PHRASES = pa.schema([("phrase", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+#: Salts over which the rows of a hot phrase are spread.
+SALTS = 64
 SEGMENTS = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.string())])
 LOCATED = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc1", pa.int64()), ("row1", pa.int64()), ("start1", pa.int32()), ("later", pa.int32())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
-def signed(x: int) -> int:
-    return x - (x >> 63 << 64)
+@dataclass
+class Phrases:
+    """The phrases that the windows of some texts stand under, as arrays of one entry each."""
 
+    hashes: np.ndarray
+    text: np.ndarray  #: number of the text
+    pos: np.ndarray  #: word at which the phrase starts
+    first: np.ndarray  #: first and last word at which a window of the phrase starts
+    last: np.ndarray
 
-class WordHashes:
-    """Words to 64-bit hashes, with a bounded memo."""
 
-    def __init__(self, keep: int = 500_000) -> None:
-        self.memo: dict[bytes, int] = {}
-        self.keep = keep
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        memo = self.memo
-        got = list(map(memo.get, words))
-        if None in got:
-            if len(memo) > self.keep:
-                memo.clear()
-            digest = xxhash.xxh3_64_intdigest
-            for k, (w, h) in enumerate(zip(words, got)):
-                if h is None:
-                    got[k] = memo[w] = digest(w)
-        return np.array(got, np.uint64)
-
-
-@cache
-def worker_hashes() -> WordHashes:
-    return WordHashes()
-
-
-def phrases_of(words: list[bytes], width: int, phrase: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the phrases that windows stand under: hash, place, and their first and last window's start."""
-    n = len(words)
+def phrases_of(texts: list[str], width: int, phrase: int) -> Phrases:
+    """Words are split and numbered by Arrow, so that each distinct word is hashed once."""
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pa.array(texts, pa.string())))
+    numbered = words.flatten().dictionary_encode()
+    digest = xxhash.xxh3_64_intdigest
+    distinct = np.array([digest(w) for w in numbered.dictionary.cast(pa.binary()).to_pylist()], np.uint64)
+    h = distinct[numbered.indices.to_numpy()] if len(distinct) else distinct
+    offsets = words.offsets.to_numpy().astype(np.int64) - words.offsets[0].as_py()
+    n = len(h)
+    none = np.zeros(0, np.int64)
     if n < width:
-        none = np.zeros(0, np.int64)
-        return none.view(np.uint64), none, none, none
-    h = hashes(words)
+        return Phrases(none.view(np.uint64), none, none, none, none)
     mixed = np.zeros(n - phrase + 1, np.uint64)
     for k in range(phrase):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : n - phrase + 1 + k]
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed += h[k : n - phrase + 1 + k]
     mixed ^= mixed >> np.uint64(29)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(32)
-    span = width - phrase + 1
-    chosen = np.empty(n - width + 1, np.int64)
-    for at in range(0, len(chosen), 1 << 16):
-        part = mixed[at : at + (1 << 16) + span - 1]
-        chosen[at : at + (1 << 16)] = np.lib.stride_tricks.sliding_window_view(part, span).argmin(axis=1) + np.arange(at, min(at + (1 << 16), len(chosen)))
-    first = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
-    last = np.r_[first[1:], len(chosen)] - 1
-    return mixed[chosen[first]], chosen[first], first, last
+    # The leftmost of the smallest in each window, by doubling the span that is looked at.
+    place = np.arange(len(mixed))
+    span, best = 1, place
+    while span < width - phrase + 1:
+        step = min(span, width - phrase + 1 - span)
+        a, b = best[:-step], best[step:]
+        best = np.where(mixed[b] < mixed[a], b, a)
+        span += step
+    text = np.repeat(np.arange(len(texts)), np.diff(offsets))[: n - width + 1]
+    starts = np.flatnonzero(np.arange(n - width + 1) + width <= offsets[1:][text])  # windows within one text
+    chosen, text = best[starts], text[starts]
+    if not len(starts):
+        return Phrases(none.view(np.uint64), none, none, none, none)
+    new = np.r_[True, (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])]
+    at = np.flatnonzero(new)
+    end = np.r_[at[1:], len(starts)] - 1
+    base = offsets[text[at]]
+    return Phrases(mixed[chosen[at]], text[at], chosen[at] - base, starts[at] - base, starts[end] - base)
 
 
 def locate(segments: list[tuple], width: int) -> Iterator[tuple]:
-    """Of segments (words, places of its windows' earliest start ..., number) which windows start earlier elsewhere.
+    """Of the segments of some phrases, which windows start earlier elsewhere.
 
     Each item is (key, h1, h2, doc, row, start, n, words): the earliest place of a segment and
     how often it occurs.  Yields (key, h1, h2, doc, row, start, later), bit o of ``later`` set where the
@@ -139,6 +141,23 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("row"))
 
 
+def recurring_places(phrases: DataFrame, recurring: DataFrame) -> DataFrame:
+    """doc and places: 2 * pos + 1 if the phrase there is hot, of all recurring phrases.
+
+    A phrase that is not hot has few rows, so its join has no skew.  Rows that may be hot, as
+    a bitmap tells, are joined apart, spread over ``SALTS`` salts.
+    """
+    rows = mark_members(phrases, recurring, "phrase").filter("_member").drop("_member")
+    hot = recurring.filter("is_hot").select("phrase")
+    rows = mark_members(rows, hot, "phrase")
+    known = mark_members(recurring, hot, "phrase")
+    cool = rows.filter("not _member").drop("_member").join(known.filter("not _member").drop("_member"), "phrase")
+    salted = known.filter("_member").select("phrase", "is_hot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    warm = rows.filter("_member").drop("_member").withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["phrase", "salt"])
+    both = cool.select("doc", "pos", "is_hot").union(warm.select("doc", "pos", "is_hot"))
+    return both.groupBy("doc").agg(F.collect_list(F.col("pos") * 2 + F.col("is_hot").cast("int")).alias("places"))
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, phrase: int = 8, hot: int = 4096, block: int = 4096, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, and kept_text if ``with_text``.
 
@@ -154,53 +173,44 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _ordered(docs, id_col, text_col)
 
     def find_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = worker_hashes()
         for batch in batches:
-            for doc, text in rows_of(batch, "doc", "text"):
-                h, pos, _, _ = phrases_of(text.encode().split(), width, phrase, hashes)
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), doc)), pa.array(pos.astype(np.int32))], schema=PHRASES)
-
-    def batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= 1 << 15:
-                yield pa.concat_batches(held)
-                held = []
-        if held:
-            yield pa.concat_batches(held)
-
-    phrases = rows.select("doc", "text").mapInArrow(lambda b: batched(find_phrases(b)), "phrase long, doc long, pos int")
-    recurring = phrases.groupBy("phrase").count().filter("count > 1").select("phrase", (F.col("count") > hot).alias("is_hot"))
-    places = written(phrases.join(recurring, "phrase").groupBy("doc").agg(F.collect_list(F.struct("pos", "is_hot")).alias("places")), "places")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, out = worker_hashes(), Out(SEGMENTS)
+            for group in groups_of(batch, "doc", "text"):
+                found = phrases_of([text for _, text in group], width, phrase)
+                docs_of = np.array([doc for doc, _ in group], np.int64)[found.text]
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64)), pa.array(docs_of), pa.array(found.pos.astype(np.int32))], schema=PHRASES)
 
-        def add(key: int | None, doc: int, row: int, words: list[bytes], a: int, b: int) -> None:
-            joined = b" ".join(words[a : b + width])
-            h = xxhash.xxh3_128_intdigest(joined)
-            h1, h2 = signed(h >> 64), signed(h & ((1 << 64) - 1))
-            out.add(h1 if key is None else key, h1, h2, doc, row, a, b - a + 1, joined.decode())
+    phrases = written(rows.select("doc", "text").mapInArrow(find_phrases, "phrase long, doc long, pos int"), "phrases")
+    recurring = written(phrases.groupBy("phrase").count().filter("count > 1").select("phrase", (F.col("count") > hot).alias("is_hot")), "recurring-phrases")
+    places = written(recurring_places(phrases, recurring), "places")
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, row, at, text in rows_of(batch, "doc", "row", "places", "text"):
-                words = text.encode().split()
-                is_hot = {x["pos"]: x["is_hot"] for x in at}
-                h, pos, first, last = phrases_of(words, width, phrase, hashes)
-                for key, p, a, b in zip(h.view(np.int64).tolist(), pos.tolist(), first.tolist(), last.tolist()):
-                    if (alone := is_hot.get(p)) is None:
-                        continue
-                    if alone:
-                        for s in range(a, b + 1):
-                            add(None, doc, row, words, s, s)
-                    else:
-                        add(key, doc, row, words, a, b)
-                    if out.full():
-                        yield out.take()
-        if len(out):
-            yield out.take()
+            for group in groups_of(batch, "doc", "row", "places", "text"):
+                found = phrases_of([g[3] for g in group], width, phrase)
+                bounds = np.searchsorted(found.text, np.arange(len(group) + 1))
+                columns: list[list] = [[] for _ in SEGMENTS]
+                for (doc, row, at, text), lo, hi in zip(group, bounds, bounds[1:]):
+                    codes = np.sort(np.array(at, np.int64))
+                    mine = slice(lo, hi)
+                    near = np.minimum(np.searchsorted(codes, found.pos[mine] * 2), len(codes) - 1)
+                    on = codes[near] >> 1 == found.pos[mine]
+                    alone = on & (codes[near] & 1 == 1)
+                    whole = on & ~alone
+                    starts, ends, keys = found.first[mine][whole].tolist(), found.last[mine][whole].tolist(), found.hashes[mine][whole].view(np.int64).tolist()
+                    for a, b in zip(found.first[mine][alone].tolist(), found.last[mine][alone].tolist()):
+                        starts += range(a, b + 1)
+                        ends += range(a, b + 1)
+                    words = text.encode().split()
+                    joined = b" ".join(words)
+                    edges = [0, *accumulate(len(w) + 1 for w in words)]
+                    cuts = [joined[edges[a] : edges[b + width] - 1] for a, b in zip(starts, ends)]
+                    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, cuts)), np.int64).reshape(-1, 2).T.tolist() if cuts else ([], [])
+                    n = len(cuts)
+                    own = (keys + digests[0][len(keys) :], *digests, [doc] * n, [row] * n, starts, [b - a + 1 for a, b in zip(starts, ends)], cuts)
+                    for column, values in zip(columns, own, strict=True):
+                        column += values
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SEGMENTS, strict=True)], schema=SEGMENTS)
 
     touched = mark_members(rows.select("doc", "row", "text"), places, "doc").filter("_member").drop("_member")
     ddl = "key long, h1 long, h2 long, doc long, row long, start int, windows int, words string"
@@ -210,16 +220,31 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     contents = contents.select("key", "h1", "h2", "at.doc", "at.row", "at.start", "n", "words")
 
     def automata(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out = [], Out(LOCATED)
+        out = Out(LOCATED)
+        held: list[tuple] = []  # segments of phrases that have several
+        group: list[tuple] = []  # segments of the phrase at hand
+
+        def close() -> None:
+            if len(group) > 1:
+                held.extend(group)
+            else:  # windows under one place of a phrase differ from each other
+                out.add(*group[0][:6], 0)
+            group.clear()
+
         for batch in batches:
             for row in rows_of(batch, "key", "h1", "h2", "doc", "row", "start", "n", "words"):
-                if len(held) >= block and held[-1][0] != row[0]:
-                    for found in locate(held, width):
-                        out.add(*found)
-                    held = []
-                    yield out.take()
-                held.append(row)
-        for found in locate(held, width):
+                if group and group[0][0] != row[0]:
+                    close()
+                    if len(held) >= block:
+                        for found in locate(held, width):
+                            out.add(*found)
+                        held.clear()
+                    if out.full():
+                        yield out.take()
+                group.append(row)
+        if group:
+            close()
+        for found in locate(held, width) if held else ():
             out.add(*found)
         if len(out):
             yield out.take()
@@ -229,7 +254,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = (F.col("doc") == F.col("doc1")) & (F.col("row") == F.col("row1")) & (F.col("start") == F.col("start1"))
     gone = F.when(first, F.col("later")).otherwise(F.expr("cast(shiftleft(1L, windows) - 1 as int)"))
     marks = segments.drop("words").join(located, ["key", "h1", "h2"]).select("doc", "row", "start", gone.alias("later")).filter("later != 0")
-    marks = written(marks.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "later")).alias("marks")), "marks")
+    marks = written(marks.groupBy("doc", "row").agg(F.collect_list(F.expr("shiftleft(cast(start AS long), 32) | later")).alias("marks")), "marks")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,12 +263,13 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = text.encode().split()
                 n = len(words)
                 if at:
+                    codes = np.array(at, np.int64)
+                    starts, later = codes >> 32, codes & 0xFFFFFFFF
                     edges = np.zeros(n + 1, np.int32)
-                    for x in at:
-                        for o in range(x["later"].bit_length()):
-                            if x["later"] >> o & 1:
-                                edges[x["start"] + o] += 1
-                                edges[min(x["start"] + o + width, n)] -= 1
+                    for o in range(int(later.max()).bit_length()):
+                        hit = starts[later >> o & 1 == 1] + o
+                        np.add.at(edges, hit, 1)
+                        np.add.at(edges, hit + width, -1)
                     kept = np.cumsum(edges[:n]) == 0
                     words = [w for w, k in zip(words, kept.tolist()) if k]
                 joined = b" ".join(words)
