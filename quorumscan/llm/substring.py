@@ -34,13 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import Out, groups_of, mark_members, rows_of, text_of, written
+from quorumscan.llm.common import Out, drop_written, groups_of, mark_members, rows_of, text_of, written
 
 #: Identifier that stands for null in the order of documents: it comes last.
 LAST = (1 << 63) - 1
 PHRASES = pa.schema([("phrase", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
-#: Salts over which the rows of a hot phrase are spread.
-SALTS = 64
 SEGMENTS = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.string())])
 LOCATED = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc1", pa.int64()), ("row1", pa.int64()), ("start1", pa.int32()), ("later", pa.int32())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -142,20 +140,17 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring_places(phrases: DataFrame, recurring: DataFrame) -> DataFrame:
-    """doc and places: 2 * pos + 1 if the phrase there is hot, of all recurring phrases.
+    """doc and places: 2 * pos + 1 if the phrase there counts as hot, of all recurring phrases.
 
-    A phrase that is not hot has few rows, so its join has no skew.  Rows that may be hot, as
-    a bitmap tells, are joined apart, spread over ``SALTS`` salts.
+    A phrase that is not hot has few rows, so its join has no skew.  Hot phrases are told by
+    a bitmap alone and joined with nothing.  The bitmap answers alike wherever a phrase
+    stands, and a phrase taken for hot that is not only has its windows cut apart.
     """
     rows = mark_members(phrases, recurring, "phrase").filter("_member").drop("_member")
-    hot = recurring.filter("is_hot").select("phrase")
-    rows = mark_members(rows, hot, "phrase")
-    known = mark_members(recurring, hot, "phrase")
-    cool = rows.filter("not _member").drop("_member").join(known.filter("not _member").drop("_member"), "phrase")
-    salted = known.filter("_member").select("phrase", "is_hot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    warm = rows.filter("_member").drop("_member").withColumn("salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["phrase", "salt"])
-    both = cool.select("doc", "pos", "is_hot").union(warm.select("doc", "pos", "is_hot"))
-    return both.groupBy("doc").agg(F.collect_list(F.col("pos") * 2 + F.col("is_hot").cast("int")).alias("places"))
+    rows = mark_members(rows, recurring.filter("is_hot"), "phrase")
+    cool = rows.filter("not _member").join(recurring.select("phrase"), "phrase", "left_semi")
+    both = cool.unionByName(rows.filter("_member"))
+    return both.groupBy("doc").agg(F.collect_list(F.col("pos") * 2 + F.col("_member").cast("int")).alias("places"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, phrase: int = 8, hot: int = 4096, block: int = 4096, with_text: bool = False) -> DataFrame:
@@ -182,6 +177,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     phrases = written(rows.select("doc", "text").mapInArrow(find_phrases, "phrase long, doc long, pos int"), "phrases")
     recurring = written(phrases.groupBy("phrase").count().filter("count > 1").select("phrase", (F.col("count") > hot).alias("is_hot")), "recurring-phrases")
     places = written(recurring_places(phrases, recurring), "places")
+    drop_written(phrases)
+    drop_written(recurring)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,6 +212,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     touched = mark_members(rows.select("doc", "row", "text"), places, "doc").filter("_member").drop("_member")
     ddl = "key long, h1 long, h2 long, doc long, row long, start int, windows int, words string"
     segments = written(touched.join(places, "doc").select("doc", "row", "places", "text").mapInArrow(cut, ddl), "segments")
+    drop_written(places)
     place = F.struct("doc", "row", "start")
     contents = segments.groupBy("key", "h1", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
     contents = contents.select("key", "h1", "h2", "at.doc", "at.row", "at.start", "n", "words")
@@ -255,6 +253,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = F.when(first, F.col("later")).otherwise(F.expr("cast(shiftleft(1L, windows) - 1 as int)"))
     marks = segments.drop("words").join(located, ["key", "h1", "h2"]).select("doc", "row", "start", gone.alias("later")).filter("later != 0")
     marks = written(marks.groupBy("doc", "row").agg(F.collect_list(F.expr("shiftleft(cast(start AS long), 32) | later")).alias("marks")), "marks")
+    drop_written(segments)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
