@@ -3,20 +3,21 @@
 Main path: DataFrame and SQL functions only.
 
 1. Equal lines become one row with their earliest place and their number.
-2. Shingles are the ``width`` characters from each word's start (fewer at the line's end).
-   Exploded, they go through one hash aggregation with a minimum per hash function; it needs
-   no exchange, as the rows lie by line already.
+2. Shingles are the ``width`` characters from every character on that has as many; a shorter
+   line is its own shingle.  Exploded, they go through one hash aggregation with a minimum per
+   hash function; it needs no exchange, as the rows lie by line already.
 3. ``bands`` bands of ``rows`` minima each make candidates: lines that share a band.  Bands
    that only one line has are told apart by a count of their hashes; the rest are few.
 4. Candidates are verified by exact Jaccard similarity of their shingle sets, each against one line
    of its band first.  Lines of a band that this leaves in different components are compared with some
-   more lines of the band, and those that even this leaves apart with every line that can be
-   similar enough: by the prefix filter, such two share one of each other's rarest shingles.
+   more lines of the band.  Of those that even this leaves apart, lines of small bands are compared
+   with all of the band, and lines of larger ones with every line that can be similar enough: by the
+   prefix filter, such two share one of each other's rarest shingles.
    So no link between candidates is lost, and a band whose lines are alike costs one comparison a line.
 5. Distributed union-find over the links; a component keeps its earliest line.
 
-Equal lines, however many, are pre-aggregated in each task; joins by line carry places, never
-texts, and leave hot lines to the adaptive skew join.
+Equal lines, however many, are pre-aggregated in each task; joins by line carry places, and the
+texts of candidates where they are verified, and leave hot lines to the adaptive skew join.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from quorumscan.llm.components import connected_components
 LAST = (1 << 63) - 1
 #: A line without a word is never touched.
 HAS_WORD = r"[^\x20\x09-\x0D]"
+#: Characters of a line that are turned into shingles at a time.
+PIECE = 4096
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -45,43 +48,73 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 
 def shingles(line: str, width: int) -> Column:
-    """The ``width`` characters from each word's start."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{{0,{width - 1}}}))"), F.lit(1))
+    """The ``width`` characters from every character on that has as many; a shorter line whole."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
+    return F.when(F.length(line) < width, F.array(line)).otherwise(every)
+
+
+def pieces(line: str, width: int) -> Column:
+    """A line in pieces whose shingles together are those of the line."""
+    some = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width},{PIECE + width - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    return F.when(F.length(line) <= PIECE, F.array(line)).otherwise(some)
 
 
 def signatures(distinct: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     """key, at, n and the hashes of the bands of every distinct line."""
-    exploded = distinct.select("key", "at", "n", F.explode(shingles("line", width)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
+    cut = distinct.select("key", "at", "n", F.explode(pieces("line", width)).alias("piece"))
+    exploded = cut.select("key", "at", "n", F.explode(shingles("piece", width)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
     minima = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)]
     least = exploded.groupBy("key").agg(F.min("at.doc").alias("d"), F.min("at.row").alias("r"), F.min("at.pos").alias("p"), F.min("n").alias("n"), *minima)
     hashes = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + k}" for k in range(rows))) for b in range(bands)))
     return least.select("key", F.struct(F.col("d").alias("doc"), F.col("r").alias("row"), F.col("p").alias("pos")).alias("at"), "n", hashes.alias("bands"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _sizes_fit(x: str, y: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - F.lit(1e-9)
+
+
+def _links(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets are similar enough."""
-    joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return joined.filter(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
+    def side(key: str, line: str, size: str) -> DataFrame:
+        return texts.select(F.col("key").alias(key), F.col("line").alias(line), F.col("size").alias(size))
+
+    joined = pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b").filter(_sizes_fit("m", "n", similarity))
+    both = F.size(F.array_intersect(shingles("x", width), shingles("y", width)))
+    return joined.filter(both * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
 
-def _open(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+
+def _open(members: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
     """band, key, group, size of the lines in bands that hold lines of several components."""
     placed = members.join(groups, members["key"] == groups["node"], "left").select("band", "key", F.coalesce("component", "key").alias("group"))
     split = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("band")
-    return placed.join(split, "band", "left_semi").join(sets.select("key", F.size("set").alias("size")), "key").select("band", "key", "group", "size")
+    return placed.join(split, "band", "left_semi").join(texts.select("key", "size"), "key").select("band", "key", "group", "size")
 
 
-def _pivot_pairs(rows: DataFrame, pivots: int) -> DataFrame:
+def _pivot_pairs(rows: DataFrame, pivots: int, similarity: float) -> DataFrame:
     """Each line with up to ``pivots`` lines of its band that are of other components, chosen by hash."""
-    chosen = [F.min_by(F.struct(F.col("key").alias("b"), F.col("group").alias("g")), F.xxhash64("key", F.lit(k))) for k in range(pivots)]
+    chosen = [F.min_by(F.struct(F.col("key").alias("b"), F.col("group").alias("g"), F.col("size").alias("s")), F.xxhash64("key", F.lit(k))) for k in range(pivots)]
     picks = rows.groupBy("band").agg(F.array(*chosen).alias("picks"))
-    other = F.filter("picks", lambda p: p["g"] != F.col("group"))
+    other = F.filter("picks", lambda p: (p["g"] != F.col("group")) & _sizes_fit(p["s"], F.col("size"), similarity))
     pairs = rows.join(picks, "band").select("key", F.explode(F.array_distinct(other)).alias("p"))
     return pairs.select(F.least("key", "p.b").alias("a"), F.greatest("key", "p.b").alias("b")).distinct()
 
 
-def _prefix_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _rest_pairs(rows: DataFrame, texts: DataFrame, width: int, similarity: float, small: int) -> DataFrame:
+    """Of bands of up to ``small`` lines all pairs of different components; of larger ones what the prefix filter gives."""
+    rows = rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("lines")), "band")
+    few = rows.filter(F.col("lines") <= small)
+
+    def side(key: str, group: str, size: str) -> DataFrame:
+        return few.select("band", F.col("key").alias(key), F.col("group").alias(group), F.col("size").alias(size))
+
+    different = (F.col("a") < F.col("b")) & (F.col("g") != F.col("h")) & _sizes_fit("m", "n", similarity)
+    pairs = side("a", "g", "m").join(side("b", "h", "n"), "band").filter(different).select("a", "b")
+    return pairs.union(_prefix_pairs(rows.filter(F.col("lines") > small), texts, width, similarity)).distinct()
+
+
+def _prefix_pairs(rows: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """Pairs of different components that share a shingle among each other's rarest.
 
     Shingles of one line alone match nothing.  Of the others a line has to share ``similarity``
@@ -89,7 +122,8 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     shingle bounds what the pair can share.  Lines too unlike all others drop out at once.
     """
     keys = rows.select("key", "group", "size").distinct()
-    shingled = keys.join(sets, "key").select("key", "group", "size", F.explode("set").alias("shingle"))
+    hashes = F.array_distinct(F.transform(shingles("line", width), lambda s: F.xxhash64(s)))
+    shingled = keys.join(texts.select("key", "line"), "key").select("key", "group", "size", F.explode(hashes).alias("shingle"))
     counted = shingled.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     order = F.array_sort(F.collect_list(F.struct("n", "shingle")))
     known = shingled.join(counted, "shingle").groupBy("key", "group", "size").agg(order.alias("order"))
@@ -101,11 +135,12 @@ def _prefix_pairs(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
     most = F.least("at_a", "at_b") + F.least(F.col("known_a") - F.col("at_a"), F.col("known_b") - F.col("at_b"))
     least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9)
-    pairs = side("a").join(side("b"), "shingle").filter((F.col("group_a") < F.col("group_b")) & (most >= least))
-    return pairs.select("a", "b").distinct()
+    fit = (F.col("group_a") < F.col("group_b")) & _sizes_fit("size_a", "size_b", similarity) & (most >= least)
+    pairs = side("a").join(side("b"), "shingle").filter(fit)
+    return pairs.select("a", "b")
 
 
-def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity: float, pivots: int = 8) -> DataFrame:
+def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity: float, pivots: int = 8, small: int = 64) -> DataFrame:
     """(node, component) of the lines that are linked; ``marked`` is the signatures of all lines."""
     exploded = marked.select("key", F.explode("bands").alias("band"))
     shared = written(exploded.groupBy("band").count().filter("count > 1").select("band"), "shared-bands")
@@ -114,15 +149,15 @@ def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity:
     keys = members.select("key").distinct()
     texts = mark_members(lines.select("key", "line"), members, "key").filter("_member").select("key", "line")
     texts = texts.groupBy("key").agg(F.first("line").alias("line")).join(keys, "key", "left_semi")
-    sets = written(texts.select("key", F.array_distinct(F.transform(shingles("line", width), lambda s: F.xxhash64(s))).alias("set")), "shingle-sets")
+    texts = written(texts.withColumn("size", F.size(F.array_distinct(shingles("line", width)))), "candidate-lines")
 
     stars = members.join(members.groupBy("band").agg(F.min("key").alias("b")), "band").filter("key != b").select(F.col("key").alias("a"), "b").distinct()
-    groups = connected_components(_links(stars, sets, similarity))
-    for pairs_of in (lambda rows: _pivot_pairs(rows, pivots), lambda rows: _prefix_pairs(rows, sets, similarity)):
-        still = written(_open(members, groups, sets), "open-bands")
+    groups = connected_components(_links(stars, texts, width, similarity))
+    for pairs_of in (lambda rows: _pivot_pairs(rows, pivots, similarity), lambda rows: _rest_pairs(rows, texts, width, similarity, small)):
+        still = written(_open(members, groups, texts), "open-bands")
         if still.isEmpty():
             break
-        found = written(_links(pairs_of(still), sets, similarity), "more-links")
+        found = written(_links(pairs_of(still), texts, width, similarity), "more-links")
         if not found.isEmpty():
             groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
     return groups
