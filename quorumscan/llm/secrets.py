@@ -3,7 +3,8 @@
 Main path: DataFrame functions only.  Two first-order character models, of random strings
 and of ordinary identifiers, are trained from labelled samples by counting character pairs.
 A long token is reported when the log-likelihood ratio of the two models, summed over its
-characters, exceeds a margin.  The models are kept as one table of integer weights
+characters, exceeds a margin; of one that is not, each stretch of ``LEAST`` characters or more
+whose own sum does, as of a secret behind a path.  The models are kept as one table of integer weights
 (thousandths of a nat) for 128 x 128 character pairs, a literal of fixed size in the plan.
 
 Places are code points, ends exclusive.  They are taken from the lengths of the parts
@@ -27,8 +28,10 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
     "hex": (r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32}"),
 }
-#: Tokens that the models judge: this long, with a letter and a digit.
+#: Tokens that the models judge: this long, with a letter.
 TOKEN, TOKEN_HINT = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+/_=-]{20}"
+#: Characters of the shortest stretch of a token that is judged by itself.
+LEAST = 20
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 CODES = 128
 #: Words of which the sample's ordinary identifiers are made.
@@ -95,16 +98,74 @@ def train(samples: DataFrame, smoothing: float = 0.5, alphabet: int = 66) -> lis
     return [round(1000 * (log_p(True, a, b) - log_p(False, a, b))) for a in range(CODES) for b in range(CODES)]
 
 
-def log_ratio(token: Column, weights: list[int]) -> Column:
-    """Log-likelihood ratio of a token, in thousandths of a nat: above 0 it is likelier to be random."""
+def log_ratios(token: Column, weights: list[int]) -> Column:
+    """Log-likelihood ratio of each character of a token, in thousandths of a nat: above 0 it is likelier to be random."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
     codes = F.concat(F.array(F.lit(0)), _codes(token))
     steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: F.coalesce(F.get(table, a * CODES + b), F.lit(0)))
-    return F.aggregate(steps, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.slice(steps, F.lit(1), F.length(token))
 
 
-def _spans(text: str, kind: str, rank: int, pattern: str, group: int, hint: str, accept: Callable[[Column, Column], Column]) -> Column:
-    """The matches of a pattern that ``accept`` (whole match, group) lets through, as sorted structs."""
+def random_stretches(ratios: Column, least_sum: int) -> Column:
+    """Start and end of what is random in a token: all of it if its sum is above ``least_sum``, else its best stretches.
+
+    One pass that holds the sum of all ratios and of those but the last ``LEAST``: the least of the
+    latter is where the best stretch that ends here begins.  A stretch is closed where the best one
+    that ends here is less by ``least_sum`` than the best so far; the next begins behind it.
+    """
+    spans = "array<struct<start:int,end:int>>"
+    zero = F.struct(
+        *(F.lit(0).alias(k) for k in ("at", "floor", "low_at", "start", "end")),
+        *(F.lit(0).cast("long").alias(k) for k in ("sum", "lag", "best")),
+        F.lit(None).cast("long").alias("low"),
+        F.array().cast(spans).alias("found"),
+    )
+
+    def both(s: Column) -> Column:
+        return F.concat(s["found"], F.when(s["best"] > least_sum, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.array().cast(spans)))
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is computed once."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        begin, lag = s["at"] + 1 - LEAST, s["lag"] + x["old"]
+        lower = (begin >= s["floor"]) & (s["low"].isNull() | (lag < s["low"]))
+        moved = F.struct((s["at"] + 1).alias("at"), (s["sum"] + x["new"]).alias("sum"), lag.alias("lag"), F.when(lower, lag).otherwise(s["low"]).alias("low"), F.when(lower, begin).otherwise(s["low_at"]).alias("low_at"))
+        return bound(moved, lambda m: judged(s, m))
+
+    def judged(s: Column, m: Column) -> Column:
+        gain = F.coalesce(m["sum"] - m["low"], F.lit(0).cast("long"))
+        better = gain > s["best"]
+        close = (s["best"] > least_sum) & (gain < s["best"] - least_sum)
+        return F.struct(
+            m["at"].alias("at"),
+            F.when(close, s["end"]).otherwise(s["floor"]).alias("floor"),
+            m["low_at"].alias("low_at"),
+            F.when(better, m["low_at"]).otherwise(s["start"]).alias("start"),
+            F.when(better, m["at"]).otherwise(s["end"]).alias("end"),
+            m["sum"].alias("sum"),
+            m["lag"].alias("lag"),
+            F.when(close, F.lit(0).cast("long")).when(better, gain).otherwise(s["best"]).alias("best"),
+            F.when(~close, m["low"]).alias("low"),
+            F.when(close, both(s)).otherwise(s["found"]).alias("found"),
+        )
+
+    def finish(s: Column) -> Column:
+        return F.when(s["sum"] > least_sum, F.array(F.struct(F.lit(0).alias("start"), s["at"].alias("end")))).otherwise(both(s))
+
+    def stretches(r: Column) -> Column:
+        old = F.slice(F.concat(F.array_repeat(F.lit(0), LEAST), r), F.lit(1), F.size(r))
+        return F.aggregate(F.zip_with(r, old, lambda a, b: F.struct(a.alias("new"), b.alias("old"))), zero, step, finish)
+
+    return bound(ratios, stretches)
+
+
+def _spans(text: str, kind: str, rank: int, pattern: str, group: int, hint: str, accept: Callable[[Column, Column], Column], inside: Callable[[Column], Column] | None = None) -> Column:
+    """The matches of a pattern that ``accept`` (whole match, group) lets through, as sorted structs.
+
+    Of a match, ``inside`` gives starts and ends of the parts that count, if not all of it.
+    """
     parts = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
@@ -115,9 +176,13 @@ def _spans(text: str, kind: str, rank: int, pattern: str, group: int, hint: str,
     def step(so_far: Column, part: Column) -> Column:
         start = so_far["at"] + part["gap"]
         end = start + F.coalesce(F.length(part["match"]), F.lit(0))  # the last gap has no match behind it
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))
+
+        def span(a: Column, b: Column) -> Column:
+            return F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(kind).alias("kind"))
+
+        spans = F.transform(inside(part["match"]), lambda x: span(start + x["start"], start + x["end"])) if inside else F.array(span(start, end))
         good = F.coalesce(accept(part["match"], part["group"]), F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(so_far["found"], F.array(span))).otherwise(so_far["found"]).alias("found"))
+        return F.struct(end.alias("at"), F.when(good, F.concat(so_far["found"], spans)).otherwise(so_far["found"]).alias("found"))
 
     zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
     return F.when(F.col(text).rlike(hint), F.aggregate(parts, zero, step, lambda s: s["found"])).otherwise(none)
@@ -126,11 +191,14 @@ def _spans(text: str, kind: str, rank: int, pattern: str, group: int, hint: str,
 def _kinds(text: str, weights: list[int], margin: float) -> dict[str, Column]:
     """The spans of every kind."""
 
-    def is_random(token: Column, _: Column) -> Column:
-        return token.rlike("[0-9]") & token.rlike("[A-Za-z]") & (log_ratio(token, weights) > round(1000 * margin))
+    def has_letter(token: Column, _: Column) -> Column:
+        return token.rlike("[A-Za-z]")
+
+    def random_parts(token: Column) -> Column:
+        return random_stretches(log_ratios(token, weights), round(1000 * margin))
 
     out = {kind: _spans(text, kind, rank, pattern, group, hint, lambda _, g, least=least: F.length(g) >= least) for rank, (kind, (pattern, group, least, hint)) in enumerate(BASE.items())}
-    return out | {"random": _spans(text, "random", len(BASE), TOKEN, 0, TOKEN_HINT, is_random)}
+    return out | {"random": _spans(text, "random", len(BASE), TOKEN, 0, TOKEN_HINT, has_letter, random_parts)}
 
 
 def _joined(spans: str) -> Column:
@@ -140,8 +208,8 @@ def _joined(spans: str) -> Column:
 def scan_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col: str = "text", margin: float = 10.0) -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
-    ``spans`` lists kind:start:end by start, then kind in order; ``random`` are the tokens
-    that the models report, those apart that overlap a fixed pattern's match.  ``margin``, in
+    ``spans`` lists kind:start:end by start, then kind in order; ``random`` are the tokens,
+    or stretches of them, that the models report, those apart that overlap a fixed pattern's match.  ``margin``, in
     nats, is what the likelihood ratio must exceed.  ``base_sha256`` is over the fixed
     patterns' spans alone.  Null and empty texts have no spans.  Null or repeated identifiers
     pass through; an empty table gives no rows; other columns are ignored.
