@@ -38,7 +38,7 @@ from quorumscan.llm.common import Out, drop_written, groups_of, mark_members, ro
 
 #: Identifier that stands for null in the order of documents: it comes last.
 LAST = (1 << 63) - 1
-PHRASES = pa.schema([("phrase", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+PHRASES = pa.schema([("phrase", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("pos", pa.int32())])
 SEGMENTS = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.string())])
 LOCATED = pa.schema([("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc1", pa.int64()), ("row1", pa.int64()), ("start1", pa.int32()), ("later", pa.int32())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
@@ -140,7 +140,7 @@ def _ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def recurring_places(phrases: DataFrame, recurring: DataFrame) -> DataFrame:
-    """doc and places: 2 * pos + 1 if the phrase there counts as hot, of all recurring phrases.
+    """doc, row and places: 2 * pos + 1 if the phrase there counts as hot, of all recurring phrases.
 
     A phrase that is not hot has few rows, so its join has no skew.  Hot phrases are told by
     a bitmap alone and joined with nothing.  The bitmap answers alike wherever a phrase
@@ -150,7 +150,7 @@ def recurring_places(phrases: DataFrame, recurring: DataFrame) -> DataFrame:
     rows = mark_members(rows, recurring.filter("is_hot"), "phrase")
     cool = rows.filter("not _member").join(recurring.select("phrase"), "phrase", "left_semi")
     both = cool.unionByName(rows.filter("_member"))
-    return both.groupBy("doc").agg(F.collect_list(F.col("pos") * 2 + F.col("_member").cast("int")).alias("places"))
+    return both.groupBy("doc", "row").agg(F.collect_list(F.col("pos") * 2 + F.col("_member").cast("int")).alias("places"))
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 20, phrase: int = 8, hot: int = 4096, block: int = 4096, with_text: bool = False) -> DataFrame:
@@ -169,12 +169,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def find_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in groups_of(batch, "doc", "text"):
-                found = phrases_of([text for _, text in group], width, phrase)
-                docs_of = np.array([doc for doc, _ in group], np.int64)[found.text]
-                yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64)), pa.array(docs_of), pa.array(found.pos.astype(np.int32))], schema=PHRASES)
+            for group in groups_of(batch, "doc", "row", "text"):
+                found = phrases_of([text for _, _, text in group], width, phrase)
+                docs_of, rows_of_docs = (np.array([g[k] for g in group], np.int64)[found.text] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(found.hashes.view(np.int64)), pa.array(docs_of), pa.array(rows_of_docs), pa.array(found.pos.astype(np.int32))], schema=PHRASES)
 
-    phrases = written(rows.select("doc", "text").mapInArrow(find_phrases, "phrase long, doc long, pos int"), "phrases")
+    phrases = written(rows.select("doc", "row", "text").mapInArrow(find_phrases, "phrase long, doc long, row long, pos int"), "phrases")
     recurring = written(phrases.groupBy("phrase").count().filter("count > 1").select("phrase", (F.col("count") > hot).alias("is_hot")), "recurring-phrases")
     places = written(recurring_places(phrases, recurring), "places")
     drop_written(phrases)
@@ -211,7 +211,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     touched = mark_members(rows.select("doc", "row", "text"), places, "doc").filter("_member").drop("_member")
     ddl = "key long, h1 long, h2 long, doc long, row long, start int, windows int, words string"
-    segments = written(touched.join(places, "doc").select("doc", "row", "places", "text").mapInArrow(cut, ddl), "segments")
+    segments = written(touched.join(places, ["doc", "row"]).select("doc", "row", "places", "text").mapInArrow(cut, ddl), "segments")
     drop_written(places)
     place = F.struct("doc", "row", "start")
     contents = segments.groupBy("key", "h1", "h2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("words").alias("words"))
