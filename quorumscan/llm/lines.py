@@ -4,16 +4,18 @@ Main path: DataFrame and SQL functions only.
 
 1. Equal lines become one row with their earliest place and their number.
 2. Shingles are the ``width`` characters from every character on that has as many; a shorter
-   line is its own shingle.  Exploded, they go through one hash aggregation with a minimum per
-   hash function; it needs no exchange, as the rows lie by line already.
-3. ``bands`` bands of ``rows`` minima each make candidates: lines that share a band.  Bands
-   that only one line has are told apart by a count of their hashes; the rest are few.
-4. Candidates are verified by exact Jaccard similarity of their shingle sets, each against one line
-   of its band first.  Lines of a band that this leaves in different components are compared with some
-   more lines of the band.  Of those that even this leaves apart, lines of small bands are compared
-   with all of the band, and lines of larger ones with every line that can be similar enough: by the
-   prefix filter, such two share one of each other's rarest shingles.
-   So no link between candidates is lost, and a band whose lines are alike costs one comparison a line.
+   line is its own shingle.  They are cut from four bytes a character, exploded, and go through one
+   hash aggregation that needs no exchange, as the rows lie by line already.  Each of the ``bands``
+   bands has a hash function of its own, and the band's four rows are the least shingles by that hash
+   with its two upper bits flipped in each of the four ways: four parts of one permutation, where
+   an empty part borrows from its neighbour.
+3. Lines that share a band are candidates.  Bands that only one line has are told apart by a count
+   of their hashes; the rest are few.
+4. Candidates are verified by exact Jaccard similarity of their shingle sets: each line first against
+   a few hubs of its band, lines that are chosen by hash, which joins a band of like lines at a cost of
+   some comparisons a line.  In bands that this leaves in several components, lines of different
+   components meet in blocks of bounded size.  Their shingles' bitmaps there rule out every pair that
+   differs in more bits than pairs that are similar enough can, so none is lost; pairs that pass are verified.
 5. Distributed union-find over the links; a component keeps its earliest line.
 
 Equal lines, however many, are pre-aggregated in each task; joins by line carry places, and the
@@ -22,6 +24,8 @@ texts of candidates where they are verified, and leave hot lines to the adaptive
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,10 @@ from quorumscan.llm.components import connected_components
 LAST = (1 << 63) - 1
 #: A line without a word is never touched.
 HAS_WORD = r"[^\x20\x09-\x0D]"
-#: Characters of a line that are turned into shingles at a time.
-PIECE = 4096
+#: Rows of a band: the ways to flip the two upper bits of a hash.
+FLIPS = [0, 1 << 62, -(1 << 63), -(1 << 62)]
+#: Words of 64 bits in the bitmap of a line's shingles.
+WORDS = 32
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,25 +53,36 @@ def _lines(documents: DataFrame) -> DataFrame:
     return exploded.filter(F.col("line").rlike(HAS_WORD)).withColumn("key", F.substring(F.unhex(F.sha2("line", 256)), 1, 16))
 
 
+def _starts(line: str, width: int) -> Column:
+    """Where the shingles of a line begin, from 0."""
+    return F.sequence(F.lit(0), F.greatest(F.length(line) - width, F.lit(0)))
+
+
+def _shingle(wide: Column, start: Column, width: int) -> Column:
+    """64-bit hash of the shingle from a character on; ``wide`` is the line in four bytes a character."""
+    return F.xxhash64(F.substring(wide, start * 4 + 1, F.lit(4 * width)))
+
+
 def shingles(line: str, width: int) -> Column:
-    """The ``width`` characters from every character on that has as many; a shorter line whole."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width}}}))."), F.lit(1))
-    return F.when(F.length(line) < width, F.array(line)).otherwise(every)
+    """Hashes of the ``width`` characters from every character on that has as many; a shorter line whole."""
+    hashes = F.transform(F.array(F.encode(line, "UTF-32")), lambda w: F.transform(_starts(line, width), lambda k: _shingle(w, k, width)))
+    return F.array_distinct(F.get(hashes, F.lit(0)))
 
 
-def pieces(line: str, width: int) -> Column:
-    """A line in pieces whose shingles together are those of the line."""
-    some = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{width},{PIECE + width - 1}}})).{{1,{PIECE}}}"), F.lit(1))
-    return F.when(F.length(line) <= PIECE, F.array(line)).otherwise(some)
+def exploded(lines: DataFrame, width: int, *columns: str) -> DataFrame:
+    """``columns`` and h, a row for each shingle of the column line."""
+    wide = lines.select(*columns, F.encode("line", "UTF-32").alias("_wide"), F.explode(_starts("line", width)).alias("_start"))
+    return wide.select(*columns, _shingle(F.col("_wide"), F.col("_start"), width).alias("h"))
 
 
-def signatures(distinct: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
+def signatures(distinct: DataFrame, width: int, bands: int) -> DataFrame:
     """key, at, n and the hashes of the bands of every distinct line."""
-    cut = distinct.select("key", "at", "n", F.explode(pieces("line", width)).alias("piece"))
-    exploded = cut.select("key", "at", "n", F.explode(shingles("piece", width)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
-    minima = [F.min(F.xxhash64("h", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)]
-    least = exploded.groupBy("key").agg(F.min("at.doc").alias("d"), F.min("at.row").alias("r"), F.min("at.pos").alias("p"), F.min("n").alias("n"), *minima)
-    hashes = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * rows + k}" for k in range(rows))) for b in range(bands)))
+    places = [F.col("at.doc").alias("d"), F.col("at.row").alias("r"), F.col("at.pos").alias("p")]
+    every = exploded(distinct.select("key", "n", "line", *places), width, "key", "n", "d", "r", "p")
+    every = every.select("key", "n", "d", "r", "p", *(F.xxhash64("h", F.lit(b)).alias(f"h{b}") for b in range(bands)))
+    minima = [F.min(F.col(f"h{b}").bitwiseXOR(F.lit(flip))).alias(f"m{b}_{k}") for b in range(bands) for k, flip in enumerate(FLIPS)]
+    least = every.groupBy("key").agg(*(F.min(c).alias(c) for c in ("n", "d", "r", "p")), *minima)
+    hashes = F.array(*(F.xxhash64(F.lit(b), *(f"m{b}_{k}" for k in range(len(FLIPS)))) for b in range(bands)))
     return least.select("key", F.struct(F.col("d").alias("doc"), F.col("r").alias("row"), F.col("p").alias("pos")).alias("at"), "n", hashes.alias("bands"))
 
 
@@ -85,106 +102,91 @@ def _links(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     return joined.filter(both * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
 
 
-def _open(members: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """band, key, group, size of the lines in bands that hold lines of several components."""
-    placed = members.join(groups, members["key"] == groups["node"], "left").select("band", "key", F.coalesce("component", "key").alias("group"))
-    split = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("band")
-    return placed.join(split, "band", "left_semi").join(texts.select("key", "size"), "key").select("band", "key", "group", "size")
+def _hub_pairs(members: DataFrame, hubs: int) -> DataFrame:
+    """Each line with up to ``hubs`` lines of its band, chosen by hash."""
+    picks = members.groupBy("band").agg(F.array_distinct(F.array(*(F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(hubs)))).alias("picks"))
+    pairs = members.join(picks, "band").select("key", F.explode("picks").alias("hub")).filter("key != hub")
+    return pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
 
 
-def _pivot_pairs(rows: DataFrame, pivots: int, similarity: float) -> DataFrame:
-    """Each line with up to ``pivots`` lines of its band that are of other components, chosen by hash."""
-    chosen = [F.min_by(F.struct(F.col("key").alias("b"), F.col("group").alias("g"), F.col("size").alias("s")), F.xxhash64("key", F.lit(k))) for k in range(pivots)]
-    picks = rows.groupBy("band").agg(F.array(*chosen).alias("picks"))
-    other = F.filter("picks", lambda p: (p["g"] != F.col("group")) & _sizes_fit(p["s"], F.col("size"), similarity))
-    pairs = rows.join(picks, "band").select("key", F.explode(F.array_distinct(other)).alias("p"))
-    return pairs.select(F.least("key", "p.b").alias("a"), F.greatest("key", "p.b").alias("b")).distinct()
+def bitmaps(texts: DataFrame, width: int) -> DataFrame:
+    """key and the words w0, w1, ... of a bitmap in which every shingle of the line sets one bit."""
+    every = exploded(texts, width, "key").select("key", F.pmod("h", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 32), 64) AS int))").alias("bit"))
+    return every.groupBy("key").agg(*(F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)))
 
 
-def _rest_pairs(rows: DataFrame, texts: DataFrame, width: int, similarity: float, small: int) -> DataFrame:
-    """Of bands of up to ``small`` lines all pairs of different components; of larger ones what the prefix filter gives."""
-    rows = rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("lines")), "band")
-    few = rows.filter(F.col("lines") <= small)
+def _block_pairs(members: DataFrame, groups: DataFrame, marked: DataFrame, texts: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
+    """Pairs (a, b) of lines of different components that share a band and that the bitmaps do not rule out.
 
-    def side(key: str, group: str, size: str) -> DataFrame:
-        return few.select("band", F.col("key").alias(key), F.col("group").alias(group), F.col("size").alias(size))
-
-    different = (F.col("a") < F.col("b")) & (F.col("g") != F.col("h")) & _sizes_fit("m", "n", similarity)
-    pairs = side("a", "g", "m").join(side("b", "h", "n"), "band").filter(different).select("a", "b")
-    return pairs.union(_prefix_pairs(rows.filter(F.col("lines") > small), texts, width, similarity)).distinct()
-
-
-def _prefix_pairs(rows: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Pairs of different components that share a shingle among each other's rarest.
-
-    Shingles of one line alone match nothing.  Of the others a line has to share ``similarity``
-    of its whole set, so it shares one of its rarest; and what it has before and behind that
-    shingle bounds what the pair can share.  Lines too unlike all others drop out at once.
+    Two lines differ in a shingle at least for each bit in which their bitmaps differ, and similar ones
+    in (1 - similarity) / (1 + similarity) of the sum of their sizes at most.  The lines of a band are dealt out in blocks of
+    about ``block`` lines, and each block meets all of the band in a task of its own.
+    A pair is made in the first band that it shares.
     """
-    keys = rows.select("key", "group", "size").distinct()
-    hashes = F.array_distinct(F.transform(shingles("line", width), lambda s: F.xxhash64(s)))
-    shingled = keys.join(texts.select("key", "line"), "key").select("key", "group", "size", F.explode(hashes).alias("shingle"))
-    counted = shingled.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    order = F.array_sort(F.collect_list(F.struct("n", "shingle")))
-    known = shingled.join(counted, "shingle").groupBy("key", "group", "size").agg(order.alias("order"))
-    known = known.withColumn("known", F.size("order")).withColumn("spare", F.col("known") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)).cast("int"))
-    prefix = known.filter("spare >= 0").select("key", "group", "size", "known", F.posexplode(F.slice("order", F.lit(1), F.col("spare") + 1)).alias("at", "o"))
-
-    def side(x: str) -> DataFrame:
-        return prefix.select(F.col("o.shingle").alias("shingle"), F.col("key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("group", "size", "known", "at")))
-
-    most = F.least("at_a", "at_b") + F.least(F.col("known_a") - F.col("at_a"), F.col("known_b") - F.col("at_b"))
-    least = F.lit(similarity / (1 + similarity)) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9)
-    fit = (F.col("group_a") < F.col("group_b")) & _sizes_fit("size_a", "size_b", similarity) & (most >= least)
-    pairs = side("a").join(side("b"), "shingle").filter(fit)
-    return pairs.select("a", "b")
-
-
-def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity: float, pivots: int = 8, small: int = 64) -> DataFrame:
+    placed = members.join(groups, members["key"] == groups["node"], "left").select("band", "key", F.coalesce("component", "key").alias("group"))
+    bands = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = written(placed.join(bands.filter("lo != hi").drop("lo", "hi"), "band"), "open-bands")
+    open_lines = placed.select("key").distinct()
+    maps = bitmaps(texts.join(open_lines, "key", "left_semi"), width)
+    hashes = mark_members(marked.select("key", "bands"), placed, "key").filter("_member").drop("_member")
+    known = maps.join(hashes, "key").join(texts.select("key", "size"), "key")
+    rows = placed.join(known, "key")
+
+    def side(x: str, block_of: Column) -> DataFrame:
+        names = ("key", "group", "size", "bands", *(f"w{w}" for w in range(WORDS)))
+        return rows.select("band", block_of.alias("block"), *(F.col(c).alias(f"{x}_{c}") for c in names))
+
+    left = side("a", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    differing = reduce(Column.__add__, (F.bit_count(F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))) for w in range(WORDS)))
+    near = differing <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) + F.lit(1e-9)
+    n = marked.select(F.size("bands")).first()[0]
+    first = F.coalesce(*(F.when(F.get("a_bands", F.lit(b)) == F.get("b_bands", F.lit(b)), F.get("a_bands", F.lit(b))) for b in range(n)))
+    meet = (left["band"] == right["band"]) & (left["block"] == right["block"]) & (F.col("a_key") < F.col("b_key")) & (F.col("a_group") != F.col("b_group"))
+    return left.join(right, meet & _sizes_fit("a_size", "b_size", similarity) & near & (first == left["band"])).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
+
+
+def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity: float, hubs: int = 4, block: int = 512) -> DataFrame:
     """(node, component) of the lines that are linked; ``marked`` is the signatures of all lines."""
-    exploded = marked.select("key", F.explode("bands").alias("band"))
-    shared = written(exploded.groupBy("band").count().filter("count > 1").select("band"), "shared-bands")
-    members = mark_members(exploded, shared, "band").filter("_member").select("key", "band")
+    banded = marked.select("key", F.explode("bands").alias("band"))
+    shared = written(banded.groupBy("band").count().filter("count > 1").select("band"), "shared-bands")
+    members = mark_members(banded, shared, "band").filter("_member").select("key", "band")
     members = written(members.join(shared, "band"), "band-members")
     keys = members.select("key").distinct()
     texts = mark_members(lines.select("key", "line"), members, "key").filter("_member").select("key", "line")
     texts = texts.groupBy("key").agg(F.first("line").alias("line")).join(keys, "key", "left_semi")
-    texts = written(texts.withColumn("size", F.size(F.array_distinct(shingles("line", width)))), "candidate-lines")
+    texts = written(texts.withColumn("size", F.size(shingles("line", width))), "candidate-lines")
 
-    stars = members.join(members.groupBy("band").agg(F.min("key").alias("b")), "band").filter("key != b").select(F.col("key").alias("a"), "b").distinct()
-    groups = connected_components(_links(stars, texts, width, similarity))
-    for pairs_of in (lambda rows: _pivot_pairs(rows, pivots, similarity), lambda rows: _rest_pairs(rows, texts, width, similarity, small)):
-        still = written(_open(members, groups, texts), "open-bands")
-        if still.isEmpty():
-            break
-        found = written(_links(pairs_of(still), texts, width, similarity), "more-links")
-        if not found.isEmpty():
-            groups = connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
-    return groups
+    groups = connected_components(_links(_hub_pairs(members, hubs), texts, width, similarity))
+    found = written(_links(_block_pairs(members, groups, marked, texts, width, similarity, block), texts, width, similarity), "more-links")
+    if found.isEmpty():
+        return groups
+    return connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
 
-def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, similarity: float = 0.8, bands: int = 9, rows: int = 4, with_text: bool = False) -> DataFrame:
+def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 8, similarity: float = 0.8, bands: int = 9, with_text: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, kept_sha256, and kept_text if ``with_text``.
 
     Lines end at ``\\n``.  Lines are linked at a Jaccard similarity of ``similarity`` or more
     of their shingle sets; equal lines always are.  Of a component the line of the smallest
     identifier, then place, stays.  Lines without a word are left alone and not counted
-    in n_lines.  Null texts have no lines.  Rows with a null identifier come after all others;
-    rows of one identifier are ordered by a hash of their texts, and rows that repeat
-    identifier and text are one document whose result each of them gets.  An empty table
+    in n_lines.  Null texts have no lines.  Lines of any length are compared whole.  Rows with a null
+    identifier come after all others; rows of one identifier are ordered by a hash of their texts, and rows
+    that repeat identifier and text are one document whose result each of them gets.  An empty table
     gives no rows; other columns are ignored.
 
-    A pair at the similarity shares a band with probability 1 - (1 - similarity ** rows) ** bands
-    (0.991 by default, 0.9999 at 0.9); every pair that does is verified exactly.
+    A pair at the similarity shares a band with probability 1 - (1 - similarity ** 4) ** bands
+    (0.991 by default, 0.9999 at 0.9); every pair that does is verified, on 64-bit hashes of the shingles.
     """
     documents = _documents(docs, id_col, text_col)
     lines = _lines(documents)
     place = F.struct("doc", "row", "pos")
     distinct = lines.groupBy("key").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
-    marked = written(signatures(distinct, width, bands, rows), "line-signatures")
+    marked = written(signatures(distinct, width, bands), "line-signatures")
     groups = line_components(lines, marked, width, similarity)
 
-    known = marked.select("key", "at", "n").join(groups, marked["key"] == groups["node"], "left")
+    linked = written(groups.select(F.col("node").alias("key"), "component"), "linked-lines")
+    known = mark_members(marked.select("key", "at", "n"), linked, "key").filter("_member or n > 1").join(linked, "key", "left")
     named = known.filter("component is not null").groupBy("component").agg(F.min("at").alias("keep"))
     grouped = known.join(named, "component").select("key", "keep")
     alone = known.filter("component is null and n > 1").select("key", F.col("at").alias("keep"))

@@ -52,17 +52,16 @@ def test_characters_behind_the_eighth_of_a_word_count(spark):
     # Equal but for the first eight characters: similar, though no word starts alike.
     listed += ["01234567" + blob[120:320], "89abcdef" + blob[120:320]]
     listed += ["\U0001f600é" * 5 + blob[:200], "\U0001f600é" * 6 + blob[:200]]
-    # Longer than a piece, and as long as one with part of a shingle.
-    long = "".join(rng.choices("ghijklmnopqrst", k=3 * lines.PIECE))
-    listed += [long, "x" + long, long[: lines.PIECE + 3], long[lines.PIECE :]]
+    long = "".join(rng.choices("ghijklmnopqrst", k=12_288))
+    listed += [long, "x" + long, long[:4099], long[4096:]]
     cases = dict(enumerate(listed))
     expected = kept_lines(cases)
     assert [i for i, t in expected.items() if not t] == [11, 13, 15]
     assert got_lines(spark, cases) == expected
 
 
-@pytest.mark.parametrize("small", [0, 64])
-def test_lines_of_bands_left_apart(spark, small, monkeypatch):
+@pytest.mark.parametrize("block", [1, 7, 512])
+def test_lines_of_bands_left_apart(spark, block, monkeypatch):
     """Chains of lines that differ in more and more places, so that bands hold several components."""
     rng = random.Random(3)
     listed = []
@@ -75,17 +74,33 @@ def test_lines_of_bands_left_apart(spark, small, monkeypatch):
     rng.shuffle(listed)
     cases = dict(enumerate(listed))
     whole = lines.line_components
-    monkeypatch.setattr(lines, "line_components", lambda *a: whole(*a, pivots=1, small=small))
-    # One row a band and many bands: every pair shares a band.
-    assert got_lines(spark, cases, bands=40, rows=1) == kept_lines(cases)
+    monkeypatch.setattr(lines, "line_components", lambda *a: whole(*a, hubs=1, block=block))
+    # So many bands that every link shares one.
+    assert got_lines(spark, cases, bands=40) == kept_lines(cases)
 
 
-def test_pieces_have_the_shingles_of_the_line(spark):
-    rng = random.Random(1)
-    listed = ["".join(rng.choices("ab é\U0001f600", k=n)) for n in (1, 7, 8, 9, *(k * lines.PIECE + d for k in (1, 2) for d in (-1, 0, 1, 6, 7, 8)))]
+def test_bitmaps_rule_out_no_similar_pair(spark):
+    rng = random.Random(6)
+    listed = ["".join(rng.choices("abcdef ", k=n)) for n in (3, 8, 40, 300, 5000)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(listed)], "key int, line string")
+    rows = docs.join(lines.bitmaps(docs, 8), "key").select("key", F.size(lines.shingles("line", 8)).alias("size"), *(f"w{w}" for w in range(lines.WORDS))).collect()
+    for r in rows:
+        bits = sum((r[f"w{w}"] & (1 << 64) - 1).bit_count() for w in range(lines.WORDS))
+        assert r["size"] == len(shingles(listed[r.key]))
+        assert 1 <= bits <= r["size"]
+
+
+def test_shingles_of_wide_characters(spark):
+    listed = ["ab é\U0001f600" * k for k in (1, 2, 3, 9)] + ["\U0001f600" * 8, "1234567", "12345678", "x" * 20]
     docs = spark.createDataFrame(list(enumerate(listed)), "k int, line string")
-    parts = docs.select("k", F.explode(lines.pieces("line", 8)).alias("piece")).select("k", lines.shingles("piece", 8).alias("s")).collect()
-    found = {}
-    for r in parts:
-        found.setdefault(r.k, []).extend(r.s)
-    assert found == {k: [x[i : i + 8] for i in range(len(x) - 7)] or [x] for k, x in enumerate(listed)}
+    got = docs.select("k", lines.shingles("line", 8).alias("s")).collect()
+    rows = lines.exploded(docs, 8, "k").distinct().groupBy("k").agg(F.collect_set("h").alias("h")).collect()
+    found = {r.k: set(r.h) for r in rows}
+    hashes = {}
+    for r in got:
+        assert len(r.s) == len(shingles(listed[r.k])) and set(r.s) == found[r.k]
+        for h in r.s:
+            hashes.setdefault(h, set()).add(r.k)
+    for a in range(len(listed)):
+        for b in range(a):
+            assert len(found[a] & found[b]) == len(shingles(listed[a]) & shingles(listed[b]))
