@@ -1,15 +1,18 @@
 """Token counts of whole texts for a ``sentencepiece`` model, lengths only.
 
 Texts are cut at safe boundaries, batches of about equal bytes are encoded, and only
-lengths leave the Arrow function.  A boundary is safe before a space that follows
-another character: where no piece of the vocabulary has the space mark behind any
-other character, and spaces are kept as they are, no merge reaches over it.  (Other
+lengths leave the Arrow function.  A boundary is safe at a space between two letters or
+digits that normalisation leaves alone: what stands there is one space mark, the end of no piece
+and the start of at most one, where no piece of the vocabulary has the space mark behind any
+other character and spaces are kept as they are.  (Other
 vocabularies are encoded uncut.)  The library puts a space
 mark before what it encodes; the boundary's own space is therefore left to it.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import public_tokenizers
@@ -21,9 +24,16 @@ from quorumscan.llm.common import Out, pick, rows_of
 
 PIECE_BPE = "piece_bpe_32k.model"
 MARK = "▁"
+#: Where a text may be cut: a space between word characters.
+BETWEEN = re.compile(r"(?<=\w) (?=\w)")
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
+def plain(c: str) -> bool:
+    """Whether a character is a letter or digit that stays as it is beside any other."""
+    return c.isalnum() and (c.isascii() or unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c))
+
+
 class PieceCounter:
     """Counts tokens of texts; ``batch_bytes`` bounds what the library gets at once, ``part_chars`` a part of a text."""
 
@@ -38,10 +48,9 @@ class PieceCounter:
         """The text cut at safe boundaries, without the space of each boundary."""
         begin = 0
         while self.safe and len(text) - begin > self.part_chars:
-            at = begin + self.part_chars
-            while (at := text.find(" ", at)) > 0 and (text[at - 1] == " " or at + 1 == len(text)):
-                at += 1
-            if at < 0:
+            found = BETWEEN.finditer(text, begin + self.part_chars)
+            at = next((m.start() for m in found if plain(text[m.start() - 1]) and plain(text[m.end()])), None)
+            if at is None:
                 break
             yield text[begin:at]
             begin = at + 1

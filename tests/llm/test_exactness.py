@@ -234,6 +234,23 @@ def test_token_counts_equal_the_library(spark, texts):
     assert counter.counts([*ODD, long]) == [len(model.encode(t)) for t in [*ODD, long]]
 
 
+def test_token_counts_at_any_cut():
+    """Short parts, and at every place marks, blanks of many kinds, special strings and signs that join their neighbours."""
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(12)
+    some = ["a", "b", "the", "9", "é", "中", "한", " ", " ", " ", "▁", "\t", "\n", "\u3000", "\u00a0", "\u200b", "\u0301", "ﷺ", "½", "Ⅳ", "<s>", "</s>", "<unk>", "<0x41>", ".", "-", "\u2581\u2581", "\x00", "\U0001f600", "ｱ", "ﾞ"]
+    texts = ["".join(rng.choices(some, k=rng.randrange(1, 60))) for _ in range(3000)]
+    whole = [len(model.encode(t)) for t in texts]
+    for part_chars in (1, 2, 3, 5, 16):
+        assert token_counts.PieceCounter(part_chars=part_chars, batch_bytes=1000).counts(texts) == whole
+    # At the default, marks around the place where a part would end.
+    size = token_counts.PieceCounter().part_chars
+    long = ["ab " * (size // 3 - 2) + "x" * k + "▁ " * 2 + "cd " * 10 for k in range(8)]
+    assert token_counts.PieceCounter().counts(long) == [len(model.encode(t)) for t in long]
+    counter = token_counts.PieceCounter(part_chars=16)
+    assert len(list(counter.parts("word " * 100))) > 20
+
+
 # -- 6: quality ---------------------------------------------------------------------------------
 
 
