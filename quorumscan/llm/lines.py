@@ -69,18 +69,22 @@ def shingles(line: str, width: int) -> Column:
     return F.array_distinct(F.get(hashes, F.lit(0)))
 
 
-def exploded(lines: DataFrame, width: int, *columns: str) -> DataFrame:
-    """``columns`` and h, a row for each shingle of the column line."""
-    wide = lines.select(*columns, F.encode("line", "UTF-32").alias("_wide"), F.explode(_starts("line", width)).alias("_start"))
-    return wide.select(*columns, _shingle(F.col("_wide"), F.col("_start"), width).alias("h"))
+def exploded(lines: DataFrame, width: int, step: int, *columns: str) -> DataFrame:
+    """``columns`` and h0, h1, ...: a row for every ``step`` shingles of the column line, the last repeated where there are less."""
+    last = F.greatest(F.length("line") - width, F.lit(0))
+    wide = lines.select(*columns, F.encode("line", "UTF-32").alias("_wide"), last.alias("_last"), F.sequence(F.lit(0), last, F.lit(step)).alias("_starts"))
+    wide = wide.select(*columns, "_wide", "_last", F.explode("_starts").alias("_start"))  # apart, or each row would encode its line
+    return wide.select(*columns, *(_shingle(F.col("_wide"), F.least(F.col("_start") + j, F.col("_last")), width).alias(f"h{j}") for j in range(step)))
 
 
-def signatures(distinct: DataFrame, width: int, bands: int) -> DataFrame:
-    """key, at, n and the hashes of the bands of every distinct line."""
+def signatures(distinct: DataFrame, width: int, bands: int, step: int = 2) -> DataFrame:
+    """key, at, n and the hashes of the bands of every distinct line; minima are taken over ``step`` shingles first."""
     places = [F.col("at.doc").alias("d"), F.col("at.row").alias("r"), F.col("at.pos").alias("p")]
-    every = exploded(distinct.select("key", "n", "line", *places), width, "key", "n", "d", "r", "p")
-    every = every.select("key", "n", "d", "r", "p", *(F.xxhash64("h", F.lit(b)).alias(f"h{b}") for b in range(bands)))
-    minima = [F.min(F.col(f"h{b}").bitwiseXOR(F.lit(flip))).alias(f"m{b}_{k}") for b in range(bands) for k, flip in enumerate(FLIPS)]
+    names = ("key", "n", "d", "r", "p")
+    every = exploded(distinct.select("key", "n", "line", *places), width, step, *names)
+    every = every.select(*names, *(F.xxhash64(f"h{j}", F.lit(b)).alias(f"h{b}_{j}") for b in range(bands) for j in range(step)))
+    every = every.select(*names, *(F.least(*(F.col(f"h{b}_{j}").bitwiseXOR(F.lit(flip)) for j in range(step))).alias(f"m{b}_{k}") for b in range(bands) for k, flip in enumerate(FLIPS)))
+    minima = [F.min(f"m{b}_{k}").alias(f"m{b}_{k}") for b in range(bands) for k in range(len(FLIPS))]
     least = every.groupBy("key").agg(*(F.min(c).alias(c) for c in ("n", "d", "r", "p")), *minima)
     hashes = F.array(*(F.xxhash64(F.lit(b), *(f"m{b}_{k}" for k in range(len(FLIPS)))) for b in range(bands)))
     return least.select("key", F.struct(F.col("d").alias("doc"), F.col("r").alias("row"), F.col("p").alias("pos")).alias("at"), "n", hashes.alias("bands"))
@@ -111,7 +115,7 @@ def _hub_pairs(members: DataFrame, hubs: int) -> DataFrame:
 
 def bitmaps(texts: DataFrame, width: int) -> DataFrame:
     """key and the words w0, w1, ... of a bitmap in which every shingle of the line sets one bit."""
-    every = exploded(texts, width, "key").select("key", F.pmod("h", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 32), 64) AS int))").alias("bit"))
+    every = exploded(texts, width, 1, "key").select("key", F.pmod("h0", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h0, 32), 64) AS int))").alias("bit"))
     return every.groupBy("key").agg(*(F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)))
 
 
