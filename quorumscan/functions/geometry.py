@@ -62,3 +62,59 @@ def cosine_difference(a: str | Column, b: str | Column) -> Column:
 def distances_to_box(px: Column, py: Column, d: Column) -> Box:
     """A box from an anchor point and its distances to the left, top, right and bottom edges."""
     return px - d[0], py - d[1], px + d[2], py + d[3]
+
+
+def curve_points(values: str | Column, x: Column) -> Column:
+    """A curve as ``x,y`` points of a drawing 1000 wide and 56 high, joined by blanks.
+
+    The top stands for the larger of X + 2 and the curve's own largest value, rounded up; a curve of one value stands at 0.
+    """
+    top = F.greatest(x + 2, F.ceil(F.array_max(values))).cast("double")
+    step = F.when(F.size(values) > 1, F.lit(1000.0) / (F.size(values) - 1)).otherwise(F.lit(0.0))
+    return F.transform(values, lambda v, i: F.struct((i * step).alias("x"), (F.lit(56.0) - v / top * 56.0).alias("y")))
+
+
+def laplacian_variance(pixels: str, width: str | Column) -> Column:
+    """Variance of the 4-neighbour Laplacian of a grey picture, rows in one array; the border repeats mirrored; 0 of an empty one."""
+    w = F.col(width) if isinstance(width, str) else width
+    n = F.size(pixels)
+    h = (n / w).cast("int")
+
+    def mirrored(k: Column, size: Column) -> Column:
+        return F.when(size == 1, F.lit(0)).when(k < 0, -k).when(k >= size, 2 * size - 2 - k).otherwise(k)
+
+    def at(row: Column, column: Column) -> Column:
+        return F.get(pixels, (mirrored(row, h) * w + mirrored(column, w)).cast("int")).cast("double")
+
+    def response(k: Column) -> Column:
+        row, column = F.floor(k / w).cast("int"), (k % w).cast("int")
+        return at(row - 1, column) + at(row + 1, column) + at(row, column - 1) + at(row, column + 1) - 4 * at(row, column)
+
+    values = F.transform(F.sequence(F.lit(0), n - 1), response)
+    sums = F.aggregate(values, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")), lambda s, x: F.struct((s["a"] + x).alias("a"), (s["b"] + x * x).alias("b")))
+    return F.when(n > 0, sums["b"] / n - (sums["a"] / n) * (sums["a"] / n)).otherwise(F.lit(0.0))
+
+
+def similarity_transform(source: str, target: str) -> Column:
+    """(a, b, tx, ty) of the least-squares rotation, scale and shift of points onto others: x' = a x - b y + tx, y' = b x + a y + ty.
+
+    Points are arrays of structs with x and y, as many in both; null where all source points coincide.
+    """
+    pairs = F.arrays_zip(F.col(source).alias("p"), F.col(target).alias("q"))
+    names = ("px", "py", "qx", "qy", "pp", "dot", "cross")
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in names))
+
+    def add(s: Column, v: Column) -> Column:
+        p, q = v["p"], v["q"]
+        terms = (p["x"], p["y"], q["x"], q["y"], p["x"] * p["x"] + p["y"] * p["y"], p["x"] * q["x"] + p["y"] * q["y"], p["x"] * q["y"] - p["y"] * q["x"])
+        return F.struct(*((s[k] + t.cast("double")).alias(k) for k, t in zip(names, terms)))
+
+    def solved(s: Column) -> Column:
+        n = F.size(source)
+        spread = s["pp"] - (s["px"] * s["px"] + s["py"] * s["py"]) / n
+        a = (s["dot"] - (s["px"] * s["qx"] + s["py"] * s["qy"]) / n) / spread
+        b = (s["cross"] - (s["px"] * s["qy"] - s["py"] * s["qx"]) / n) / spread
+        tx, ty = (s["qx"] - a * s["px"] + b * s["py"]) / n, (s["qy"] - b * s["px"] - a * s["py"]) / n
+        return F.when(spread > 0, F.struct(a.alias("a"), b.alias("b"), tx.alias("tx"), ty.alias("ty")))
+
+    return F.aggregate(pairs, zero, add, solved)

@@ -37,6 +37,25 @@ def gigabytes(size: Column) -> Column:
     return F.format_string("%.2f", size / F.lit(float(1 << 30)))
 
 
+def clock_range(start: Column, end: Column) -> Column:
+    """mm:ss – mm:ss."""
+    return F.concat(clock(start), F.lit(" – "), clock(end))
+
+
+def quoted_path(path: Column) -> Column:
+    """A path for a URL: every part percent-encoded but for letters, digits and _.-~, slashes kept."""
+    out = F.url_encode(path)
+    for old, new in (("%2F", "/"), ("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return out
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` below ``root``; one that lies elsewhere is left as it is."""
+    base = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(base)), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
+
+
 def parse_numbers(text: Column, kind: str = "double") -> Column:
     """A comma list as numbers; blanks are skipped."""
     return F.transform(F.filter(F.split(text, ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast(kind))

@@ -17,6 +17,35 @@ def status_rollup(items: DataFrame, key: str, status: str = "status") -> DataFra
     return out.select(key, state.alias("status"))
 
 
+def first_error(items: DataFrame, key: str, order: str, status: str = "status", error: str = "error") -> DataFrame:
+    """(key, error): the error of each parent's first failed child in ``order`` that has one."""
+    return first_by_order(items.filter(F.col(status) == "failed"), [key], error, order)
+
+
+def finished_items(items: DataFrame, status: str = "status", folder: str = "out_dir") -> DataFrame:
+    """Items that are done and have a folder of results."""
+    return items.filter((F.col(status) == "done") & (F.col(folder) != ""))
+
+
+def latest(rows: DataFrame, order: str, n: int = 50, tie: str = "id") -> DataFrame:
+    """The ``n`` latest rows; of equal times the largest ``tie`` first."""
+    return rows.orderBy(F.col(order).desc(), F.col(tie).desc()).limit(n)
+
+
+def items_with_assets(tasks: DataFrame, items: DataFrame, assets: DataFrame, task: str = "task_id", asset: str = "asset_id") -> DataFrame:
+    """Items of the tasks with their asset's name and duration; ``?`` and 0 where it is gone."""
+    found = tasks.select(task).join(items, task).join(assets.select(asset, "name", "duration"), asset, "left")
+    return found.withColumn("name", F.coalesce("name", F.lit("?"))).withColumn("duration", F.coalesce("duration", F.lit(0.0)))
+
+
+def characters_with_crop(segments: DataFrame, crops: DataFrame, ids: str = "character_ids", key: str = "video", character: str = "character_id") -> DataFrame:
+    """Segments whose array ``ids`` keeps the characters that have a crop in their video."""
+    shown = crops.groupBy(key).agg(F.collect_set(character).alias("_shown"))
+    joined = segments.join(shown, key, "left")
+    kept = F.array_intersect(ids, F.coalesce("_shown", F.array().cast(dict(segments.dtypes)[ids])))
+    return joined.select(*(kept.alias(c) if c == ids else F.col(c) for c in segments.columns))
+
+
 def latest_child(parents: DataFrame, children: DataFrame, key: str, order: list[str], keep: list[str]) -> DataFrame:
     """Parents with ``keep`` of their latest child by ``order`` (descending); nulls without one."""
     w = Window.partitionBy(key).orderBy(*(F.col(c).desc() for c in order))
@@ -64,9 +93,13 @@ def apply_state(assets: DataFrame, states: DataFrame, key: str = "asset_id") ->
     return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in fresh.columns else F.col(c) for c in assets.columns))
 
 
-def reservoir(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """A uniform sample of ``n`` rows: those with the smallest random keys."""
-    return rows.withColumn("_key", F.rand(seed)).orderBy("_key").limit(n).drop("_key")
+def reservoir(rows: DataFrame, n: int, seed: int = 0, key: str | None = None) -> DataFrame:
+    """A uniform sample of ``n`` rows: those with the smallest random keys.
+
+    With ``key``, a column that tells rows apart, the keys are digests of it and the sample is the same in every run.
+    """
+    drawn = F.rand(seed) if key is None else F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return rows.withColumn("_key", drawn).orderBy("_key").limit(n).drop("_key")
 
 
 def first_by_order(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -126,6 +126,11 @@ def sweep_table(rows: DataFrame, keys: list[str], row: str, column: str, values:
     return rows.groupBy(*keys, row).pivot(column, values).agg(F.first(cell))
 
 
+def sweep_range(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The least and the largest of each value per key, as min_ and max_ columns."""
+    return rows.groupBy(*keys).agg(*(f(c).alias(f"{name}_{c}") for c in values for name, f in (("min", F.min), ("max", F.max))))
+
+
 def gallery(tracks: DataFrame, key: str, cluster: str, order: str, clusters: int, per_cluster: int) -> DataFrame:
     """(key, cluster, place, pick) of a contact sheet: the largest clusters, of each ``per_cluster`` members spread evenly.
 

@@ -267,7 +267,20 @@ def q22_iou_pairs(spark, sf_dir):
     return pairs.groupBy("frame", "i", "j").agg(F.count(F.lit(1)).alias("pairs"), F.max(milli).alias("milli"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE b AS ({BOXES}),
+    o AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, x1, y1, x2, y2) AS r FROM b),
+    k AS (
+        SELECT frame, r, [struct_pack(x1 := x1, y1 := CAST(y1 AS DOUBLE), x2 := x2, y2 := CAST(y2 AS DOUBLE), score := score)] AS kept FROM o WHERE r = 1
+        UNION ALL
+        SELECT o.frame, o.r, CASE WHEN len(list_filter(k.kept, lambda e:
+            greatest(0, least(e.x2, o.x2) - greatest(e.x1, o.x1)) * greatest(0, least(e.y2, o.y2) - greatest(e.y1, o.y1))
+            > 0.4::DOUBLE * ((e.x2 - e.x1) * (e.y2 - e.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0, least(e.x2, o.x2) - greatest(e.x1, o.x1)) * greatest(0, least(e.y2, o.y2) - greatest(e.y1, o.y1))))) > 0
+            THEN k.kept ELSE list_append(k.kept, struct_pack(x1 := o.x1, y1 := CAST(o.y1 AS DOUBLE), x2 := o.x2, y2 := CAST(o.y2 AS DOUBLE), score := o.score)) END
+        FROM k JOIN o ON o.frame = k.frame AND o.r = k.r + 1
+    )
+    SELECT frame, u.x1, u.y1, u.x2, u.y2, u.score FROM (SELECT frame, unnest(arg_max(kept, r)) AS u FROM k GROUP BY frame)
+""")
 def q23_nms(spark, sf_dir):
     return gates.non_max_suppression(boxes(spark, sf_dir), ["frame"])
 
@@ -438,9 +451,9 @@ def q42_json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query()
+@query("SELECT event_id, user_id FROM events ORDER BY md5('0:' || event_id) LIMIT 100")
 def q43_reservoir_sample(spark, sf_dir):
-    return catalog.reservoir(table(spark, sf_dir, "events"), 100)
+    return catalog.reservoir(table(spark, sf_dir, "events").select("event_id", "user_id"), 100, key="event_id")
 
 
 @query("""

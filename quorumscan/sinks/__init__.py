@@ -20,3 +20,27 @@ def write_scan(scan: DataFrame, path: str) -> None:
 def write_report(rows: DataFrame, path: str) -> None:
     """A small report as one CSV file with a header."""
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def stored_scans(videos: DataFrame, scan: DataFrame, cuts: DataFrame, at_cuts: DataFrame, length: float, step: float) -> DataFrame:
+    """(video, value): each video's scan as the JSON text that ``sources.media.parse_scans`` reads; without cuts the arrays are empty."""
+    windows = scan.groupBy("video").agg(F.array_sort(F.collect_list(F.struct("t", "n"))).alias("windows"))
+    marks = cuts.groupBy("video").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
+    counts = at_cuts.groupBy("video").agg(F.array_sort(F.collect_set(F.struct("t", "n"))).alias("cut_windows"))
+    joined = videos.select("video", "duration").join(windows, "video", "left").join(marks, "video", "left").join(counts, "video", "left")
+    whole = F.struct("duration", F.lit(float(step)).alias("frame_interval"), F.lit(float(length)).alias("window_seconds"), *(F.coalesce(c, F.array()).alias(c) for c in ("cuts", "windows", "cut_windows")))
+    return joined.select("video", F.to_json(whole).alias("value"))
+
+
+def track_records(tracks: DataFrame) -> DataFrame:
+    """Tracks as they are reported: without pixels and vectors, times to 3 places, with num_detections."""
+    kept = [c for c in tracks.columns if c not in ("pixels", "feature", "crops")]
+    return tracks.select(*(F.round(c, 3).alias(c) if c in ("start_time", "end_time") else F.col(c) for c in kept))
+
+
+def run_summaries(segments: DataFrame, videos: DataFrame, x: int, length: float) -> DataFrame:
+    """(video, value): the summary of each video's run as JSON text, its segments in order of time."""
+    found = segments.groupBy("video").agg(F.array_sort(F.collect_list(F.struct(F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "character_count"))).alias("segments"))
+    rows = videos.select("video", "duration").join(found, "video", "left")
+    whole = F.struct("video", "duration", F.lit(float(length)).alias("window_seconds"), F.lit(x).cast("long").alias("x"), F.coalesce("segments", F.array()).alias("segments"))
+    return rows.select("video", F.to_json(whole).alias("value"))

@@ -56,6 +56,28 @@ def read_scans(spark: SparkSession, root: str) -> DataFrame:
     return named.select("video", F.col("k").cast("long").alias("k"), "w.t", "w.n")
 
 
+#: A stored scan: what a replay for any threshold needs.
+STORED_SCAN = "duration double, frame_interval double, window_seconds double, cuts array<double>, windows array<struct<t:double,n:bigint>>, cut_windows array<struct<t:double,n:bigint>>"
+
+
+def parse_scans(rows: DataFrame, value: str = "value") -> DataFrame:
+    """(video, duration, frame_interval, window_seconds, cuts, windows, cut_windows) of scans stored as JSON text."""
+    return rows.select("video", F.from_json(value, STORED_SCAN).alias("s")).select("video", "s.*")
+
+
+def read_stored_scans(spark: SparkSession, root: str) -> DataFrame:
+    """Stored scans ``root/*/windows_scan.json``, one row a video, the video being the folder's name."""
+    text = spark.read.text(f"{root}/*/windows_scan.json", wholetext=True)
+    return parse_scans(text.select(F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1).alias("video"), "value"))
+
+
+def read_run_summaries(spark: SparkSession, root: str) -> DataFrame:
+    """(path, video, duration, window_seconds, x, segments) of the run summaries ``root/*/windows.json``, by path."""
+    schema = "video string, duration double, window_seconds double, x bigint, segments array<struct<start:double,end:double,character_count:bigint>>"
+    raw = spark.read.option("multiLine", True).schema(schema).json(f"{root}/*/windows.json")
+    return raw.withColumn("path", F.input_file_name()).orderBy("path")
+
+
 def pairs_by_title(clips: DataFrame, films: DataFrame) -> DataFrame:
     """Clips joined to films of their title; clips without one are left out."""
     return clips.join(films, "title")
