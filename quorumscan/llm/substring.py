@@ -10,9 +10,11 @@ whose words also start earlier (in a smaller identifier, or earlier in the same
    cut out.  Equal segments become one row with their earliest place, so a passage that is
    in a third of all documents costs one row per task.  Phrases with more than ``hot``
    occurrences are cut into single windows keyed by themselves, which bounds every group.
-3. Automata.  Segments are dealt out by phrase.  Each task takes blocks of bounded size,
-   confirms which windows recur word by word, compiles them into an automaton over word
-   numbers and streams the segments through it to locate every occurrence and the earliest.
+3. Automata.  Segments are dealt out by phrase, so that each task is a shard.  It takes blocks of
+   bounded size: windows whose hashes recur are entered word by word, with their earliest place, in
+   an automaton over word numbers, and all segments stream through it.  What it reports is every
+   occurrence; those of other places than the earliest are later ones.  A segment stands for all documents
+   that have it, so every word of a document that can be covered passes an automaton, and no other word needs to.
 4. Documents get the places of their later occurrences back and drop the covered words.
 
 Only documents that hold a recurring phrase are shuffled, as far as a broadcast bitmap of
@@ -94,38 +96,63 @@ def phrases_of(texts: list[str], width: int, phrase: int) -> Phrases:
     return Phrases(mixed[chosen[at]], text[at], chosen[at] - base, starts[at] - base, starts[end] - base)
 
 
-def locate(segments: list[tuple], width: int) -> Iterator[tuple]:
-    """Of the segments of some phrases, which windows start earlier elsewhere.
-
-    Each item is (key, h1, h2, doc, row, start, n, words): the earliest place of a segment and
-    how often it occurs.  Yields (key, h1, h2, doc, row, start, later), bit o of ``later`` set where the
-    window o words in has an earlier place in another segment.
-    """
+def coded(segments: list[tuple]) -> list[str]:
+    """The words of each segment, the last of its fields, as one character a word."""
     codes: dict[str, str] = {}
-    coded = []
+    out = []
     for *_, words in segments:
         listed = words.split(" ")
         for w in listed:
             if w not in codes:
                 k = len(codes) + 1
                 codes[w] = chr(k if k < 0xD800 else k + 0x800)  # no surrogates
-        coded.append("".join(map(codes.__getitem__, listed)))
-    seen: dict[str, list] = {}
-    for (_, _, _, doc, row, start, n, _), text in zip(segments, coded, strict=True):
-        for o in range(len(text) - width + 1):
-            place = (doc, row, start + o)
-            known = seen.setdefault(text[o : o + width], [0, place])
-            known[0] += n
-            if place < known[1]:
-                known[1] = place
+        out.append("".join(map(codes.__getitem__, listed)))
+    return out
+
+
+def recurring_windows(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and offset of every window whose hash another window of the texts has too."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(chars) - width + 1
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = np.zeros(n, np.uint64)
+    for k in range(width):
+        hashes *= np.uint64(0x9E3779B97F4A7C15)
+        hashes += chars[k : n + k]
+    text = np.repeat(np.arange(len(texts)), sizes)[:n]
+    end = np.cumsum(sizes)
+    at = np.flatnonzero(np.arange(n) + width <= end[text])  # windows within one text
+    _, which, count = np.unique(hashes[at], return_inverse=True, return_counts=True)
+    at = at[count[which] > 1]
+    return text[at], at - (end - sizes)[text[at]]
+
+
+def automaton_of(segments: list[tuple], texts: list[str], width: int) -> ahocorasick.Automaton:
+    """Recurring windows of the segments, each with its earliest place (doc, row, start)."""
     automaton = ahocorasick.Automaton()
-    for window, (n, place) in seen.items():
-        if n > 1:
+    for k, o in zip(*(x.tolist() for x in recurring_windows(texts, width)), strict=True):
+        _, _, _, doc, row, start, *_ = segments[k]
+        window, place = texts[k][o : o + width], (doc, row, start + o)
+        known = automaton.get(window, None)
+        if known is None or place < known:
             automaton.add_word(window, place)
-    seen.clear()
     automaton.make_automaton()
+    return automaton
+
+
+def locate(segments: list[tuple], width: int) -> Iterator[tuple]:
+    """Of the segments of some phrases, which windows start earlier elsewhere.
+
+    Each item is (key, h1, h2, doc, row, start, n, words): the earliest place of a segment and
+    how often it occurs.  Yields (key, h1, h2, doc, row, start, later), bit o of ``later`` set where the
+    window o words in has an earlier place in another segment.
+    """
+    texts = coded(segments)
+    automaton = automaton_of(segments, texts, width)
     some = len(automaton) > 0
-    for (key, h1, h2, doc, row, start, _, _), text in zip(segments, coded, strict=True):
+    for (key, h1, h2, doc, row, start, *_), text in zip(segments, texts, strict=True):
         later = 0
         for end, place in automaton.iter(text) if some else ():
             o = end - width + 1
@@ -157,7 +184,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, and kept_text if ``with_text``.
 
     Words are runs of anything but ASCII white space, compared unchanged; null texts have
-    none.  Windows are judged on the input.  Rows with a null identifier come after all
+    none; texts of any length are taken whole.  Windows are judged on the input.  Rows with a null identifier come after all
     others; rows of one identifier are ordered by a hash of their texts, and rows that
     repeat identifier and text are one document whose result each of them gets.  Documents
     under ``width`` words lose nothing.  An empty table gives no rows; other columns are

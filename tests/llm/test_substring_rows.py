@@ -30,8 +30,9 @@ def brute_force(rows, width):
     return Counter(found[row] for row in rows)
 
 
+@pytest.mark.parametrize("hot", [2, 3, 4096])
 @pytest.mark.parametrize("seed", range(3))
-def test_null_and_repeated_identifiers(spark, seed):
+def test_null_and_repeated_identifiers(spark, seed, hot):
     rng = random.Random(seed)
     passages = [[rng.choice("abcdefgh") for _ in range(rng.randrange(8, 30))] for _ in range(12)]
     rows = []
@@ -42,5 +43,23 @@ def test_null_and_repeated_identifiers(spark, seed):
         rows.append((None if k % 3 == 0 else 7 if k % 3 == 1 else k, " ".join(words)))
     rows += rows[:5]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = substring.drop_repeats(docs, width=6, phrase=3, hot=2, block=4).collect()
+    got = substring.drop_repeats(docs, width=6, phrase=3, hot=hot, block=4).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_force(rows, 6)
+
+
+def test_the_automaton_reports_every_later_occurrence():
+    """Windows of segments of a shard, against a dictionary of all windows."""
+    rng = random.Random(4)
+    for width in (1, 3, 6):
+        segments = [(k % 3, k, k, k // 2, 0, rng.randrange(50), 1 + k % 2, " ".join(rng.choices("abc", k=rng.randrange(width, width + 12)))) for k in range(60)]
+        first = {}
+        for *_, doc, row, start, _, words in segments:
+            w = words.split(" ")
+            for o in range(len(w) - width + 1):
+                t = tuple(w[o : o + width])
+                first[t] = min(first.get(t, (doc, row, start + o)), (doc, row, start + o))
+        for segment, found in zip(segments, substring.locate(segments, width), strict=True):
+            assert found[:6] == segment[:6]
+            w = segment[-1].split(" ")
+            assert [bool(found[-1] >> o & 1) for o in range(len(w) - width + 1)] == [first[tuple(w[o : o + width])] != (segment[3], segment[4], segment[5] + o) for o in range(len(w) - width + 1)]
+    assert list(substring.locate([(1, 1, 1, 1, 1, 1, 1, "a")], 1)) == [(1, 1, 1, 1, 1, 1, 0)]
