@@ -3,10 +3,13 @@
 A document is the chain of its lines.  Viterbi decoding marks each line as content or
 boilerplate; the share of words in content lines decides whether the document stays.
 
-Lines have no labels of their own.  The field is fitted by maximum likelihood on a bounded
-sample of documents with a quality label, every line bearing its document's label; what
-lines look like in either kind, and that neighbours are mostly of one kind, is what it
-learns.  Plain base rules come first and are never overruled.
+Lines have no labels of their own.  The field is fitted on a bounded sample of documents with a
+quality label, in rounds.  All lines of a good document are content.  Those of a bad one begin as
+boilerplate; then each is labelled anew by what the field says of it alone, but one line at
+least, the most doubtful, stays boilerplate.  So a bad document's clean lines are learnt as content, and steps
+between the kinds are learnt from documents that hold both.  The least share of content that a
+document needs is the one that parts the sample's good and bad documents best.
+Plain base rules come first and are never overruled.
 """
 
 from __future__ import annotations
@@ -68,6 +71,7 @@ class LineField:
     emit: np.ndarray = field(default_factory=lambda: np.zeros((N_FEATURES, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
+    least_share: float = 0.5  #: share of words in content lines that a document needs
 
     def viterbi(self, lines: list[tuple[int, ...]], memo: dict) -> list[int]:
         """The most likely labels, 1 for content; content wins ties."""
@@ -91,31 +95,17 @@ class LineField:
         return labels[::-1]
 
 
-def fit(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.1, l2: float = 1e-4, part: int = 64, content_weight: float = 0.85) -> LineField:
-    """Fit a field to (text, quality) pairs by gradient ascent; long chains are fitted in parts of ``part`` lines.
-
-    ``content_weight`` is the weight of all content lines together, of boilerplate the rest:
-    over a half keeps doubtful lines.  Without a label of each kind everything is content.
-    """
-    model = LineField()
-    if len({y for _, y in sample}) < 2:
-        return model
-    chains, labels = [], []
-    for text, y in sample:
-        lines = chain(text)[0]
-        for at in range(0, len(lines), part):
-            chains.append(lines[at : at + part])
-            labels.append(y)
-    order = sorted(range(len(chains)), key=lambda k: -len(chains[k]))
-    chains, y = [chains[k] for k in order], np.array([labels[k] for k in order])
+def maximise(model: LineField, chains: list[list[tuple[int, ...]]], labels: list[list[int]], weight: np.ndarray, steps: int, rate: float, l2: float) -> None:
+    """Raise the weighted likelihood of the chains' labels by gradient ascent; chains come longest first."""
     n, most = len(chains), len(chains[0])
     size = np.array([len(c) for c in chains])
     x = np.zeros((most, n, N_FEATURES), np.float32)
-    for d, c in enumerate(chains):
+    y = np.zeros((most, n), np.int64)
+    for d, (c, listed) in enumerate(zip(chains, labels, strict=True)):
+        y[: len(listed), d] = listed
         for t, on in enumerate(c):
             x[t, d, list(on)] = 1
     live = [int((size > t).sum()) for t in range(most)]
-    weight = np.where(y == 1, content_weight / size[y == 1].sum(), (1 - content_weight) / size[y == 0].sum())
     params = [model.emit, model.start, model.step]
     moments = [[np.zeros_like(p) for p in params] for _ in range(2)]
     for k in range(1, steps + 1):
@@ -135,19 +125,63 @@ def fit(sample: list[tuple[str, int]], steps: int = 120, rate: float = 0.1, l2:
         for t in range(most):
             m = live[t]
             away = -np.exp(alpha[t, :m] + beta[t, :m] - log_z[:m, None])
-            away[np.arange(m), y[:m]] += 1
+            away[np.arange(m), y[t, :m]] += 1
             away *= weight[:m, None]
             g_emit = g_emit + x[t, :m].T @ away
             if t == 0:
                 g_start = away.sum(axis=0)
             else:
                 pair = -np.exp(alpha[t - 1, :m, :, None] + model.step + (scores[t, :m] + beta[t, :m])[:, None, :] - log_z[:m, None, None])
-                pair[np.arange(m), y[:m], y[:m]] += 1
+                pair[np.arange(m), y[t - 1, :m], y[t, :m]] += 1
                 g_step = g_step + np.einsum("d,dij->ij", weight[:m], pair)
         for p, g, m1, m2 in zip(params, (g_emit, g_start, g_step), *moments, strict=True):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
             p += rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-9)
+
+
+def relabelled(model: LineField, lines: list[tuple[int, ...]]) -> list[int]:
+    """Labels of a bad document's lines: what each line's own features say, one line at least boilerplate."""
+    odds = [float(model.emit[list(on)].sum(axis=0) @ (-1, 1)) for on in lines]
+    worst = min(range(len(odds)), key=odds.__getitem__, default=None)
+    return [int(o > 0 and k != worst) for k, o in enumerate(odds)]
+
+
+def content_share(labels: list[int], sizes: list[int]) -> float | None:
+    """Share of the words that lie in content lines; null without words."""
+    return sum(n for n, y in zip(sizes, labels, strict=True) if y) / sum(sizes) if sizes else None
+
+
+def fit(sample: list[tuple[str, int]], rounds: int = 3, steps: int = 80, rate: float = 0.1, l2: float = 1e-4, part: int = 64, content_weight: float = 0.85, most_lines: int = 200_000) -> LineField:
+    """Fit a field to (text, quality) pairs; long chains are fitted in parts of ``part`` lines.
+
+    ``content_weight`` is the weight of all good documents' lines together, of bad ones' the rest:
+    over a half keeps doubtful lines and documents.  Documents are taken as they come until they have ``most_lines``
+    lines, which bounds memory.  Without a label of each kind everything is content.
+    """
+    model = LineField()
+    held, taken = 0, []
+    for text, y in sample:
+        lines, sizes, _ = chain(text)
+        if lines and held + len(lines) <= most_lines:
+            held += len(lines)
+            taken.append((lines, sizes, y))
+    if len({y for *_, y in taken}) < 2:
+        return model
+    parts = sorted(((d, at) for d, (lines, *_) in enumerate(taken) for at in range(0, len(lines), part)), key=lambda p: -len(taken[p[0]][0][p[1] : p[1] + part]))
+    total = [sum(len(lines) for lines, _, y in taken if y == k) for k in (0, 1)]
+    weight = np.array([(1 - content_weight, content_weight)[taken[d][2]] / total[taken[d][2]] for d, _ in parts])
+    labels = [[y] * len(lines) for lines, _, y in taken]
+    for _ in range(rounds):
+        maximise(model, [taken[d][0][at : at + part] for d, at in parts], [labels[d][at : at + part] for d, at in parts], weight, steps, rate, l2)
+        labels = [labels[d] if y else relabelled(model, lines) for d, (lines, _, y) in enumerate(taken)]
+    memo: dict = {}
+    shares = np.array([content_share(model.viterbi(lines, memo), sizes) for lines, sizes, _ in taken])
+    good = np.array([y == 1 for *_, y in taken])
+    bounds = np.arange(1, 20) / 20
+    errors = [content_weight * (shares[good] < b).mean() + (1 - content_weight) * (shares[~good] >= b).mean() for b in bounds]
+    best = bounds[np.isclose(errors, min(errors))]
+    model.least_share = float(best[np.argmin(np.abs(best - np.median(best)))])
     return model
 
 
@@ -171,12 +205,12 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
     return total
 
 
-def rate(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: str = "text", least_share: float = 0.5) -> DataFrame:
+def rate(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the base statistics, base_failed, kept, and the labelling's line counts and share.
 
     ``content_share`` is the share of words that lie in content lines, null without words;
-    a document stays if it passes the base rules and the share is ``least_share`` or more.
-    Null texts have no words and fail the base rules.  Null or repeated identifiers pass
+    a document stays if it passes the base rules and the share is the model's least share or more.
+    Null texts have no words and fail the base rules; texts of any length are rated whole.  Null or repeated identifiers pass
     through; an empty table gives no rows; other columns are ignored.
     """
 
@@ -191,10 +225,10 @@ def rate(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: st
                 again = repeated_words(words)
                 lines, sizes, dup = chain(text)
                 labels = model.viterbi(lines, memo)
-                share = sum(s for s, y in zip(sizes, labels, strict=True) if y) / n if n else None
+                share = content_share(labels, sizes)
                 failed = n < 10 or 100 * again > 20 * n
                 chars = len(text) - sum(map(text.count, SPACES))
-                out.add(doc_id, n, chars, len(data) - len(data.translate(None, SYMBOLS)), dup, again, failed, not failed and share >= least_share, len(labels), sum(labels), share)
+                out.add(doc_id, n, chars, len(data) - len(data.translate(None, SYMBOLS)), dup, again, failed, not failed and share >= model.least_share, len(labels), sum(labels), share)
             if len(out):
                 yield out.take()
 
@@ -202,6 +236,6 @@ def rate(docs: DataFrame, model: LineField, id_col: str = "doc_id", text_col: st
     return pick(docs, id_col, text_col).mapInArrow(run, ddl)
 
 
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> LineField:
-    """A field fitted on at most ``2 * per_class`` documents with a quality label."""
-    return fit(labelled_sample(docs, labels, label, per_class, id_col, text_col))
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 2000, id_col: str = "doc_id", text_col: str = "text", train: str | None = None) -> LineField:
+    """A field fitted on at most ``2 * per_class`` documents with a quality label (see ``labelled_sample``)."""
+    return fit(labelled_sample(docs, labels, label, per_class, id_col, text_col, train))
