@@ -1,11 +1,13 @@
 """Secret scans: fixed patterns, and random strings found by character Markov models.
 
-Main path: DataFrame functions only.  Two first-order character models, of random strings
-and of ordinary identifiers, are trained from labelled samples by counting character pairs.
-A long token is reported when the log-likelihood ratio of the two models, summed over its
-characters, exceeds a margin; of one that is not, each stretch of ``LEAST`` characters or more
-whose own sum does, as of a secret behind a path.  The models are kept as one table of integer weights
-(thousandths of a nat) for 128 x 128 character pairs, a literal of fixed size in the plan.
+Main path: DataFrame functions only.  First-order character models, one of ordinary
+identifiers and one of random strings for each alphabet (hexadecimal, base 64, ...), are trained from
+labelled samples by counting character pairs.  A long token is reported when the log-likelihood ratio of
+a random model to the ordinary one, summed over its characters, exceeds the model's margin; of one that
+is not, each stretch of ``LEAST`` characters or more whose own sum does, as of a secret behind a path.
+A margin is the least of some that few ordinary samples, held out of the counting, exceed.
+The models are kept as tables of integer weights (thousandths of a nat) for 128 x 128 character pairs,
+literals of fixed size in the plan.
 
 Places are code points, ends exclusive.  They are taken from the lengths of the parts
 between matches, so a whole text costs a few passes of its patterns and nothing is shuffled.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,26 +53,43 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 8000) -> DataFrame:
-    """``n`` labelled strings (text, is_secret): half random in the usual alphabets, half identifiers of words.
+def labelled_samples(spark: SparkSession, n: int = 12000) -> DataFrame:
+    """``n`` labelled strings (text, is_secret, alphabet, held_out): half random in the usual alphabets, half identifiers of words.
 
-    They are made by hashing the row number, so every session gets the same.
+    A quarter is held out; its identifiers are made of words that the others have not.  All are made by hashing the row number, so every session gets the same.
     """
     digest = F.sha2(F.col("id").cast("string"), 512)
-    letters = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")
+    in_base64 = F.base64(F.unhex(digest))
+    letters = F.regexp_replace(in_base64, "[+/=]", "")
     size = (F.lit(20) + F.col("id") % 29).cast("int")
-    words = F.array(*map(F.lit, IDENTIFIER_WORDS))
+    held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(4)) == 0
+    some, others = (F.array(*map(F.lit, w)) for w in (IDENTIFIER_WORDS[::4], [w for k, w in enumerate(IDENTIFIER_WORDS) if k % 4]))
+    words = F.when(held, some).otherwise(others)
 
     def word(k: int) -> Column:
-        return F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))).cast("int"))
+        return F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)).cast("int"))
 
     number = F.pmod(F.xxhash64("id"), F.lit(2030)).cast("string")
-    secret = F.element_at(F.array(F.substring(letters, F.lit(1), size), F.substring(digest, F.lit(1), size), F.upper(F.substring(letters, F.lit(1), size)), F.substring(F.base64(F.unhex(digest)), F.lit(1), size)), (F.col("id") % 4 + 1).cast("int"))
+    made = {"letters": letters, "hex": digest, "capitals": F.upper(letters), "base64": in_base64}
+    kinds = F.array(*(F.struct(F.substring(made[k], F.lit(1), size).alias("text"), F.lit(k).alias("alphabet")) for k in made))
+    secret = F.get(kinds, ((F.col("id") / 2) % len(made)).cast("int"))
     four = [word(k) for k in range(4)]
+    many = F.slice(F.array(*map(word, range(9))), F.lit(1), (F.pmod(F.xxhash64("id", F.lit("words")), F.lit(7)) + 3).cast("int"))
     camel = F.concat(four[0], *(F.initcap(w) for w in four[1:]), number)
-    named = F.element_at(F.array(F.concat_ws("_", *four, number), camel, F.concat_ws("-", *four[:3], number), F.upper(F.concat_ws("_", *four[:3], number)), F.concat_ws("/", *four)), (F.col("id") % 5 + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 9000).cast("int")), "yyyy-MM-dd")
+    forms = [F.concat_ws("_", many, number), camel, F.concat_ws("-", many, number), F.upper(F.concat_ws("_", *four[:3], number)), F.concat_ws("/", many), F.concat(F.concat_ws("_", many), F.lit("/"), four[0], number), F.concat_ws("-", day, *four[:2]), F.concat(*four), F.concat_ws("/", four[0], F.translate(day, "-", "/"), *four[1:3])]
+    named = F.get(F.array(*forms), (F.col("id") % len(forms)).cast("int"))
     rows = spark.range(n)
-    return rows.select(F.when(F.col("id") % 2 == 0, secret).otherwise(named).alias("text"), (F.col("id") % 2 == 0).alias("is_secret"))
+    is_secret = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(2)) == 0
+    return rows.select(F.when(is_secret, secret["text"]).otherwise(named).alias("text"), is_secret.alias("is_secret"), F.when(is_secret, secret["alphabet"]).alias("alphabet"), held.alias("held_out"))
+
+
+@dataclass(frozen=True)
+class Models:
+    """A table of weights and a margin, in thousandths of a nat, for each alphabet of random strings."""
+
+    tables: tuple[tuple[int, ...], ...]
+    margins: tuple[int, ...]
 
 
 def _codes(text: Column) -> Column:
@@ -77,28 +97,42 @@ def _codes(text: Column) -> Column:
     return F.transform(F.split(text, ""), lambda c: F.ascii(c))
 
 
-def train(samples: DataFrame, smoothing: float = 0.5, alphabet: int = 66) -> list[int]:
-    """Weights in thousandths of a nat for each pair (code before, code), in row order; code 0 is the start.
+def train(samples: DataFrame, smoothing: float = 30.0, characters: int = 66, margins: tuple[float, ...] = (6, 8, 10, 12, 15, 20, 25, 30, 40), rate: float = 0.001) -> Models:
+    """Weights for each pair (code before, code), in row order, of each alphabet; code 0 is the start.
 
-    ``samples`` has text (null and non-ASCII texts are ignored) and is_secret.  At most
-    2 * 128 * 128 counts come to the driver, however many samples there are.
+    Counts of pairs are smoothed by ``smoothing`` pairs that have the characters' own shares, of ``characters`` kinds.
+    ``samples`` has text (null and non-ASCII texts are ignored), is_secret and, if random strings
+    are of several alphabets, alphabet.  A quarter of the samples, by a hash, is held out: an alphabet's
+    margin is the least of ``margins`` that at most ``rate`` of the ordinary ones held out exceed, or the largest.
+    The driver gets counts of pairs, at most 128 * 128 for each alphabet, however many samples there are.
     """
-    ascii_only = samples.filter(F.col("text").rlike(r"\A[\x01-\x7f]+\z") & F.col("is_secret").isNotNull())
-    codes = ascii_only.select("is_secret", F.concat(F.array(F.lit(0)), _codes(F.col("text"))).alias("c"))
-    pairs = codes.select("is_secret", F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))).alias("p"))
-    counts = {True: {}, False: {}}
-    before = {True: {}, False: {}}
-    for r in pairs.groupBy("is_secret", "p.a", "p.b").count().collect():
-        counts[r.is_secret][r.a, r.b] = r["count"]
-        before[r.is_secret][r.a] = before[r.is_secret].get(r.a, 0) + r["count"]
-
-    def log_p(kind: bool, a: int, b: int) -> float:
-        return math.log((counts[kind].get((a, b), 0) + smoothing) / (before[kind].get(a, 0) + smoothing * alphabet))
-
-    return [round(1000 * (log_p(True, a, b) - log_p(False, a, b))) for a in range(CODES) for b in range(CODES)]
-
-
-def log_ratios(token: Column, weights: list[int]) -> Column:
+    alphabet = F.coalesce("alphabet", F.lit("any")) if "alphabet" in samples.columns else F.lit("any")
+    held = F.coalesce("held_out", F.lit(False)) if "held_out" in samples.columns else F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    known = samples.filter(F.col("text").rlike(r"\A[\x01-\x7f]+\z") & F.col("is_secret").isNotNull())
+    known = known.select("text", F.when(F.col("is_secret"), alphabet).alias("kind"), held.alias("held"))
+    codes = known.filter("not held").select("kind", F.concat(F.array(F.lit(0)), _codes(F.col("text"))).alias("c"))
+    pairs = codes.select("kind", F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))).alias("p"))
+    counts: dict = {}
+    for r in pairs.groupBy("kind", "p.a", "p.b").count().collect():
+        counts.setdefault(r.kind, {})[r.a, r.b] = r["count"]
+
+    def log_p(kind: str | None) -> list[float]:
+        pair = counts.get(kind, {})
+        before = [sum(pair.get((a, b), 0) for b in range(CODES)) for a in range(CODES)]
+        alone = [sum(pair.get((a, b), 0) for a in range(CODES)) for b in range(CODES)]
+        share = [(n + 0.5) / (sum(alone) + 0.5 * characters) for n in alone]
+        return [math.log((pair.get((a, b), 0) + smoothing * share[b]) / (before[a] + smoothing)) for a in range(CODES) for b in range(CODES)]
+
+    ordinary = log_p(None)
+    tables = [tuple(round(1000 * (p - q)) for p, q in zip(log_p(kind), ordinary, strict=True)) for kind in sorted(filter(None, counts))]
+    bounds = sorted(round(1000 * m) for m in margins)
+    shares = [F.avg((F.size(random_stretches(log_ratios(F.col("text"), table), m)) > 0).cast("double")) for table in tables for m in bounds]
+    found = known.filter("held and kind is null").agg(F.count(F.lit(1)), *shares).first()[1:]
+    of_table = [found[k * len(bounds) : (k + 1) * len(bounds)] for k in range(len(tables))]
+    return Models(tuple(tables), tuple(next((m for m, x in zip(bounds, some) if x is not None and x <= rate), bounds[-1]) for some in of_table))
+
+
+def log_ratios(token: Column, weights: tuple[int, ...]) -> Column:
     """Log-likelihood ratio of each character of a token, in thousandths of a nat: above 0 it is likelier to be random."""
     table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<int>")
     codes = F.concat(F.array(F.lit(0)), _codes(token))
@@ -161,6 +195,21 @@ def random_stretches(ratios: Column, least_sum: int) -> Column:
     return bound(ratios, stretches)
 
 
+def united(spans: Column) -> Column:
+    """Spans (start, end) by start, those that overlap as one."""
+    kind = "array<struct<start:int,end:int>>"
+    zero = F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.array().cast(kind).alias("found"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["start"].isNull(), s["found"]).otherwise(F.concat(s["found"], F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+
+    def step(s: Column, x: Column) -> Column:
+        more = x["start"] < s["end"]
+        return F.struct(F.when(more, s["start"]).otherwise(x["start"]).alias("start"), F.when(more, F.greatest(s["end"], x["end"])).otherwise(x["end"]).alias("end"), F.when(more, s["found"]).otherwise(closed(s)).alias("found"))
+
+    return F.aggregate(F.array_sort(spans), zero, step, closed)
+
+
 def _spans(text: str, kind: str, rank: int, pattern: str, group: int, hint: str, accept: Callable[[Column, Column], Column], inside: Callable[[Column], Column] | None = None) -> Column:
     """The matches of a pattern that ``accept`` (whole match, group) lets through, as sorted structs.
 
@@ -188,14 +237,15 @@ def _spans(text: str, kind: str, rank: int, pattern: str, group: int, hint: str,
     return F.when(F.col(text).rlike(hint), F.aggregate(parts, zero, step, lambda s: s["found"])).otherwise(none)
 
 
-def _kinds(text: str, weights: list[int], margin: float) -> dict[str, Column]:
+def _kinds(text: str, models: Models) -> dict[str, Column]:
     """The spans of every kind."""
 
     def has_letter(token: Column, _: Column) -> Column:
         return token.rlike("[A-Za-z]")
 
     def random_parts(token: Column) -> Column:
-        return random_stretches(log_ratios(token, weights), round(1000 * margin))
+        found = [random_stretches(log_ratios(token, table), margin) for table, margin in zip(models.tables, models.margins, strict=True)]
+        return united(F.concat(*found)) if found else F.array().cast("array<struct<start:int,end:int>>")
 
     out = {kind: _spans(text, kind, rank, pattern, group, hint, lambda _, g, least=least: F.length(g) >= least) for rank, (kind, (pattern, group, least, hint)) in enumerate(BASE.items())}
     return out | {"random": _spans(text, "random", len(BASE), TOKEN, 0, TOKEN_HINT, has_letter, random_parts)}
@@ -205,17 +255,17 @@ def _joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", text_col: str = "text", margin: float = 10.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
     ``spans`` lists kind:start:end by start, then kind in order; ``random`` are the tokens,
-    or stretches of them, that the models report, those apart that overlap a fixed pattern's match.  ``margin``, in
-    nats, is what the likelihood ratio must exceed.  ``base_sha256`` is over the fixed
-    patterns' spans alone.  Null and empty texts have no spans.  Null or repeated identifiers
+    or stretches of them, that the models report, those apart that overlap a fixed pattern's match.
+    ``base_sha256`` is over the fixed patterns' spans alone.  Null and empty texts have no spans; texts of
+    any length are searched whole.  Null or repeated identifiers
     pass through; an empty table gives no rows; other columns are ignored.
     """
     found = pick(docs, id_col, text_col)
-    for kind, spans in _kinds("text", weights, margin).items():
+    for kind, spans in _kinds("text", models).items():
         found = found.withColumn("tokens" if kind == "random" else kind, spans)
     found = found.drop("text")
     found = found.withColumn("base", F.array_sort(F.concat(*BASE)))
@@ -225,11 +275,15 @@ def scan_secrets(docs: DataFrame, weights: list[int], id_col: str = "doc_id", te
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
 
 
-def mask_secrets(docs: DataFrame, weights: list[int], text_col: str = "text", margin: float = 10.0, mark: str = "<secret>") -> DataFrame:
-    """``docs`` with every span of a secret in the text column replaced by ``mark``; null texts stay null."""
+def mask_secrets(docs: DataFrame, models: Models, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
+    """``docs`` with every span of a secret in the text column replaced by ``mark``.
+
+    Null texts stay null, texts of any length are masked whole, repeated rows alike; all columns are kept.
+    An empty table gives no rows.
+    """
     names = docs.columns
     work = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    work = work.withColumn("spans", F.array_sort(F.concat(*_kinds("text", weights, margin).values())))
+    work = work.withColumn("spans", F.array_sort(F.concat(*_kinds("text", models).values())))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:

@@ -17,9 +17,10 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, *[None] * 15) for r in rows], SCHEMA)
 
 
+NO_MODELS = secrets.Models(((0,) * 128 * 128,), (10_000,))
 MODEL = toxicity.SentenceModel({"short": 9.0}, -4.0)
 OPERATORS = {
-    "secrets": lambda d: secrets.scan_secrets(d, [0] * 128 * 128),
+    "secrets": lambda d: secrets.scan_secrets(d, NO_MODELS),
     "simhash": simhash.near_duplicates,
     "toxicity": lambda d: toxicity.score_documents(d, MODEL),
     "bpe": bpe.encode_decode,
@@ -30,7 +31,7 @@ OPERATORS = {
     "lines": lines.drop_near_lines,
 }
 STAGES = {
-    "secrets": lambda d: secrets.mask_secrets(d, [0] * 128 * 128),
+    "secrets": lambda d: secrets.mask_secrets(d, NO_MODELS),
     "toxicity": lambda d: toxicity.drop_toxic(d, MODEL),
     "exact": lambda d: exact.drop_exact_duplicates(d, keep="largest"),
     "simhash": simhash.drop_near_duplicates,

@@ -1,6 +1,7 @@
 """Secrets that are glued to ordinary words in one run of characters."""
 
 import random
+import re
 
 import pytest
 
@@ -76,3 +77,56 @@ def test_best_stretch_against_brute_force(spark):
             assert bool(r.s) == (max(sums.values(), default=0) > 2000)
             assert all(sums[tuple(s)] > 2000 for s in r.s)
             assert all(s.end <= t.start for s, t in zip(r.s, r.s[1:]))
+
+
+@pytest.mark.parametrize("size", [32, 40])
+def test_every_alphabet_has_its_model(spark, weights, size):
+    """Random strings made apart from the training samples, behind a name that no fixed pattern knows."""
+    rng = random.Random(size)
+    for alphabet in ("0123456789abcdef", "0123456789ABCDEF", ALPHABET, ALPHABET[:26] + ALPHABET[52:], ALPHABET + "+/"):
+        texts = [f"session_value/{''.join(rng.choices(alphabet, k=size))} é" for _ in range(100)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        found = secrets.scan_secrets(docs, weights).select("n_hex", "n_random").collect()
+        assert sum(r.n_hex + r.n_random > 0 for r in found) >= 97, alphabet
+
+
+def plain_stretches(x, least_sum):
+    """Ends of what is random in a token by the rule of random_stretches, in plain Python."""
+    if sum(x) > least_sum:
+        return [(0, len(x))]
+    found, floor = [], 0
+    best = start = end = 0
+    for at in range(1, len(x) + 1):
+        gains = {a: sum(x[a:at]) for a in range(floor, at - secrets.LEAST + 1)}
+        begin = min((a for a in gains if gains[a] == max(gains.values())), default=0)
+        gain = gains.get(begin, 0)
+        if best > least_sum and gain < best - least_sum:
+            found.append((start, end))
+            floor, best = end, 0
+        elif gain > best:
+            best, start, end = gain, begin, at
+    return found + [(start, end)] * (best > least_sum)
+
+
+def test_random_spans_against_brute_force(spark, weights):
+    """The spans of texts, from the models' tables alone."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice([PATH, rng.choice(WORDS) + "_", "".join(rng.choices(ALPHABET, k=rng.randrange(5, 45))), "".join(rng.choices("0123456789abcdef", k=rng.randrange(8, 30)))]) for _ in range(rng.randrange(1, 6))]
+        texts.append("é " + "".join(parts))
+    for text, found in zip(texts, random_spans(spark, weights, texts), strict=True):
+        token = text[2:]
+        every = []
+        if len(token) >= 20 and any(c.isalpha() for c in token):
+            codes = [0, *map(ord, token)]
+            for table, margin in zip(weights.tables, weights.margins, strict=True):
+                every += plain_stretches([table[a * 128 + b] for a, b in zip(codes, codes[1:])], margin)
+        merged = []
+        for a, b in sorted(every):
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        base = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        assert found == [(a + 2, b + 2) for a, b in merged if not any(p < b + 2 and a + 2 < q for p, q in base)]
