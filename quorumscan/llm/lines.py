@@ -119,7 +119,7 @@ def bitmaps(texts: DataFrame, width: int) -> DataFrame:
     return every.groupBy("key").agg(*(F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)))
 
 
-def _block_pairs(members: DataFrame, groups: DataFrame, marked: DataFrame, texts: DataFrame, width: int, similarity: float, block: int) -> DataFrame:
+def _block_pairs(members: DataFrame, groups: DataFrame, marked: DataFrame, texts: DataFrame, width: int, similarity: float, n_bands: int, block: int) -> DataFrame:
     """Pairs (a, b) of lines of different components that share a band and that the bitmaps do not rule out.
 
     Two lines differ in a shingle at least for each bit in which their bitmaps differ, and similar ones
@@ -144,14 +144,13 @@ def _block_pairs(members: DataFrame, groups: DataFrame, marked: DataFrame, texts
     right = side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     differing = reduce(Column.__add__, (F.bit_count(F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))) for w in range(WORDS)))
     near = differing <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) + F.lit(1e-9)
-    n = marked.select(F.size("bands")).first()[0]
-    first = F.coalesce(*(F.when(F.get("a_bands", F.lit(b)) == F.get("b_bands", F.lit(b)), F.get("a_bands", F.lit(b))) for b in range(n)))
+    first = F.coalesce(*(F.when(F.get("a_bands", F.lit(b)) == F.get("b_bands", F.lit(b)), F.get("a_bands", F.lit(b))) for b in range(n_bands)))
     meet = (left["band"] == right["band"]) & (left["block"] == right["block"]) & (F.col("a_key") < F.col("b_key")) & (F.col("a_group") != F.col("b_group"))
     return left.join(right, meet & _sizes_fit("a_size", "b_size", similarity) & near & (first == left["band"])).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
 
 
-def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity: float, hubs: int = 4, block: int = 512) -> DataFrame:
-    """(node, component) of the lines that are linked; ``marked`` is the signatures of all lines."""
+def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity: float, n_bands: int, hubs: int = 4, block: int = 512) -> DataFrame:
+    """(node, component) of the lines that are linked; ``marked`` is the signatures of all lines, of ``n_bands`` bands."""
     banded = marked.select("key", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").count().filter("count > 1").select("band"), "shared-bands")
     members = mark_members(banded, shared, "band").filter("_member").select("key", "band")
@@ -162,7 +161,7 @@ def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity:
     texts = written(texts.withColumn("size", F.size(shingles("line", width))), "candidate-lines")
 
     groups = connected_components(_links(_hub_pairs(members, hubs), texts, width, similarity))
-    found = written(_links(_block_pairs(members, groups, marked, texts, width, similarity, block), texts, width, similarity), "more-links")
+    found = written(_links(_block_pairs(members, groups, marked, texts, width, similarity, n_bands, block), texts, width, similarity), "more-links")
     if found.isEmpty():
         return groups
     return connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
@@ -187,7 +186,7 @@ def drop_near_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     place = F.struct("doc", "row", "pos")
     distinct = lines.groupBy("key").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     marked = written(signatures(distinct, width, bands), "line-signatures")
-    groups = line_components(lines, marked, width, similarity)
+    groups = line_components(lines, marked, width, similarity, bands)
 
     linked = written(groups.select(F.col("node").alias("key"), "component"), "linked-lines")
     known = mark_members(marked.select("key", "at", "n"), linked, "key").filter("_member or n > 1").join(linked, "key", "left")
