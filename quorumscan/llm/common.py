@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,11 +18,13 @@ SLICE_ROWS = 256
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset, as
-    in local tests, a folder of this machine is made and set for the session.
+    It is ``spark.checkpoint.dir`` of the session.  Only where that is unset in a local
+    session, as in tests, a folder of this machine is made and set; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quorumscan-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,19 +54,28 @@ def drop_written(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Bits of the broadcast bitmap of ``mark_members``: 2**24 bits are 2 MB at most.
-FILTER_BITS = 1 << 24
+#: Least and largest number of bits of the broadcast bitmap of ``mark_members``: 128 kB to 16 MB.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+#: Bits of the bitmap for each member, as far as the largest number allows.
+BITS_A_MEMBER = 16
 #: Bits that one row of the bitmap holds; a fixed value of Spark's bitmap functions.
 BUCKET_BITS = 32768
 
 
+def filter_bits(members: int) -> int:
+    """A power of two, by the number of members."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_MEMBER * members).bit_length()))
+
+
 def mark_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
     """``rows`` with a boolean ``_member``: true wherever ``key`` is in ``members``.
 
-    A bitmap of fixed size is broadcast, so nothing is shuffled.  It is true for few other
-    rows while the bitmap is not full, and for more as it fills; never false for a member.
+    A bitmap is broadcast, so nothing is shuffled; it is sized by the number of members, at most 16 MB.
+    It is true for few other rows (one in 16 to 32 up to 8 million members), and for more as it fills, when callers
+    shuffle more rows than they need to; never false for a member.  ``members`` is read twice, so it should be a written table.
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = filter_bits(members.count())
+    bit = F.pmod(F.xxhash64(key), F.lit(bits))
 
     def placed(df: DataFrame) -> DataFrame:
         return df.withColumn("_bucket", (bit / BUCKET_BITS).cast("int")).withColumn("_at", (bit % BUCKET_BITS).cast("int"))
@@ -74,6 +86,19 @@ def mark_members(rows: DataFrame, members: DataFrame, key: str) -> DataFrame:
     return asked.withColumn("_member", F.coalesce(F.expr(is_set), F.lit(False))).drop("_bucket", "_at", "_bits")
 
 
+def without(docs: DataFrame, id_col: str, hashed: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose identifier and hash are not in ``gone`` (_gone_id, _gone_hash), a written table.
+
+    Only rows whose hash a bitmap of the gone ones lets through are shuffled.
+    """
+    names = docs.columns
+    whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
+    asked = mark_members(docs.select(whole, F.col(f"`{id_col}`").alias("id"), hashed.alias("_gone_hash")), gone, "_gone_hash")
+    hit = asked.filter("_member").alias("h").join(gone.alias("g"), F.expr("h.id <=> g._gone_id AND h._gone_hash = g._gone_hash"), "left_anti")
+    kept = asked.filter("not _member").select("row").unionByName(hit.select("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in names))
+
+
 def text_of(text: str | Column) -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

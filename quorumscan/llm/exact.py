@@ -2,10 +2,11 @@
 
 Main path: DataFrame functions only.
 
-* Memtables: every task digests its rows, sorts them by digest and flushes them
-  as one run, a Parquet file with a Bloom filter on the digest.
-* Compaction merges all runs into one entry per digest with the smallest (and
-  largest) identifier and the number of rows.
+* Memtables: rows come in batches; every task digests its rows, sorts them by digest and
+  flushes them as one run.
+* Compaction merges the runs since the last one into the level before, one entry per digest with the
+  smallest (and largest) identifier and the number of rows.  The runs' digests make a filter, a bitmap:
+  entries of the level that it rules out are carried over as they are, the others are merged.
 * Hits, digests with more than one row, are verified on the bytes of the texts: the
   smallest and the largest text of a digest must be the same text.  A bitmap of
   hit digests of fixed size is broadcast so that only (nearly) hits are shuffled
@@ -22,49 +23,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import mark_members, pick, scratch_path, written
+from quorumscan.llm.common import mark_members, pick, scratch_path, text_of, without, written
 
 RUN = "digest binary, sha binary, id long"
 MERGED = "digest binary, least_id long, largest_id long, n long"
 
 
 class DigestIndex:
-    """Sorted runs of (digest, sha, id) under ``path`` and their compaction.
+    """Sorted runs of (digest, sha, id) under ``path`` and their levels.
 
-    ``flush`` may be called once per arriving batch; ``compact`` merges all runs into
-    a new level.
+    ``flush`` is called once per arriving batch; ``compact`` merges the runs that came since it was
+    called last into the level before.  Old levels stay until the folder goes.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.runs, self.levels = spark, path, 0, 0
+        self.spark, self.path, self.runs, self.merged, self.levels = spark, path, 0, 0, 0
 
     def _write(self, df: DataFrame, to: str) -> None:
-        sorted_rows = df.sortWithinPartitions("digest")
-        filtered = sorted_rows.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.max.bytes", str(1 << 17))
-        filtered.parquet(f"{self.path}/{to}")
+        df.sortWithinPartitions("digest").write.parquet(f"{self.path}/{to}")
 
     def flush(self, rows: DataFrame) -> None:
         """Write a batch (digest, sha, id): each task's rows become a sorted run; nothing is shuffled."""
         self.runs += 1
         self._write(rows.select("digest", "sha", F.col("id").cast("long")), f"runs/batch={self.runs}")
 
+    def _runs(self, first: int) -> DataFrame:
+        return self.spark.read.schema(RUN).parquet(*(f"{self.path}/runs/batch={k}" for k in range(first, self.runs + 1)))
+
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*(f"{self.path}/runs/batch={k}" for k in range(1, self.runs + 1)))
+        return self._runs(1)
+
+    def entries(self) -> DataFrame:
+        """One entry per digest of the runs that are compacted."""
+        return self.spark.read.schema(MERGED).parquet(f"{self.path}/level={self.levels}")
 
     def compact(self) -> DataFrame:
         """One entry per digest: the smallest and largest id and the number of rows."""
-        self.levels += 1
-        merged = self.rows().groupBy("digest").agg(F.min("id").alias("least_id"), F.max("id").alias("largest_id"), F.count(F.lit(1)).alias("n"))
-        self._write(merged, f"merged/level={self.levels}")
-        return self.spark.read.schema(MERGED).parquet(f"{self.path}/merged/level={self.levels}")
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "least", digest_bytes: int = 16) -> DataFrame:
+        if self.merged < self.runs:
+            ids = [F.min("id").alias("least_id"), F.max("id").alias("largest_id"), F.count(F.lit(1)).alias("n")]
+            fresh = self._runs(self.merged + 1).groupBy("digest").agg(*ids)
+            self.levels, self.merged = self.levels + 1, self.runs
+            if self.levels == 1:
+                self._write(fresh, "level=1")
+            else:
+                self._write(fresh, f"fresh={self.levels}")
+                fresh = self.spark.read.schema(MERGED).parquet(f"{self.path}/fresh={self.levels}")
+                before = self.spark.read.schema(MERGED).parquet(f"{self.path}/level={self.levels - 1}")
+                asked = mark_members(before, fresh, "digest")
+                both = asked.filter("_member").drop("_member").unionByName(fresh)
+                met = both.groupBy("digest").agg(F.min("least_id").alias("least_id"), F.max("largest_id").alias("largest_id"), F.sum("n").alias("n"))
+                self._write(asked.filter("not _member").drop("_member").unionByName(met), f"level={self.levels}")
+        return self.entries()
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "least", digest_bytes: int = 16, batches: int = 2) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same string; a null text is the empty text.
     ``keep`` names the identifier that stays: ``least`` or ``largest``.  The index holds
-    ``digest_bytes`` of the SHA-256.  Rows with a null identifier are counted; they stay
+    ``digest_bytes`` of the SHA-256 and takes the rows in ``batches``, dealt by a hash.  Texts of any length are
+    compared whole.  Rows with a null identifier are counted; they stay
     only where all of their group are null (keep_id is null then).  Rows that repeat an
     identifier and a text stay or go together.  An empty table gives no rows.  Other
     columns are ignored.
@@ -73,8 +91,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sha = F.unhex(F.sha2("text", 256))
     rows = pick(docs, id_col, text_col).withColumn("sha", sha).withColumn("digest", F.substring("sha", 1, digest_bytes))
     index = DigestIndex(spark, scratch_path(spark, "digests"))
-    index.flush(rows.withColumnRenamed("doc_id", "id"))
-    hits = index.compact().filter("n > 1").select("digest", F.col(f"{keep}_id").alias("keep_id"), F.col("n").alias("group_size"))
+    for k in range(batches):
+        index.flush(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).withColumnRenamed("doc_id", "id"))
+        index.compact()
+    hits = index.entries().filter("n > 1").select("digest", F.col(f"{keep}_id").alias("keep_id"), F.col("n").alias("group_size"))
 
     # The bytes of all texts of a digest are the same if the smallest is the largest.
     texts = mark_members(rows.select("digest", "text"), hits, "digest").filter("_member")
@@ -104,6 +124,5 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     identifier stay where their group has no other.
     """
     verdict = exact_duplicates(docs, id_col, text_col, keep)
-    gone = verdict.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (sha == gone["_gone_sha"]), "left_anti")
+    gone = verdict.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.unhex("text_sha256").alias("_gone_hash")).distinct()
+    return without(docs, id_col, F.unhex(F.sha2(text_of(text_col), 256)), written(gone, "exact-gone"))

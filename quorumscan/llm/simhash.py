@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import Out, pick, rows_of, written
+from quorumscan.llm.common import Out, pick, rows_of, text_of, without, written
 from quorumscan.llm.components import connected_components
 
 SEED, FANOUT = 42, 8
@@ -236,5 +236,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     verdict = near_duplicates(docs, id_col, text_col, **how)
     gone = verdict.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]) & (text_hash == gone["_gone_hash"]), "left_anti")
+    return without(docs, id_col, F.xxhash64(text_of(text_col)), written(gone, "near-gone"))
