@@ -177,6 +177,19 @@ def test_packing_round_trip(spark, texts):
     assert padding <= 2 * 2 * 2048
 
 
+def test_packing_of_many_small_partitions(spark, texts):
+    """However the rows are dealt, hardly more windows than the tokens need."""
+    docs = of(spark, texts)
+    sizes = []
+    for n in (1, 40):
+        got = packing.pack(docs.repartition(n, "doc_id")).collect()
+        tokens, windows = sum(r.length for r in got), len({r.sequence_id for r in got})
+        assert len({(r.doc_id, r.start) for r in got}) == len(got)
+        sizes.append((tokens, windows))
+    assert sizes[0][0] == sizes[1][0]
+    assert sizes[1][1] <= max(sizes[0][1], -(-sizes[0][0] // 2048)) + 2
+
+
 def test_best_fit_decreasing_takes_the_tightest_window():
     rng = random.Random(6)
     for _ in range(50):
