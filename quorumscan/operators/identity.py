@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumscan.functions.geometry import cosine_difference
+from quorumscan.functions.geometry import dot, normalised
 
 LABELLED = "character_id int"
 
@@ -16,11 +16,11 @@ def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id",
     """(keys, i, j, diff) of tracks i < j: the median of the cosine differences of all their crops.
 
     The median of an even number is the mean of the middle two.  Pairs are formed within
-    ``keys`` only, by an equi-join.  With one crop a track this is that crop's difference.
+    ``keys`` only, by an equi-join of vectors that are brought to length 1 before.  With one crop a track this is that crop's difference.
     """
-    a = crops.select(*keys, F.col(track).alias("i"), F.col(feature).alias("_x"))
-    b = crops.select(*keys, F.col(track).alias("j"), F.col(feature).alias("_y"))
-    pairs = a.join(b, keys).filter("i < j").withColumn("_d", cosine_difference("_x", "_y"))
+    a = crops.select(*keys, F.col(track).alias("i"), normalised(feature).alias("_x"))
+    b = crops.select(*keys, F.col(track).alias("j"), normalised(feature).alias("_y"))
+    pairs = a.join(b, keys).filter("i < j").withColumn("_d", F.lit(1.0) - dot("_x", "_y"))
     return pairs.groupBy(*keys, "i", "j").agg(F.median("_d").alias("diff"))
 
 
@@ -34,42 +34,46 @@ def complete_linkage(matrix: np.ndarray, threshold: float) -> list[int]:
     d = np.array(matrix, float)
     np.fill_diagonal(d, np.inf)
     cluster = np.arange(n)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if not d[i, j] < threshold:
+    # Differences only grow, so a row's nearest changes only where it was one of the two that merge.
+    nearest, where = (d.min(axis=1), d.argmin(axis=1)) if n else (np.zeros(0), np.zeros(0, int))
+    while n:
+        i = int(np.argmin(nearest))
+        if not nearest[i] < threshold:
             break
-        i, j = min(i, j), max(i, j)
+        j = int(where[i])
         cluster[cluster == j] = i
         d[i] = np.maximum(d[i], d[j])
         d[:, i] = d[i]
         d[i, i] = np.inf
         d[j, :] = d[:, j] = np.inf
-        alive[j] = False
+        again = np.flatnonzero((where == i) | (where == j) | (np.arange(n) == i))
+        nearest[again], where[again] = d[again].min(axis=1), d[again].argmin(axis=1)
     number: dict[int, int] = {}
     return [number.setdefault(int(c), len(number)) for c in cluster]
 
 
 def _matrix(ids: list[int], i: np.ndarray, j: np.ndarray, diff: np.ndarray) -> np.ndarray:
-    at = {t: k for k, t in enumerate(ids)}
     out = np.full((len(ids), len(ids)), np.inf)
     np.fill_diagonal(out, 0.0)
-    for a, b, x in zip(i, j, diff):
-        if a in at and b in at:
-            out[at[a], at[b]] = out[at[b], at[a]] = x
+    at = pd.Index(ids)
+    a, b = at.get_indexer(i), at.get_indexer(j)
+    both = (a >= 0) & (b >= 0)
+    out[a[both], b[both]] = out[b[both], a[both]] = diff[both]
     return out
 
 
-def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: float, key: str = "video") -> DataFrame:
+def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video") -> DataFrame:
     """``tracks`` (key, track_id, ...) with character_id from clusters of all tracks of a key.
 
+    ``threshold`` is a number, or the column of ``differences`` that has each key's own.
     Tracks that no difference mentions have no crop and so no known character: null.  One key's matrix is
     held by one task (quadratic in its tracks); keys are spread over tasks.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids = sorted({*rows["i"].tolist(), *rows["j"].tolist()})
-        labels = complete_linkage(_matrix(ids, rows["i"].to_numpy(), rows["j"].to_numpy(), rows["diff"].to_numpy()), threshold)
+        bound = rows[threshold].iloc[0] if isinstance(threshold, str) else threshold
+        labels = complete_linkage(_matrix(ids, rows["i"].to_numpy(), rows["j"].to_numpy(), rows["diff"].to_numpy()), bound)
         return pd.DataFrame({key: rows[key].iloc[0], "track_id": ids, "character_id": labels})
 
     kind = dict(tracks.dtypes)
@@ -86,17 +90,18 @@ def window_scope_counts(members: DataFrame, differences: DataFrame, threshold: f
     known = differences.select(key, F.col("i").alias("track_id")).union(differences.select(key, F.col("j").alias("track_id"))).distinct()
     sets = members.join(known, [key, "track_id"], "left_semi").groupBy(key, "k").agg(F.sort_array(F.collect_set("track_id")).alias("tracks"))
     signed = sets.withColumn("signature", F.sha2(F.to_json("tracks"), 256))
-    distinct = signed.groupBy(key, "signature").agg(F.first("tracks").alias("tracks"))
-    pairs = distinct.select(key, "signature", F.explode("tracks").alias("i"), "tracks").join(differences, [key, "i"]).filter(F.array_contains("tracks", F.col("j")))
+    distinct = signed.groupBy(key, "signature").agg(F.first("tracks").alias("tracks")).select(key, "signature", F.size("tracks").alias("size"), F.explode("tracks").alias("i"))
+    pairs = distinct.join(differences, [key, "i"]).join(distinct.select(key, "signature", F.col("i").alias("j")), [key, "signature", "j"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(rows["tracks"].iloc[0])
+        ids = sorted({*rows["i"].tolist(), *rows["j"].tolist()})
         labels = complete_linkage(_matrix(ids, rows["i"].to_numpy(), rows["j"].to_numpy(), rows["diff"].to_numpy()), threshold)
-        return pd.DataFrame({key: [rows[key].iloc[0]], "signature": [rows["signature"].iloc[0]], "n": [len(set(labels))]})
+        alone = int(rows["size"].iloc[0]) - len(ids)  # tracks without a difference in the set
+        return pd.DataFrame({key: [rows[key].iloc[0]], "signature": [rows["signature"].iloc[0]], "n": [len(set(labels)) + alone]})
 
     kind = dict(members.dtypes)[key]
     counted = pairs.groupBy(key, "signature").applyInPandas(run, f"{key} {kind}, signature string, n long")
-    alone = F.size("tracks").cast("long")  # a set of one track has no pair
+    alone = F.size("tracks").cast("long")  # a set without a pair
     out = signed.join(counted, [key, "signature"], "left").select(key, "k", F.coalesce("n", alone).alias("n"))
     every = members.select(key, "k").distinct()
     return every.join(out, [key, "k"], "left").select(key, "k", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

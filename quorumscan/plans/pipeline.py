@@ -58,15 +58,23 @@ def _window_scope(scan: DataFrame, key: list[str], tracks: DataFrame, difference
 
 
 def sweep(tracks: DataFrame, differences: DataFrame, videos: DataFrame, config: Config, thresholds: list[float], xs: list[int]) -> DataFrame:
-    """(video, threshold, x, n_characters, n_segments) over a grid; differences are computed once by the caller."""
-    out = None
-    for threshold in sorted(set(thresholds)):
-        known = identity.assign_characters(tracks, differences, threshold)
-        scan = windows.window_scan(videos, known, config.window_seconds, config.frame_interval)
-        sizes = known.groupBy("video").agg(F.countDistinct("character_id").alias("n_characters"))
-        for x in sorted(set(xs)):
-            found = selection.replay(scan, x, config.window_seconds, config.frame_interval).groupBy("video").agg(F.count(F.lit(1)).alias("_n"))
-            rows = videos.select("video").join(sizes, "video", "left").join(found, "video", "left")
-            rows = rows.select("video", F.lit(threshold).alias("threshold"), F.lit(x).alias("x"), F.coalesce("n_characters", F.lit(0)).alias("n_characters"), F.coalesce("_n", F.lit(0)).alias("n_segments"))
-            out = rows if out is None else out.unionByName(rows)
-    return out
+    """(video, threshold, x, n_characters, n_segments) over a grid, in one plan; differences are computed once by the caller.
+
+    Each video is taken once for each threshold, under a name of its own, and each of those once for each X.
+    """
+    grid = F.explode(F.array(*(F.lit(float(t)) for t in sorted(set(thresholds)))))
+
+    def named(rows: DataFrame, by: str) -> DataFrame:
+        return rows.withColumn("_of", F.col("video")).withColumn("video", F.to_json(F.struct(F.col(by).alias("by"), F.col("video").alias("of"))))
+
+    apart, films = (named(rows.withColumn("threshold", grid), "threshold").drop("_of") for rows in (differences, videos))
+    known = identity.assign_characters(named(tracks.withColumn("threshold", grid), "threshold").drop("_of", "threshold"), apart, "threshold")
+    scan = windows.window_scan(films, known, config.window_seconds, config.frame_interval)
+    sizes = known.groupBy("video").agg(F.countDistinct("character_id").alias("n_characters"))
+    every = F.explode(F.array(*(F.lit(int(x)) for x in sorted(set(xs)))))
+    # A window counts for every X that it reaches; the walk then needs no other threshold than 0.
+    reached = named(scan.withColumn("x", every).filter("n >= x"), "x").drop("_of", "x")
+    found = selection.replay(reached, 0, config.window_seconds, config.frame_interval).groupBy("video").agg(F.count(F.lit(1)).alias("_n"))
+    rows = named(named(videos.select("video").withColumn("threshold", grid), "threshold").withColumnRenamed("_of", "_film").withColumn("x", every), "x")
+    rows = rows.join(sizes.withColumnRenamed("video", "_of"), "_of", "left").join(found, "video", "left")
+    return rows.select(F.col("_film").alias("video"), "threshold", "x", F.coalesce("n_characters", F.lit(0)).alias("n_characters"), F.coalesce("_n", F.lit(0)).alias("n_segments"))
