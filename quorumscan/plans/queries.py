@@ -225,7 +225,29 @@ def q19_median_difference(spark, sf_dir):
     return identity.crop_differences(crops(spark, sf_dir), ["label"]).select("label", "i", "j", F.floor(F.col("diff") * 1000).cast("long").alias("milli"))
 
 
-@query()
+#: Complete linkage under 0.9 over the pairs d (g, i, j, diff) of the members v (g, id): clusters bear their least member's number.
+LINKAGE_SQL = """
+    w AS (
+        SELECT g, 0 AS step, list(struct_pack(id := id, c := id)) AS members, true AS merged FROM v GROUP BY g
+        UNION ALL
+        SELECT w.g, w.step + 1, CASE WHEN best IS NULL THEN w.members ELSE list_transform(w.members, lambda m: struct_pack(id := m.id, c := CASE WHEN m.c = best.b THEN best.a ELSE m.c END)) END, best IS NOT NULL
+        FROM w LEFT JOIN (
+            SELECT g, arg_min(struct_pack(a := a, b := b), struct_pack(d := dist, a := a, b := b)) AS best FROM (
+                SELECT d.g, least(p.c, q.c) AS a, greatest(p.c, q.c) AS b, max(diff) AS dist
+                FROM d JOIN (SELECT g, unnest(members, recursive := true) FROM w) p ON p.g = d.g AND p.id = d.i
+                       JOIN (SELECT g, unnest(members, recursive := true) FROM w) q ON q.g = d.g AND q.id = d.j
+                WHERE p.c <> q.c GROUP BY ALL
+            ) WHERE dist < 0.9 GROUP BY g
+        ) USING (g) WHERE w.merged
+    ), ended AS (SELECT g, unnest(arg_max(members, step), recursive := true) FROM w GROUP BY g)
+"""
+
+
+@query(f"""
+    WITH RECURSIVE v AS (SELECT label || '-' || vec_id % 10 AS g, vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    d AS (SELECT a.g, a.id AS i, b.id AS j, 1 - list_cosine_similarity(a.x, b.x) AS diff FROM v a JOIN v b ON a.g = b.g AND a.id < b.id), {LINKAGE_SQL}
+    SELECT g AS video, id AS track_id, CASE WHEN count(*) OVER (PARTITION BY g) > 1 THEN CAST(dense_rank() OVER (PARTITION BY g ORDER BY c) - 1 AS INTEGER) END AS character_id FROM ended
+""")
 def q20_complete_linkage(spark, sf_dir):
     own = crops(spark, sf_dir).withColumn("video", F.concat_ws("-", "label", "track_id"))
     differences = identity.crop_differences(own.select("video", "vec_id", "feature"), ["video"], "vec_id")
@@ -233,7 +255,14 @@ def q20_complete_linkage(spark, sf_dir):
     return identity.assign_characters(tracks, differences, 0.9)
 
 
-@query()
+@query(on_events(f""", seen AS (
+        SELECT DISTINCT e.video, vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM ev e JOIN embeddings ON vec_id = user_id
+    ), users AS (SELECT DISTINCT video, CAST(floor(t / 3600) AS BIGINT) AS k, user_id AS id FROM ev),
+    apart AS (SELECT a.video, a.id AS i, b.id AS j, 1 - list_cosine_similarity(a.x, b.x) AS diff FROM seen a JOIN seen b ON a.video = b.video AND a.id < b.id),
+    v AS (SELECT video || '|' || k AS g, id FROM users SEMI JOIN seen USING (video, id)),
+    d AS (SELECT a.g, a.id AS i, b.id AS j, diff FROM v a JOIN v b ON a.g = b.g AND a.id < b.id JOIN apart ON apart.video = split_part(a.g, '|', 1) AND apart.i = a.id AND apart.j = b.id), {LINKAGE_SQL}
+    SELECT video, k, count(DISTINCT c) AS n FROM (SELECT DISTINCT video, k, video || '|' || k AS g FROM users) LEFT JOIN ended USING (g) GROUP BY video, k
+""", True))
 def q21_window_scope_count(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).cast("string").alias("video"), F.col("vec_id").alias("track_id"), F.col("embedding").alias("feature"))
     users = domain.events(spark, sf_dir).select("video", F.floor(F.col("t") / 3600).cast("long").alias("k"), F.col("user_id").alias("track_id")).distinct()
