@@ -89,3 +89,22 @@ def test_other_names_of_the_columns(spark):
     assert exact.exact_duplicates(docs, "n", "body").count() == len(ROWS)
     assert substring.drop_repeats(docs, "n", "body").count() == len(ROWS)
     assert lines.drop_near_lines(docs, "n", "body").count() == len(ROWS)
+
+
+@pytest.mark.parametrize("name", ["secrets", "toxicity", "bpe", "quality", "token_counts"])
+def test_rows_are_judged_each_for_itself(spark, name):
+    """Null and repeated identifiers, also of other texts: every row gets what it gets under an identifier of its own."""
+    rows = [*ROWS, (6, "another text of six"), (6, None), (None, "second null id text")]
+    own = {r.doc_id: r for r in OPERATORS[name](table(spark, [(1000 + k, t) for k, (_, t) in enumerate(rows)])).collect()}
+    own_values = lambda r: tuple(v for c, v in r.asDict().items() if c not in ("doc_id", "held_out"))
+    got = OPERATORS[name](table(spark, rows).repartition(3)).collect()
+    assert Counter((r.doc_id, own_values(r)) for r in got) == Counter((i, own_values(own[1000 + k])) for k, (i, _) in enumerate(rows))
+
+
+def test_lines_of_repeated_and_null_identifiers(spark):
+    rows = [(6, "one long line of text\nanother long line of text"), (6, "one long line of text"), (None, "another long line of text"), (None, None), (9, "one long line of text\nnew line here"), (6, "one long line of text")]
+    got = lines.drop_near_lines(table(spark, rows).repartition(3), with_text=True).collect()
+    # Two of three rows of identifier 6 are the same document; which of its texts comes first is told by their hashes.
+    assert sorted((r.doc_id or 99, r.n_lines, r.kept_text) for r in got if r.doc_id in (None, 9)) == [(9, 2, "new line here"), (99, 0, ""), (99, 1, "")]
+    six = Counter((r.n_lines, r.n_removed) for r in got if r.doc_id == 6)
+    assert six in (Counter({(2, 0): 1, (1, 1): 2}), Counter({(2, 1): 1, (1, 0): 2}))

@@ -14,7 +14,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from quorumscan.llm import bpe, components, exact, lines, packing, quality, queries, secrets, simhash, substring, token_counts
+from quorumscan.llm import bpe, components, exact, lines, packing, quality, queries, secrets, simhash, substring, token_counts, tokenization
 
 SF_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -231,6 +231,24 @@ def test_bpe_equals_the_library(spark, texts):
             assert r.decoded_sha256 == sha(tokenizer.decode(ids, skip_special_tokens=False))
 
 
+def test_other_tokenizers_are_told_apart(tmp_path):
+    """A file whose words are not independent is refused; one that keeps case is not folded."""
+    from tokenizers import models, normalizers, pre_tokenizers
+
+    from quorumscan.llm.tokenization import WordMemo
+
+    vocab = {c: k for k, c in enumerate(sorted({c for p in tokenization.PROBES for c in normalizers.NFC().normalize_str(p)}))}
+    whole = Tokenizer(models.BPE(vocab=vocab, merges=[]))
+    whole.save(str(tmp_path / "whole.json"))
+    with pytest.raises(ValueError, match="by themselves"):
+        WordMemo(str(tmp_path / "whole.json"), list)
+    whole.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    whole.save(str(tmp_path / "cased.json"))
+    memo = WordMemo(str(tmp_path / "cased.json"), list)
+    assert not memo.folds and memo.folded(b"Ab-C") == b"Ab-C"
+    assert WordMemo(None, list).folds
+
+
 def test_chunks_are_reused():
     passage = " ".join(f"word{k % 97} other{k % 31}" for k in range(3000))
     encoder = bpe.ChunkEncoder()
@@ -318,16 +336,32 @@ def test_exact_dedup_survives_digest_collisions(spark, keep, best):
         assert (r.keep_id, r.group_size, r.kept, r.text_sha256) == (best(group), len(group), r.doc_id == best(group), sha(cases[r.doc_id]))
 
 
-def test_index_merges_batches(spark, tmp_path):
+def test_index_merges_level_by_level(spark, tmp_path):
     from pyspark.sql import functions as F
 
     index = exact.DigestIndex(spark, str(tmp_path))
-    for lo in (0, 50):
-        rows = spark.range(lo, lo + 60).select(F.sha2((F.col("id") % 70).cast("string"), 256).cast("binary").alias("sha"), F.col("id"))
+    seen = defaultdict(list)
+    for lo, hi, compact in ((0, 60, True), (50, 110, False), (300, 310, True), (0, 5, True)):
+        rows = spark.range(lo, hi).select(F.sha2((F.col("id") % 70).cast("string"), 256).cast("binary").alias("sha"), F.col("id"))
         index.flush(rows.withColumn("digest", F.substring("sha", 1, 8)))
-    merged = index.compact()
-    assert merged.agg(F.sum("n")).first()[0] == 120
-    assert merged.filter("least_id != largest_id").count() > 0
+        for k in range(lo, hi):
+            seen[hashlib.sha256(str(k % 70).encode()).hexdigest()[:8].encode()].append(k)
+        if compact:
+            index.compact()
+    got = {bytes(r.digest): (r.least_id, r.largest_id, r.n) for r in index.entries().collect()}
+    assert got == {d: (min(v), max(v), len(v)) for d, v in seen.items()}
+    assert index.levels == 3 and index.compact().count() == 70 and index.levels == 3
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_exact_dedup_in_batches(spark, batches):
+    rows = [(k % 50 or None, "text %d" % (k % 13)) for k in range(200)] + [(None, None), (3, "")]
+    got = exact.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), keep="largest", batches=batches).collect()
+    same = defaultdict(list)
+    for i, t in rows:
+        same[t or ""].append(i)
+    expected = Counter((i, max((x for x in same[t or ""] if x is not None), default=None), len(same[t or ""])) for i, t in rows)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == expected
 
 
 # -- 9: substring dedup -------------------------------------------------------------------------
