@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quorumscan.llm.common import Out, groups_of, pick
-from quorumscan.llm.tokenization import WordMemo, folded
+from quorumscan.llm.tokenization import PROBES, WordMemo
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 #: Bytes that the rolling hash looks at, and one boundary in so many bytes on average.
@@ -56,6 +56,11 @@ class Values:
 
     def __init__(self, path: str | None) -> None:
         self.words = WordMemo(path, self.of, keep=200_000)
+        tokenizer = self.words.tokenizer
+        for probe in PROBES:
+            e = tokenizer.encode(probe, add_special_tokens=False)
+            if tokenizer.decode(e.ids, skip_special_tokens=False) != " ".join(e.tokens):
+                raise ValueError("the tokenizer does not decode to its tokens joined by spaces")
 
     def of(self, ids: list[int]) -> tuple[int, bytes, bytes]:
         token = self.words.tokenizer.id_to_token
@@ -145,14 +150,15 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null texts are empty: 0 tokens, digests of the empty string.  Null or repeated
     identifiers pass through; an empty table gives no rows; other columns are ignored.
-    Texts of any length are encoded whole, in bounded pieces.
+    Texts of any length are encoded whole, in bounded pieces.  A tokenizer that does not encode words between
+    white space by themselves, or does not decode to its tokens joined by spaces, is an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out = worker_encoder(tokenizer, mean_chunk), Out(SCHEMA)
         for batch in batches:
             for rows in groups_of(batch, "doc_id", "text"):
-                for (doc_id, _), (n, ids, decoded) in zip(rows, encoder.encode_all([folded(t.encode()) for _, t in rows]), strict=True):
+                for (doc_id, _), (n, ids, decoded) in zip(rows, encoder.encode_all([encoder.values.words.folded(t.encode()) for _, t in rows]), strict=True):
                     out.add(doc_id, n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
             if len(out):
                 yield out.take()

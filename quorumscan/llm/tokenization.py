@@ -31,6 +31,10 @@ def tokenizer_path(path: str | None, default: str = WORD_BPE) -> str:
     return path or public_tokenizers.path(default)
 
 
+#: Texts on which a file is tested when it is loaded: case, signs, contractions, numbers, marks, other scripts, blanks.
+PROBES = ("Hello, World! It's HE'LL don't", "a-b_c(x)[y]{z} 3.14 1,000 foo.bar@example.org", "naïve ÉCOLE ＡＢＣ ﬁ ½ é", "中文 русский 한국어 \U0001f600", "tab\tnew\nline  two", "a|b || |c 'quoted' \"double\"")
+
+
 class WordMemo:
     """Words to a value made from their ids, filled by batches of unseen words.
 
@@ -42,9 +46,26 @@ class WordMemo:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(path))
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.folds = self._tested(path)
         (self.separator,) = self.tokenizer.encode(SEPARATOR.decode(), add_special_tokens=False).ids
         self.value, self.keep, self.memo, self.old = value, keep, {}, {}
 
+    def _tested(self, path: str | None) -> bool:
+        """Whether ``folded`` texts have the same ids; a file that does not encode words by themselves is an error."""
+
+        def ids(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        def by_words(text: bytes) -> list[int]:
+            return [i for w in text.split() for i in ids(w.decode())]
+
+        if len(ids(SEPARATOR.decode())) != 1 or any(ids(p) != by_words(p.encode()) for p in PROBES):
+            raise ValueError(f"{tokenizer_path(path)} does not encode the words between white space by themselves")
+        return all(ids(p) == by_words(folded(p.encode())) for p in PROBES)
+
+    def folded(self, data: bytes) -> bytes:
+        return folded(data) if self.folds else data
+
     def learn(self, words: Iterable[bytes]) -> None:
         words = set(words)
         memo, new = self.memo, words.difference(self.memo)
@@ -109,7 +130,7 @@ def encoded(texts: list[bytes], memo: WordMemo) -> list[bytes]:
 
     Words are split and numbered by Arrow, so that Python sees each distinct word once.
     """
-    words = pc.ascii_split_whitespace(pa.array([folded(t) for t in texts], pa.string()))
+    words = pc.ascii_split_whitespace(pa.array([memo.folded(t) for t in texts], pa.string()))
     numbered = words.flatten().dictionary_encode()
     distinct = numbered.dictionary.cast(pa.binary()).to_pylist()
     found = list(map(memo.memo.get, distinct))

@@ -174,7 +174,11 @@ def score_documents(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id
 
 
 def offending_sentences(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """One row per sentence that scores ``threshold`` or more: doc_id, start, end (code points, exclusive), score, sentence."""
+    """One row per sentence that scores ``threshold`` or more: doc_id, start, end (code points, exclusive), score, sentence.
+
+    Null and empty texts have no sentence; texts of any length are read whole.  Null or repeated identifiers pass
+    through, each row for itself; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +194,11 @@ def offending_sentences(docs: DataFrame, model: SentenceModel, id_col: str = "do
 
 
 def drop_toxic(docs: DataFrame, model: SentenceModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score under ``threshold``."""
+    """The rows of ``docs``, all columns, that score under ``threshold``.
+
+    Null and empty texts score as the model scores no sentence, 0, and stay; texts of any length are scored whole.
+    Repeated rows go or stay together; a score equal to ``threshold`` goes; an empty table gives no rows.
+    """
 
     names = docs.columns
     text_at = names.index(text_col)
