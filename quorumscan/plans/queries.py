@@ -314,7 +314,24 @@ def q23_nms(spark, sf_dir):
     return gates.non_max_suppression(boxes(spark, sf_dir), ["frame"])
 
 
-@query()
+# A frame of these detections has one box, so matching is with the open track of the highest (IoU, number).
+@query(on_events(""", o AS (
+        SELECT video, CAST(row_number() OVER (PARTITION BY video ORDER BY event_id) AS INTEGER) AS r, event_id AS f, event_type AS label, t, event_id % 37 AS x1, event_id % 11 AS y1, event_id % 37 + 20 AS x2, event_id % 11 + event_id % 90 AS y2 FROM ev
+    ), w AS (
+        SELECT video, 0 AS r, 0 AS next_id, CAST([] AS STRUCT(id INTEGER, f BIGINT, label VARCHAR, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[]) AS live, NULL::INTEGER AS track_id, NULL::VARCHAR AS label, NULL::DOUBLE AS t FROM (SELECT DISTINCT video FROM o)
+        UNION ALL
+        SELECT video, r, CASE WHEN hit IS NULL THEN next_id + 1 ELSE next_id END,
+               CASE WHEN hit IS NULL THEN list_append(open, struct_pack(id := next_id, f := f, label := label, x1 := x1, y1 := y1, x2 := x2, y2 := y2))
+                    ELSE list_transform(open, lambda e: CASE WHEN e.id = hit.id THEN struct_pack(id := e.id, f := f, label := label, x1 := x1, y1 := y1, x2 := x2, y2 := y2) ELSE e END) END,
+               coalesce(hit.id, next_id), label, t
+        FROM (
+            SELECT *, list_sort(list_filter(list_transform(list_filter(open, lambda e: e.label = label), lambda e: struct_pack(
+                share := coalesce(greatest(0, least(e.x2, x2) - greatest(e.x1, x1)) * greatest(0, least(e.y2, y2) - greatest(e.y1, y1)) / CAST(nullif((e.x2 - e.x1) * (e.y2 - e.y1) + (x2 - x1) * (y2 - y1)
+                    - greatest(0, least(e.x2, x2) - greatest(e.x1, x1)) * greatest(0, least(e.y2, y2) - greatest(e.y1, y1)), 0) AS DOUBLE), 0), id := e.id)), lambda s: s.share >= 0.3::DOUBLE), 'DESC')[1] AS hit
+            FROM (SELECT o.*, w.next_id, list_filter(w.live, lambda e: o.f - e.f - 1 <= 1) AS open FROM w JOIN o ON o.video = w.video AND o.r = w.r + 1)
+        )
+    )
+    SELECT video, track_id, label, min(t) AS start_time, max(t) AS end_time, CAST(count(*) AS INTEGER) AS num_detections FROM w WHERE r > 0 GROUP BY ALL""", True))
 def q24_box_tracker(spark, sf_dir):
     return tracking.tracks_of(tracking.track_boxes(detections(spark, sf_dir), Config()))
 
