@@ -7,6 +7,8 @@ bin only, so no distinct is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,18 +33,34 @@ def overlap_join(windows: DataFrame, tracks: DataFrame, length: float, start: st
     return pairs.filter(hit & once).drop("_bin", "_lo", "_first")
 
 
-def cut_between(samples: DataFrame, cuts: DataFrame, tolerance: float, order: str = "frame_index") -> DataFrame:
+def carried(rows: DataFrame, keys: list[str], bin_: str, value: Column, name: str, over: Callable[[str], Column]) -> DataFrame:
+    """``rows`` with ``name``: what ``over`` makes of ``value``, an aggregate of each bin, over all earlier bins of their keys.
+
+    A running value over a long video is so split: this much before the bin, and a window within (keys, bin).  Only
+    one row for each bin goes through a window over the whole of a key.
+    """
+    bins = rows.groupBy(*keys, bin_).agg(value.alias("_value"))
+    earlier = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(bins.select(*keys, bin_, over("_value").over(earlier).alias(name)), [*keys, bin_])
+
+
+def cut_between(samples: DataFrame, cuts: DataFrame, tolerance: float, order: str = "frame_index", length: float = 3600.0, frames: int = 10_000) -> DataFrame:
     """Samples (video, time, ``order``) with is_cut: a cut lies in (previous time - tolerance, time + tolerance].
 
     The first sample of a video has no previous one and no cut.  The latest cut at or before the
-    sample's upper end decides, so one pass over the union of both sides in time order is enough.
+    sample's upper end decides, so one pass over the union of both sides in time order is enough.  Both windows
+    run within bins, of ``frames`` numbers and ``length`` seconds, and take over what came before.
     """
-    timed = samples.withColumn("_prev", F.lag("time").over(Window.partitionBy("video").orderBy(order)))
+    binned = samples.withColumn("_bin", F.floor(F.col(order) / frames).cast("long"))
+    binned = carried(binned, ["video"], "_bin", F.max_by("time", order), "_before", lambda v: F.last(v, ignorenulls=True))
+    within = Window.partitionBy("video", "_bin").orderBy(order)
+    timed = binned.withColumn("_prev", F.when(F.row_number().over(within) > 1, F.lag("time").over(within)).otherwise(F.col("_before"))).drop("_bin", "_before")
     marks = cuts.select("video", F.col("cut").alias("_at"), F.lit(0).alias("_side"), F.col("cut").alias("_cut"))
     asked = timed.withColumn("_at", F.col("time") + F.lit(float(tolerance))).withColumn("_side", F.lit(1))
-    both = marks.unionByName(asked, allowMissingColumns=True)
-    latest = F.last("_cut", ignorenulls=True).over(Window.partitionBy("video").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    flagged = both.withColumn("_latest", latest).filter("_side = 1")
+    both = marks.unionByName(asked, allowMissingColumns=True).withColumn("_bin", _bin(F.col("_at"), length))
+    both = carried(both, ["video"], "_bin", F.max("_cut"), "_before", F.max)
+    latest = F.last("_cut", ignorenulls=True).over(Window.partitionBy("video", "_bin").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    flagged = both.withColumn("_latest", F.coalesce(latest, "_before")).filter("_side = 1")
     is_cut = F.coalesce(F.col("_latest") > F.col("_prev") - F.lit(float(tolerance)), F.lit(False))
     return flagged.select(*samples.columns, is_cut.alias("is_cut"))
 
@@ -62,13 +80,17 @@ def nearest_cut(points: DataFrame, cuts: DataFrame, max_shift: float, at: str =
     return points.join(best, ["video", at], "left")
 
 
-def with_shot(tracks: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Tracks with ``shot``: the number of cuts at or before their start, so one that starts on a cut is in the new shot."""
+def with_shot(tracks: DataFrame, cuts: DataFrame, length: float = 3600.0) -> DataFrame:
+    """Tracks with ``shot``: the number of cuts at or before their start, so one that starts on a cut is in the new shot.
+
+    Cuts are counted within bins of ``length`` seconds, on top of those of all bins before.
+    """
     marks = cuts.select("video", F.col("cut").alias("_at"), F.lit(0).alias("_side"), F.lit(1).alias("_one"))
     asked = tracks.withColumn("_at", F.col("start_time")).withColumn("_side", F.lit(1)).withColumn("_one", F.lit(0))
-    both = marks.unionByName(asked, allowMissingColumns=True)
-    before = F.sum("_one").over(Window.partitionBy("video").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("shot", before.cast("long")).filter("_side = 1").select(*tracks.columns, "shot")
+    both = marks.unionByName(asked, allowMissingColumns=True).withColumn("_bin", _bin(F.col("_at"), length))
+    both = carried(both, ["video"], "_bin", F.sum("_one"), "_before", F.sum)
+    within = F.sum("_one").over(Window.partitionBy("video", "_bin").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("shot", (within + F.coalesce("_before", F.lit(0))).cast("long")).filter("_side = 1").select(*tracks.columns, "shot")
 
 
 def characters_per_shot(tracks: DataFrame, cuts: DataFrame) -> DataFrame:

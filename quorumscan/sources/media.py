@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quorumscan.operators.overlap import carried
+
 #: Fixed value: how a cut's time stands in the log of the cut filter.
 CUT_TIME = r"lavfi\.scd\.time:\s*([\d.]+)"
 
 
-def sampled_frames(frames: DataFrame, interval: float, limit_seconds: float | None = None) -> DataFrame:
+def sampled_frames(frames: DataFrame, interval: float, limit_seconds: float | None = None, bin_frames: int = 100_000) -> DataFrame:
     """Raw frames (video, raw_index, fps) that a sampler at ``interval`` emits: video, sample_index, raw_index, time.
 
     The next frame is due at a multiple of the interval; a frame is emitted when its time plus 1e-9
     has reached it.  Intervals shorter than a frame emit every frame.  A frame is emitted if a multiple
-    falls after the frame before and no later than itself, which needs no state.
+    falls after the frame before and no later than itself, which needs no state; they are numbered
+    within bins of ``bin_frames`` frames, on top of the number in all bins before.
     """
     time = F.col("raw_index") / F.col("fps")
     # A sampler that falls behind catches up one interval a frame: with intervals under a frame's time all are due.
@@ -23,8 +26,9 @@ def sampled_frames(frames: DataFrame, interval: float, limit_seconds: float | No
     hit = (F.col("raw_index") == 0) | (F.lit(float(interval)) * F.col("fps") <= 1) | (due > before)
     out = frames.withColumn("time", time).filter(hit)
     out = out if limit_seconds is None else out.filter(F.col("time") < float(limit_seconds))
-    at = F.row_number().over(Window.partitionBy("video").orderBy("raw_index")) - 1
-    return out.select("video", at.alias("sample_index"), "raw_index", "time")
+    out = carried(out.withColumn("_bin", F.floor(F.col("raw_index") / bin_frames)), ["video"], "_bin", F.count(F.lit(1)), "_before", F.sum)
+    at = F.row_number().over(Window.partitionBy("video", "_bin").orderBy("raw_index")) - 1 + F.coalesce("_before", F.lit(0))
+    return out.select("video", at.cast("int").alias("sample_index"), "raw_index", "time")
 
 
 def probe_frames(total: Column, n: int) -> Column:

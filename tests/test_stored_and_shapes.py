@@ -108,3 +108,29 @@ def test_catalog_edges(spark):
     segments = spark.createDataFrame([("a", [1, 2]), ("b", [1])], "video string, character_ids array<long>")
     crops = spark.createDataFrame([("a", 2), ("a", 5)], "video string, character_id long")
     assert {r.video: r.character_ids for r in catalog.characters_with_crop(segments, crops).collect()} == {"a": [2], "b": []}
+
+
+def test_running_values_in_bins(spark):
+    """However short the bins are, the same cuts, shots and sample numbers, by brute force."""
+    from quorumscan.operators import overlap
+
+    rng = random.Random(8)
+    samples = [(v, k, rng.uniform(0, 3) + k) for v in "ab" for k in range(40) if rng.random() < 0.7]
+    cuts = [(v, rng.uniform(0, 45)) for v in "ab" for _ in range(6)] + [("a", 10.0), ("c", 1.0)]
+    tracks = [(v, k, rng.choice([10.0, rng.uniform(0, 45)])) for k, v in enumerate("ab" * 15)]
+    s = spark.createDataFrame(samples, "video string, frame_index long, time double")
+    c = spark.createDataFrame(cuts, "video string, cut double")
+    t = spark.createDataFrame(tracks, "video string, track_id int, start_time double")
+    before = {}
+    expected = {}
+    for v, k, time in samples:
+        expected[v, k] = v in before and any(w == v and before[v] - 0.5 < x <= time + 0.5 for w, x in cuts)
+        before[v] = time
+    for length, frames in ((1.0, 1), (7.0, 5), (3600.0, 10_000)):
+        got = overlap.cut_between(s, c, 0.5, length=length, frames=frames).collect()
+        assert {(r.video, r.frame_index): r.is_cut for r in got} == expected
+        shots = overlap.with_shot(t, c, length).collect()
+        assert {r.track_id: r.shot for r in shots} == {k: sum(w == v and x <= at for w, x in cuts) for v, k, at in tracks}
+    raw = spark.createDataFrame([(v, k, 10.0) for v in "ab" for k in range(60)], "video string, raw_index long, fps double")
+    numbered = [sorted(map(tuple, media.sampled_frames(raw, 0.35, 5.0, n).collect())) for n in (1, 7, 1000)]
+    assert numbered[0] == numbered[1] == numbered[2] and [r[1] for r in numbered[0] if r[0] == "a"] == list(range(len(numbered[0]) // 2))
