@@ -126,10 +126,9 @@ def train(samples: DataFrame, smoothing: float = 30.0, characters: int = 66, mar
     ordinary = log_p(None)
     tables = [tuple(round(1000 * (p - q)) for p, q in zip(log_p(kind), ordinary, strict=True)) for kind in sorted(filter(None, counts))]
     bounds = sorted(round(1000 * m) for m in margins)
-    shares = [F.avg((F.size(random_stretches(log_ratios(F.col("text"), table), m)) > 0).cast("double")) for table in tables for m in bounds]
-    found = known.filter("held and kind is null").agg(F.count(F.lit(1)), *shares).first()[1:]
-    of_table = [found[k * len(bounds) : (k + 1) * len(bounds)] for k in range(len(tables))]
-    return Models(tuple(tables), tuple(next((m for m, x in zip(bounds, some) if x is not None and x <= rate), bounds[-1]) for some in of_table))
+    best = [F.percentile_approx(best_sum(log_ratios(F.col("text"), table)), 1 - rate, 10_000) for table in tables]
+    found = known.filter("held and kind is null").agg(F.count(F.lit(1)), *best).first()[1:]
+    return Models(tuple(tables), tuple(next((m for m in bounds if x is not None and x <= m), bounds[-1]) for x in found))
 
 
 def log_ratios(token: Column, weights: tuple[int, ...]) -> Column:
@@ -140,6 +139,20 @@ def log_ratios(token: Column, weights: tuple[int, ...]) -> Column:
     return F.slice(steps, F.lit(1), F.length(token))
 
 
+def best_sum(ratios: Column) -> Column:
+    """The largest sum of a stretch of ``LEAST`` ratios or more, or of all of them; in one pass, as below."""
+    lagged = F.slice(F.concat(F.array_repeat(F.lit(0), LEAST), ratios), F.lit(1), F.size(ratios))
+    zero = F.struct(*(F.lit(0).cast("long").alias(k) for k in ("at", "sum", "lag")), *(F.lit(None).cast("long").alias(k) for k in ("low", "best")))
+
+    def step(s: Column, x: Column) -> Column:
+        lag, total = s["lag"] + x["old"], s["sum"] + x["new"]
+        low = F.when(s["at"] + 1 >= LEAST, F.least(s["low"], lag)).otherwise(s["low"])
+        return F.struct((s["at"] + 1).alias("at"), total.alias("sum"), lag.alias("lag"), low.alias("low"), F.greatest(s["best"], total - low).alias("best"))
+
+    pairs = F.zip_with(ratios, lagged, lambda a, b: F.struct(a.alias("new"), b.alias("old")))
+    return F.aggregate(pairs, zero, step, lambda s: F.greatest(s["best"], s["sum"]))
+
+
 def random_stretches(ratios: Column, least_sum: int) -> Column:
     """Start and end of what is random in a token: all of it if its sum is above ``least_sum``, else its best stretches.
 

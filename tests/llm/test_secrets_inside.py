@@ -68,9 +68,10 @@ def test_best_stretch_against_brute_force(spark):
     rng = random.Random(6)
     cases = [[rng.randrange(-900, 700) for _ in range(rng.randrange(1, 60))] for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(cases)), "k int, r array<int>")
-    for r in docs.select("k", secrets.random_stretches(F.col("r"), 2000).alias("s")).collect():
+    for r in docs.select("k", secrets.random_stretches(F.col("r"), 2000).alias("s"), secrets.best_sum(F.col("r")).alias("best")).collect():
         x = cases[r.k]
         sums = {(a, b): sum(x[a:b]) for a in range(len(x)) for b in range(a + secrets.LEAST, len(x) + 1)}
+        assert r.best == max([sum(x), *sums.values()])
         if sum(x) > 2000:
             assert [tuple(s) for s in r.s] == [(0, len(x))]
         else:
