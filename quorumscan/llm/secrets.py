@@ -6,7 +6,7 @@ labelled samples by counting character pairs.  A long token is reported when the
 a random model to the ordinary one, summed over its characters, exceeds the model's margin; of one that
 is not, each stretch of ``LEAST`` characters or more whose own sum does, as of a secret behind a path.
 A margin is the least of some that few ordinary samples, held out of the counting, exceed.
-The models are kept as tables of integer weights (thousandths of a nat) for 128 x 128 character pairs,
+The models are kept as tables of integer weights (thousandths of a nat) for 68 x 68 character pairs,
 literals of fixed size in the plan.
 
 Places are code points, ends exclusive.  They are taken from the lengths of the parts
@@ -36,7 +36,9 @@ TOKEN, TOKEN_HINT = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+/_=-]{20}"
 #: Characters of the shortest stretch of a token that is judged by itself.
 LEAST = 20
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
-CODES = 128
+#: Characters of a token; their codes are their places from 1, and 0 is the start of a token and any other character.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+CODES = len(ALPHABET) + 1
 #: Words of which the sample's ordinary identifiers are made.
 IDENTIFIER_WORDS = (
     "account address admin amount array async base batch block buffer build button cache call chart check child class "
@@ -93,8 +95,8 @@ class Models:
 
 
 def _codes(text: Column) -> Column:
-    """The character codes of a string of ASCII characters."""
-    return F.transform(F.split(text, ""), lambda c: F.ascii(c))
+    """The character codes of a string."""
+    return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
 def train(samples: DataFrame, smoothing: float = 30.0, characters: int = 66, margins: tuple[float, ...] = (6, 8, 10, 12, 15, 20, 25, 30, 40), rate: float = 0.001) -> Models:
@@ -104,7 +106,7 @@ def train(samples: DataFrame, smoothing: float = 30.0, characters: int = 66, mar
     ``samples`` has text (null and non-ASCII texts are ignored), is_secret and, if random strings
     are of several alphabets, alphabet.  A quarter of the samples, by a hash, is held out: an alphabet's
     margin is the least of ``margins`` that at most ``rate`` of the ordinary ones held out exceed, or the largest.
-    The driver gets counts of pairs, at most 128 * 128 for each alphabet, however many samples there are.
+    The driver gets counts of pairs, at most 68 * 68 for each alphabet, however many samples there are.
     """
     alphabet = F.coalesce("alphabet", F.lit("any")) if "alphabet" in samples.columns else F.lit("any")
     held = F.coalesce("held_out", F.lit(False)) if "held_out" in samples.columns else F.pmod(F.xxhash64("text"), F.lit(4)) == 0

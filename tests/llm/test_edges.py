@@ -17,7 +17,7 @@ def table(spark, rows):
     return spark.createDataFrame([(*r, *[None] * 15) for r in rows], SCHEMA)
 
 
-NO_MODELS = secrets.Models(((0,) * 128 * 128,), (10_000,))
+NO_MODELS = secrets.Models(((0,) * secrets.CODES**2,), (10_000,))
 MODEL = toxicity.SentenceModel({"short": 9.0}, -4.0)
 OPERATORS = {
     "secrets": lambda d: secrets.scan_secrets(d, NO_MODELS),

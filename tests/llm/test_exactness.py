@@ -87,7 +87,7 @@ def test_markov_models_tell_random_strings_from_identifiers(spark):
     got = {r.doc_id: r.n_random for r in secrets.scan_secrets(of(spark, random_ones + names), weights).collect()}
     assert sum(got[k] for k in range(200)) >= 195
     assert sum(got[k] for k in range(200, 400)) <= 4
-    assert len(weights.tables) == len(weights.margins) == 4 and all(len(t) == 128 * 128 for t in weights.tables)
+    assert len(weights.tables) == len(weights.margins) == 4 and all(len(t) == secrets.CODES**2 for t in weights.tables)
     none = secrets.train(secrets.labelled_samples(spark, 0))
     assert none == secrets.Models((), ())
     assert [r.n_random for r in secrets.scan_secrets(of(spark, random_ones[:1]), none).collect()] == [0]

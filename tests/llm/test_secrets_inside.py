@@ -120,9 +120,9 @@ def test_random_spans_against_brute_force(spark, weights):
         token = text[2:]
         every = []
         if len(token) >= 20 and any(c.isalpha() for c in token):
-            codes = [0, *map(ord, token)]
+            codes = [0, *(secrets.ALPHABET.find(c) + 1 for c in token)]
             for table, margin in zip(weights.tables, weights.margins, strict=True):
-                every += plain_stretches([table[a * 128 + b] for a, b in zip(codes, codes[1:])], margin)
+                every += plain_stretches([table[a * secrets.CODES + b] for a, b in zip(codes, codes[1:])], margin)
         merged = []
         for a, b in sorted(every):
             if merged and a < merged[-1][1]:
