@@ -34,8 +34,10 @@ SEPARATORS = byte_set(b for b in range(128) if not chr(b).isalnum())
 BLOCK = 128
 #: Bytes of texts and number of documents that fill a shard.
 SHARD_BYTES, SHARD_DOCS = 16 << 20, 1 << 16
-#: Documents of a window.
-WINDOW = 1 << 12
+#: Documents of a window at first and at most; windows grow as the threshold does.
+FIRST_WINDOW, WINDOW = 1 << 11, 1 << 13
+#: Of so many candidates for each result the best are taken first.
+MANY = 100
 #: Characters of the queries that are broadcast at a time, and their number.
 QUERY_CHARS, QUERIES = 1 << 22, 4096
 
@@ -262,50 +264,67 @@ def search_shard(lists: list[tuple[int, PostingList]], size: int, k: int, order:
     ``lists`` are (weight, list).  Of equal scores the lowest ``order`` wins, which is by document.
     """
     docs, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    least = 1
-    for begin in range(0, size, WINDOW):
-        end = min(begin + WINDOW, size)
+    least, begin, width = 1, 0, FIRST_WINDOW
+
+    def taken(found: np.ndarray, exact: np.ndarray) -> None:
+        nonlocal docs, scores, least
+        docs, scores = np.concatenate([docs, found]), np.concatenate([scores, exact])
+        top = np.lexsort((order[docs], -scores))[:k]
+        docs, scores = docs[top], scores[top]
+        least = max(1, int(scores[-1])) if len(docs) == k else 1
+
+    while begin < size:
+        end = min(begin + width, size)
         bounds = [w * x.bound(begin, end) for w, x in lists]
         by = [j for j in np.argsort(bounds, kind="stable").tolist() if bounds[j]]
         reach = np.cumsum([bounds[j] for j in by])
         # The pivot: lists before it do not reach the threshold together.
         pivot = int(np.searchsorted(reach, least))
-        if pivot == len(by):
-            continue
-        partial = np.zeros(end - begin, np.int64)
-        for j in by[pivot:]:
-            w, x = lists[j]
-            for doc, impact in x.within(begin, end):
-                partial[doc - begin] += w * impact
-        light = by[:pivot][::-1]
-        found = np.flatnonzero((partial > 0) & (partial + (reach[pivot - 1] if pivot else 0) >= least)) + begin
-        bound = partial[found - begin]
-        places = []
-        for j in light:
-            w, x = lists[j]
-            block, most = x.shallow(found)
-            places.append((j, block, w * most))
-            bound = bound + w * most
-        keep = bound >= least
-        found, bound = found[keep], bound[keep]
-        for t, (j, _, _) in enumerate(places):
-            places[t] = (j, places[t][1][keep], places[t][2][keep])
-        for t, (j, block, most) in enumerate(places):
-            if not len(found):
-                break
-            w, x = lists[j]
-            bound = bound - most + w * x.at(found, block)
-            keep = bound >= least
-            if not keep.all():
-                found, bound = found[keep], bound[keep]
-                places[t + 1 :] = [(j2, b[keep], v[keep]) for j2, b, v in places[t + 1 :]]
-        docs, scores = np.concatenate([docs, found]), np.concatenate([scores, bound])
-        top = np.lexsort((order[docs], -scores))[:k]
-        docs, scores = docs[top], scores[top]
-        least = max(1, int(scores[-1])) if len(docs) == k else 1
+        if pivot < len(by):
+            partial = np.zeros(end - begin, np.int64)
+            for j in by[pivot:]:
+                w, x = lists[j]
+                for doc, impact in x.within(begin, end):
+                    partial[doc - begin] += w * impact
+            found = np.flatnonzero((partial > 0) & (partial + (reach[pivot - 1] if pivot else 0) >= least))
+            candidates = Candidates(found + begin, partial[found], [lists[j] for j in by[:pivot][::-1]])
+            # Those of the highest bounds first: they raise the threshold for the others.
+            if len(found) > MANY * k:
+                by_bound = np.argsort(-candidates.bound, kind="stable")
+                taken(*candidates.select(by_bound[: 2 * k]).exact(least))
+                candidates = candidates.select(by_bound[2 * k :])
+            taken(*candidates.exact(least))
+        begin, width = end, min(4 * width, WINDOW)
     return docs, scores
 
 
+class Candidates:
+    """Documents with what the pivot's lists give them, and the block maxima of the lists that are left, the heaviest first."""
+
+    def __init__(self, docs: np.ndarray, bound: np.ndarray, lists: list[tuple[int, PostingList]]) -> None:
+        self.docs, self.lists = docs, lists
+        self.moves = [x.shallow(docs) for _, x in lists]
+        self.bound = bound + sum((w * most for (w, _), (_, most) in zip(lists, self.moves, strict=True)), np.zeros(len(docs), np.int64))
+
+    def select(self, which: np.ndarray) -> Candidates:
+        out = object.__new__(Candidates)
+        out.docs, out.bound, out.lists = self.docs[which], self.bound[which], self.lists
+        out.moves = [(block[which], most[which]) for block, most in self.moves]
+        return out
+
+    def exact(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents whose scores reach ``least``, and their scores; blocks are unpacked only where a bound still does."""
+        which = np.flatnonzero(self.bound >= least)
+        bound = self.bound[which]
+        for (w, x), (block, most) in zip(self.lists, self.moves, strict=True):
+            if not len(which):
+                break
+            bound = bound + w * (x.at(self.docs[which], block[which]) - most[which])
+            keep = np.flatnonzero(bound >= least)
+            which, bound = which[keep], bound[keep]
+        return self.docs[which], bound
+
+
 def _searcher(asked: Broadcast, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The search of one shard: its blocks of the queries' terms, and its documents."""
 
