@@ -39,6 +39,8 @@ ROWS = 2
 BLOCK = 1 << 16
 #: Bytes of texts that are counted at a time.
 GROUP_BYTES = 4 << 20
+#: Counts that a task holds before they are added up.
+HELD_ROWS = 1 << 21
 #: Parts into which a language's candidates are dealt before they are ranked.
 DEALT = 64
 
@@ -122,6 +124,13 @@ def merged_sketch(texts: DataFrame, size: int, width: int, least: int) -> list[n
     return out
 
 
+def _added(batches: list[pa.RecordBatch]) -> pa.Table:
+    """Rows (lang, size, phrase, f), equal ones as one."""
+    total = pa.Table.from_batches(batches).group_by(["lang", "phrase"]).aggregate([("size", "min"), ("f", "sum")])
+    columns = [total.column(c) for c in ("lang", "size_min", "phrase", "f_sum")]
+    return pa.Table.from_arrays(columns, names=["lang", "size", "phrase", "f"])
+
+
 def sketch_width(chars: int) -> int:
     """A power of two by the number of characters, within bounds."""
     return min(MOST_CELLS, max(LEAST_CELLS, 1 << (chars // CHARS_A_CELL).bit_length()))
@@ -175,7 +184,23 @@ def frequent_phrases(docs: DataFrame, least: int, size: int = 5, text_col: str =
                 phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang[first])), pa.array(np.full(len(first), n, np.int32)), phrase, pa.array(counts.astype(np.int64))], schema=schema)
 
-    rows = texts.mapInArrow(survivors, "lang string, size int, phrase string, f long")
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of a task, added up before they leave it; what is held is bounded."""
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in survivors(batches):
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > HELD_ROWS:
+                table = _added(held)
+                if table.num_rows > HELD_ROWS // 2:
+                    yield from table.to_batches(1 << 16)
+                    table = table.slice(0, 0)
+                held, rows = table.to_batches(), table.num_rows
+        if held:
+            yield from _added(held).to_batches(1 << 16)
+
+    rows = texts.mapInArrow(combined, "lang string, size int, phrase string, f long")
     return rows.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)).select("lang", "size", "phrase", "f")
 
 
