@@ -5,7 +5,8 @@
    never counts too little, so a phrase all of whose cells reach the least count may be frequent, and any other is not.
    What the second pass is given is one bit a cell: whether it reaches that count.
 2. The second pass reads the texts again, drops every phrase that has a cell below the count, or whose
-   shorter parts have, and aggregates the rest exactly, as strings.  Nothing frequent is lost.
+   shorter parts have, and aggregates the rest exactly, as strings: first a task's own, then all tasks' by parts of the phrases.  Nothing
+   frequent is lost.
 3. Cuts of a phrase are scored by joins of the exact counts, and phrases subsumed by a longer one go.
 
 The sketch's width follows the characters of the table up to ``MOST_CELLS``, so tasks hold and the driver broadcasts
@@ -41,6 +42,8 @@ BLOCK = 1 << 16
 GROUP_BYTES = 4 << 20
 #: Counts that a task holds before they are added up.
 HELD_ROWS = 1 << 21
+#: Parts of the phrases that are added up apart: one for each 2**PART_BITS characters, within bounds.
+LEAST_PARTS, MOST_PARTS, PART_BITS = 16, 4096, 23
 #: Parts into which a language's candidates are dealt before they are ranked.
 DEALT = 64
 
@@ -144,7 +147,8 @@ def frequent_phrases(docs: DataFrame, least: int, size: int = 5, text_col: str =
     """
     texts = _languages(docs, text_col, lang_col)
     spark: SparkSession = docs.sparkSession
-    width = width or sketch_width(texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0)
+    chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    width = width or sketch_width(chars)
     known = spark.sparkContext.broadcast(merged_sketch(texts, size, width, least))
     schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
@@ -184,8 +188,8 @@ def frequent_phrases(docs: DataFrame, least: int, size: int = 5, text_col: str =
                 phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(lang[first])), pa.array(np.full(len(first), n, np.int32)), phrase, pa.array(counts.astype(np.int64))], schema=schema)
 
-    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of a task, added up before they leave it; what is held is bounded."""
+    def combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Counts of a task, added up; what is held is bounded."""
         held: list[pa.RecordBatch] = []
         rows = 0
         for batch in survivors(batches):
@@ -194,14 +198,51 @@ def frequent_phrases(docs: DataFrame, least: int, size: int = 5, text_col: str =
             if rows > HELD_ROWS:
                 table = _added(held)
                 if table.num_rows > HELD_ROWS // 2:
-                    yield from table.to_batches(1 << 16)
+                    yield table
                     table = table.slice(0, 0)
                 held, rows = table.to_batches(), table.num_rows
         if held:
-            yield from _added(held).to_batches(1 << 16)
+            yield _added(held)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's counts by parts of the phrases, one row a part."""
+        out = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+        for table in combined(batches):
+            part = (pd.util.hash_array(table.column("phrase").to_numpy()) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            table, cuts = table.take(pa.array(order)).combine_chunks(), np.searchsorted(part[order], np.arange(parts + 1))
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                    writer.write_table(table.slice(cuts[k], cuts[k + 1] - cuts[k]))
+                yield pa.RecordBatch.from_pydict({"part": [k], "data": [sink.getvalue().to_pybytes()]}, out)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by part, so one part's phrases are held at a time."""
+
+        def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = _added(held)
+            yield from total.filter(pc.or_(pc.greater_equal(total.column("f"), least), pc.equal(total.column("size"), 0))).cast(schema).to_batches(1 << 16)
+
+        at, held, rows = None, [], 0
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if part != at:
+                    if held:
+                        yield from done(held)
+                    at, held, rows = part, [], 0
+                more = pa.ipc.open_stream(data).read_all()
+                held += more.to_batches()
+                rows += more.num_rows
+                if rows > HELD_ROWS:
+                    held = _added(held).to_batches()
+                    rows = 0
+        if held:
+            yield from done(held)
 
-    rows = texts.mapInArrow(combined, "lang string, size int, phrase string, f long")
-    return rows.groupBy("lang", "phrase").agg(F.first("size").alias("size"), F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("size") == 0)).select("lang", "size", "phrase", "f")
+    parts = min(MOST_PARTS, max(LEAST_PARTS, chars >> PART_BITS))
+    rows = texts.mapInArrow(packed, "part int, data binary").repartition("part").sortWithinPartitions("part")
+    return rows.mapInArrow(merged, "lang string, size int, phrase string, f long")
 
 
 def collocations(docs: DataFrame, least: int = 100, best: int | None = 2000, size: int = 5, share: int = 100, text_col: str = "text", lang_col: str = "lang", width: int | None = None) -> DataFrame:
