@@ -49,6 +49,7 @@ def frontal_from_eyes(eyes: str, width: str) -> Column:
     return F.when((n <= 0) | (F.col(width) <= 0), F.lit(NO_EYE)).when(n == 1, F.lit(ONE_EYE)).otherwise(two)
 
 
-def representative_score(blur: Column, confidence: Column, frontal: Column, weight: float) -> Column:
-    """Sharpness times confidence, drawn towards frontal faces by ``weight``; a null sharpness is 0."""
-    return F.coalesce(blur, F.lit(0.0)) * confidence * (F.lit(1.0 - weight) + F.lit(weight) * frontal)
+def representative_score(blur: Column, confidence: Column, frontal: Column, weight: float | Column) -> Column:
+    """Sharpness times confidence, drawn towards frontal faces by ``weight``; a null sharpness is 0, a null frontal score does not count."""
+    w = weight if isinstance(weight, Column) else F.lit(float(weight))
+    return F.coalesce(blur, F.lit(0.0)) * confidence * (F.lit(1.0) - w + w * F.coalesce(frontal, F.lit(1.0)))

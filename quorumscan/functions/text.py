@@ -71,3 +71,17 @@ def padded(text: str, width: int) -> str:
     while display_width(text) > width:
         text = text[1:]
     return " " * (width - display_width(text)) + text
+
+
+#: Fixed labels of the styles, and of any other.
+STYLE_LABELS, NO_LABEL = {"2d": "2D", "3d": "3D CG", "real": "真人"}, "—"
+
+
+def style_label(style: Column) -> Column:
+    """How a style is shown; unknown and null ones as a dash."""
+    return F.coalesce(*(F.when(style == s, F.lit(label)) for s, label in STYLE_LABELS.items()), F.lit(NO_LABEL))
+
+
+def percent_of(part: Column, whole: Column) -> Column:
+    """A share as text with two decimals and a percent sign, as where a segment lies on its video's bar; null where the whole is 0."""
+    return F.when(part.isNotNull() & (whole != 0), F.concat(F.format_string("%.2f", 100.0 * part / F.nullif(whole, F.lit(0.0))), F.lit("%")))

@@ -105,3 +105,13 @@ def reservoir(rows: DataFrame, n: int, seed: int = 0, key: str | None = None) ->
 def first_by_order(rows: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The value of each key's first row in ``order`` that has one."""
     return rows.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, order).alias(value))
+
+
+def of_titles(films: DataFrame, titles: list[str] | None, title: str = "title") -> DataFrame:
+    """Films whose title is one of ``titles``; all of them without any."""
+    return films.filter(F.col(title).isin(*titles)) if titles else films
+
+
+def in_order_of_creation(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows by ``columns``, for a list that is shown; nulls come first, as in the service's database."""
+    return rows.orderBy(*(F.col(c).asc_nulls_first() for c in columns))

@@ -105,6 +105,35 @@ def grand_total(summary: DataFrame) -> DataFrame:
     return summary.agg(F.sum("segments").alias("segments"), F.sum("max_windows").alias("max_windows")).withColumn("percent", 100.0 * F.col("segments") / F.greatest(F.col("max_windows"), F.lit(1)))
 
 
+def by_scope(rows: DataFrame, keys: list[str], scopes: list[str], measures: list[str]) -> DataFrame:
+    """One row for each of ``rows`` and scope: keys, scope, measures; columns are named ``measure_scope``, one that is missing is null."""
+    values = [F.struct(F.lit(s).alias("scope"), *((F.col(f"{m}_{s}") if f"{m}_{s}" in rows.columns else F.lit(None)).cast("double").alias(m) for m in measures)) for s in scopes]
+    return rows.select(*keys, F.explode(F.array(*values)).alias("_v")).select(*keys, "_v.*")
+
+
+def scope_totals(films: DataFrame, scopes: list[str], possible: str = "max_windows", counted: str = "segments") -> DataFrame:
+    """(scope, segments, max_windows, percent) over all films, from columns ``segments_<scope>``; a film's possible windows count once a scope."""
+    rows = by_scope(films, [possible], scopes, [counted]).groupBy("scope").agg(F.sum(counted).cast("long").alias(counted), F.sum(possible).cast("long").alias(possible))
+    return rows.withColumn("percent", 100.0 * F.col(counted) / F.greatest(F.col(possible), F.lit(1)))
+
+
+def film_shares(films: DataFrame, keys: list[str], scopes: list[str], possible: str = "max_windows", counted: str = "segments") -> DataFrame:
+    """(keys, scope, segments, percent) of each film: how many of its possible windows a scope finds."""
+    rows = by_scope(films, [*keys, possible], scopes, [counted])
+    return rows.select(*keys, "scope", F.col(counted).cast("long").alias(counted), (100.0 * F.col(counted) / F.greatest(F.col(possible), F.lit(1))).alias("percent"))
+
+
+def scope_macro(windows: DataFrame, scopes: list[str], truth: str = "truth", predicted: str = "pred") -> DataFrame:
+    """(scope, n, macro_f1, macro_recall, mean_ratio) over windows, from counts ``pred_<scope>`` against ``truth``.
+
+    A window whose count is null in a scope, as where there is no short clip of it, is left out of that scope; the ratio of one
+    without a true character is null and left out of the mean.
+    """
+    rows = by_scope(windows, [truth], scopes, [predicted]).filter(F.col(predicted).isNotNull())
+    measured = scored(rows, predicted, truth)
+    return measured.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg("f1").alias("macro_f1"), F.avg("recall").alias("macro_recall"), F.avg("ratio").alias("mean_ratio"))
+
+
 def majority_style(votes: DataFrame, key: str, vote: str = "is_3d") -> DataFrame:
     """Non-2D where votes for it are more than half; ties go to 2d."""
     out = votes.groupBy(key).agg(F.count_if(F.col(vote)).alias("n_3d"), F.count(F.lit(1)).alias("total"))

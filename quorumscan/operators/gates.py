@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quorumscan.config import Config
 
 
-def passes_quality(config: Config, frame_height: str | Column = "frame_height") -> Column:
-    """Confidence, height and sharpness reach their bounds; a null sharpness is 0."""
+def passes_quality(config: Config, frame_height: str | Column = "frame_height", ratio: Column | None = None) -> Column:
+    """Confidence, height and sharpness reach their bounds; a null sharpness is 0.  ``ratio`` is a least height of each row's own."""
+    ratio = F.lit(config.min_face_height_ratio) if ratio is None else ratio
     height = F.col(frame_height) if isinstance(frame_height, str) else frame_height
     return (
         (F.col("confidence") >= config.conf_threshold)
-        & (F.col("y2") - F.col("y1") >= F.lit(config.min_face_height_ratio) * height)
+        & (F.col("y2") - F.col("y1") >= ratio * height)
         & (F.coalesce("blur_var", F.lit(0.0)) >= config.blur_var_threshold)
     )
 

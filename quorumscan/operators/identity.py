@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumscan.functions.geometry import dot, normalised
-
-LABELLED = "character_id int"
+from quorumscan.operators import linkage
+from quorumscan.operators.linkage import MOST, complete_linkage  # noqa: F401
 
 
 def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id", feature: str = "feature") -> DataFrame:
@@ -24,85 +22,41 @@ def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id",
     return pairs.groupBy(*keys, "i", "j").agg(F.median("_d").alias("diff"))
 
 
-def complete_linkage(matrix: np.ndarray, threshold: float) -> list[int]:
-    """Cluster numbers by first appearance; two clusters merge while their largest difference is under ``threshold``.
-
-    The pair with the smallest difference merges first, of equal ones that of the lowest
-    members.  Equality does not merge.
-    """
-    n = len(matrix)
-    d = np.array(matrix, float)
-    np.fill_diagonal(d, np.inf)
-    cluster = np.arange(n)
-    # Differences only grow, so a row's nearest changes only where it was one of the two that merge.
-    nearest, where = (d.min(axis=1), d.argmin(axis=1)) if n else (np.zeros(0), np.zeros(0, int))
-    while n:
-        i = int(np.argmin(nearest))
-        if not nearest[i] < threshold:
-            break
-        j = int(where[i])
-        cluster[cluster == j] = i
-        d[i] = np.maximum(d[i], d[j])
-        d[:, i] = d[i]
-        d[i, i] = np.inf
-        d[j, :] = d[:, j] = np.inf
-        again = np.flatnonzero((where == i) | (where == j) | (np.arange(n) == i))
-        nearest[again], where[again] = d[again].min(axis=1), d[again].argmin(axis=1)
-    number: dict[int, int] = {}
-    return [number.setdefault(int(c), len(number)) for c in cluster]
-
-
-def _matrix(ids: list[int], i: np.ndarray, j: np.ndarray, diff: np.ndarray) -> np.ndarray:
-    out = np.full((len(ids), len(ids)), np.inf)
-    np.fill_diagonal(out, 0.0)
-    at = pd.Index(ids)
-    a, b = at.get_indexer(i), at.get_indexer(j)
-    both = (a >= 0) & (b >= 0)
-    out[a[both], b[both]] = out[b[both], a[both]] = diff[both]
-    return out
-
-
-def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video") -> DataFrame:
-    """``tracks`` (key, track_id, ...) with character_id from clusters of all tracks of a key.
+def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video", most: int = MOST) -> DataFrame:
+    """``tracks`` (key, track_id, ...) with character_id from complete-linkage clusters of all tracks of a key.
 
     ``threshold`` is a number, or the column of ``differences`` that has each key's own.
-    Tracks that no difference mentions have no crop and so no known character: null.  One key's matrix is
-    held by one task (quadratic in its tracks); keys are spread over tasks.
+    Tracks that no difference mentions have no crop and so no known character: null.  Characters are numbered by
+    their first track.  A key of more than ``most`` tracks is split (see ``linkage``), so no task holds it whole.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted({*rows["i"].tolist(), *rows["j"].tolist()})
-        bound = rows[threshold].iloc[0] if isinstance(threshold, str) else threshold
-        labels = complete_linkage(_matrix(ids, rows["i"].to_numpy(), rows["j"].to_numpy(), rows["diff"].to_numpy()), bound)
-        return pd.DataFrame({key: rows[key].iloc[0], "track_id": ids, "character_id": labels})
-
-    kind = dict(tracks.dtypes)
-    clusters = differences.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, track_id {kind['track_id']}, character_id int")
-    return tracks.drop("character_id").join(clusters, [key, "track_id"], "left")
+    bound = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    known = differences.select(key, F.explode(F.array("i", "j")).alias("track_id")).distinct()
+    found = linkage.clusters(differences.filter(F.col("diff") < bound), [key], most)
+    named = known.join(found.withColumnRenamed("node", "track_id"), [key, "track_id"], "left").select(key, "track_id", F.coalesce("cluster", "track_id").alias("_cluster"))
+    numbers = named.select(key, "_cluster").distinct()
+    numbers = numbers.withColumn("character_id", (F.row_number().over(Window.partitionBy(key).orderBy("_cluster")) - 1).cast("int"))
+    labelled = named.join(numbers, [key, "_cluster"]).drop("_cluster")
+    return tracks.drop("character_id").join(labelled, [key, "track_id"], "left")
 
 
-def window_scope_counts(members: DataFrame, differences: DataFrame, threshold: float, key: str = "video") -> DataFrame:
+def window_scope_counts(members: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video", most: int = MOST) -> DataFrame:
     """(key, k, n): characters in window k when only its own tracks are clustered.
 
     ``members`` has (key, k, track_id).  Windows with the same set of tracks are clustered once;
-    tracks that no difference mentions are left out.
+    tracks that no difference mentions are left out.  ``threshold`` is a number, or the column of ``differences`` that has each key's own.
+    A window of more than ``most`` tracks is split (see ``linkage``).
     """
-    known = differences.select(key, F.col("i").alias("track_id")).union(differences.select(key, F.col("j").alias("track_id"))).distinct()
+    bound = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
+    known = differences.select(key, F.explode(F.array("i", "j")).alias("track_id")).distinct()
     sets = members.join(known, [key, "track_id"], "left_semi").groupBy(key, "k").agg(F.sort_array(F.collect_set("track_id")).alias("tracks"))
     signed = sets.withColumn("signature", F.sha2(F.to_json("tracks"), 256))
-    distinct = signed.groupBy(key, "signature").agg(F.first("tracks").alias("tracks")).select(key, "signature", F.size("tracks").alias("size"), F.explode("tracks").alias("i"))
-    pairs = distinct.join(differences, [key, "i"]).join(distinct.select(key, "signature", F.col("i").alias("j")), [key, "signature", "j"])
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted({*rows["i"].tolist(), *rows["j"].tolist()})
-        labels = complete_linkage(_matrix(ids, rows["i"].to_numpy(), rows["j"].to_numpy(), rows["diff"].to_numpy()), threshold)
-        alone = int(rows["size"].iloc[0]) - len(ids)  # tracks without a difference in the set
-        return pd.DataFrame({key: [rows[key].iloc[0]], "signature": [rows["signature"].iloc[0]], "n": [len(set(labels)) + alone]})
-
-    kind = dict(members.dtypes)[key]
-    counted = pairs.groupBy(key, "signature").applyInPandas(run, f"{key} {kind}, signature string, n long")
-    alone = F.size("tracks").cast("long")  # a set without a pair
-    out = signed.join(counted, [key, "signature"], "left").select(key, "k", F.coalesce("n", alone).alias("n"))
+    distinct = signed.groupBy(key, "signature").agg(F.first("tracks").alias("tracks")).select(key, "signature", F.explode("tracks").alias("i"))
+    # Only pairs under the threshold can merge; each pair that does not happen leaves a character of its own.
+    near = differences.filter(F.col("diff") < bound).select(key, "i", "j", "diff")
+    pairs = distinct.join(near, [key, "i"]).join(distinct.select(key, "signature", F.col("i").alias("j")), [key, "signature", "j"])
+    found = linkage.clusters(pairs, [key, "signature"], most)
+    merged = found.groupBy(key, "signature").agg((F.count(F.lit(1)) - F.countDistinct("cluster")).alias("merged"))
+    out = signed.join(merged, [key, "signature"], "left").select(key, "k", (F.size("tracks") - F.coalesce("merged", F.lit(0))).alias("n"))
     every = members.select(key, "k").distinct()
     return every.join(out, [key, "k"], "left").select(key, "k", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumscan.config import Config
+from quorumscan.operators.overlap import carried
 
 TRACKED = "video string, track_id int, label string, frame_index int, time double, x1 int, y1 int, x2 int, y2 int, confidence double, blur_var double, frontal double"
 
@@ -104,27 +105,78 @@ def track_rows(tracker: BoxTracker, rows: pd.DataFrame) -> pd.DataFrame:
     return kept
 
 
-def track_boxes(detections: DataFrame, config: Config, frames: DataFrame | None = None) -> DataFrame:
+def prepared(detections: DataFrame) -> DataFrame:
+    """The tracker's columns of a table that may lack some, and is_cut."""
+    base = detections if "is_cut" in detections.columns else detections.withColumn("is_cut", F.lit(False))
+    needed = [c.split()[0] for c in TRACKED.split(", ") if not c.startswith("track_id")]
+    return base.select(*(F.col(c) if c in base.columns else F.lit(None).cast("double").alias(c) for c in needed), F.coalesce("is_cut", F.lit(False)).alias("is_cut"))
+
+
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Boxes of a video as the tracker takes them: by frame, then by place, then by label."""
+    return rows.sort_values(["frame_index", "x1", "y1", "x2", "y2", "label"], kind="stable", na_position="last").reset_index(drop=True)
+
+
+def stretches(seen: DataFrame, cuts: DataFrame, gap: int, frames: int = 10_000) -> DataFrame:
+    """(video, label, frame_index, stretch) of every frame in which a label is seen; no track goes from one stretch to another.
+
+    A stretch is named by its first frame.  One begins where more than ``gap`` frames lack the label, or a cut (video, frame_index) has come
+    since it was seen last.  All running values are taken within bins of ``frames`` frames, over what came before the bin.
+    """
+    marks = seen.select("video", "label", "frame_index").distinct().withColumn("_cut", F.lit(0))
+    marks = marks.unionByName(cuts.select("video", F.lit(None).cast("string").alias("label"), "frame_index", F.lit(1).alias("_cut")).distinct())
+    binned = marks.withColumn("_bin", F.floor(F.col("frame_index") / frames).cast("long"))
+    binned = carried(binned, ["video"], "_bin", F.sum("_cut"), "_before", F.sum)
+    so_far = Window.partitionBy("video", "_bin").orderBy("frame_index").rangeBetween(Window.unboundedPreceding, 0)
+    counted = binned.withColumn("_cuts", F.coalesce("_before", F.lit(0)) + F.sum("_cut").over(so_far)).filter("_cut = 0").drop("_before", "_cut")
+
+    here = F.struct("frame_index", "_cuts")
+    counted = carried(counted, ["video", "label"], "_bin", F.max(here), "_before", F.max)
+    within = Window.partitionBy("video", "label", "_bin").orderBy("frame_index")
+    last = F.coalesce(F.lag(here).over(within), "_before")
+    fresh = last.isNull() | (F.col("frame_index") - last["frame_index"] - 1 > gap) | (last["_cuts"] != F.col("_cuts"))
+    begun = counted.withColumn("_from", F.when(fresh, F.col("frame_index"))).drop("_before")
+    begun = carried(begun, ["video", "label"], "_bin", F.max("_from"), "_before", F.max)
+    stretch = F.coalesce(F.max("_from").over(within.rowsBetween(Window.unboundedPreceding, 0)), "_before")
+    return begun.select("video", "label", "frame_index", stretch.alias("stretch"))
+
+
+def track_boxes(detections: DataFrame, config: Config, frames: DataFrame | None = None, bin_frames: int = 10_000) -> DataFrame:
     """Detections with track_id; ``frames`` (video, frame_index, is_cut) marks frames after a cut.
 
-    A tracker is sequential within a video, so videos are what is spread over tasks.
+    Tracks never leave a stretch of their label (see ``stretches``), so stretches, not videos, are what is spread over tasks.
+    Tracks are numbered from 0 in each video by where they open, as one tracker that sees the whole video would.
     """
-    base = detections.withColumn("is_cut", F.lit(False)) if "is_cut" not in detections.columns else detections
+    base = prepared(detections).withColumn("_label", F.coalesce("label", F.lit("")))
+    cuts = base.filter("is_cut").select("video", "frame_index")
     if frames is not None:
-        flags = frames.filter("is_cut").select("video", "frame_index", F.lit(True).alias("is_cut"))
-        base = base.drop("is_cut").join(flags, ["video", "frame_index"], "full").withColumn("is_cut", F.coalesce("is_cut", F.lit(False)))
+        cuts = frames.filter("is_cut").select("video", "frame_index")
     columns = [c.split()[0] for c in TRACKED.split(", ")]
-    needed = [c for c in columns if c != "track_id"]
-    base = base.select(*(F.col(c) if c in base.columns else F.lit(None).cast("double").alias(c) for c in needed), "is_cut")
+    real = base.filter("x1 IS NOT NULL").drop("is_cut")
     least_iou, gap = config.iou_threshold, config.track_gap_tolerance
+    placed = real.join(stretches(real.select("video", F.col("_label").alias("label"), "frame_index"), cuts, gap, bin_frames).withColumnRenamed("label", "_label"), ["video", "_label", "frame_index"])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ordered = rows.sort_values(["frame_index", "x1", "y1", "x2", "y2"], kind="stable").reset_index(drop=True)
-        return track_rows(BoxTracker(least_iou, gap), ordered)[columns]
+        ordered = in_order(rows)
+        ordered["is_cut"] = False  # a cut begins a stretch
+        out = track_rows(BoxTracker(least_iou, gap), ordered)
+        out["_opens"] = ~out.duplicated("track_id")
+        return out[[*columns, "_label", "stretch", "_opens"]]
 
-    return base.groupBy("video").applyInPandas(run, TRACKED)
+    tracked = placed.groupBy("video", "_label", "stretch").applyInPandas(run, f"{TRACKED}, _label string, stretch int, _opens boolean")
+    own = tracked.withColumnRenamed("track_id", "_own")
+    opened = own.filter("_opens").withColumn("_bin", F.floor(F.col("frame_index") / bin_frames).cast("long"))
+    opened = carried(opened, ["video"], "_bin", F.count(F.lit(1)), "_before", F.sum)
+    order = Window.partitionBy("video", "_bin").orderBy("frame_index", "x1", "y1", "x2", "y2", F.col("label").asc_nulls_last(), "stretch", "_own")
+    numbered = opened.select("video", "_label", "stretch", "_own", (F.coalesce("_before", F.lit(0)) + F.row_number().over(order) - 1).cast("int").alias("track_id"))
+    return own.join(numbered, ["video", "_label", "stretch", "_own"]).select(*columns)
 
 
 def tracks_of(tracked: DataFrame) -> DataFrame:
     """Tracks by start: video, track_id, label, start_time, end_time, num_detections."""
     return tracked.groupBy("video", "track_id", "label").agg(F.min("time").alias("start_time"), F.max("time").alias("end_time"), F.count(F.lit(1)).cast("int").alias("num_detections"))
+
+
+def by_start(tracks: DataFrame) -> DataFrame:
+    """Tracks of each video by start, those that start together as they were opened."""
+    return tracks.orderBy("video", "start_time", "track_id")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumscan.config import Config
-from quorumscan.operators import gates, identity, selection, tracking, windows
+from quorumscan.operators import gates, identity, selection, style, tracking, windows
 
 
 @dataclass
@@ -47,12 +47,31 @@ def analyze(detections: DataFrame, cuts: DataFrame, differences: DataFrame, vide
     return Analysis(known, scan, at_cuts, videos, cuts, config)
 
 
-def _window_scope(scan: DataFrame, key: list[str], tracks: DataFrame, differences: DataFrame, config: Config) -> DataFrame:
+def analyze_styles(detections: DataFrame, cuts: DataFrame, differences: DataFrame, videos: DataFrame, config: Config, frames: DataFrame | None = None) -> Analysis:
+    """As ``analyze``, for ``videos`` (video, duration, style) of any styles in one plan.
+
+    Each video has its style's least face height and identity threshold (see ``style.styled``); what a style does not set is the config's.
+    """
+    films = style.styled(videos, config)
+    records = style.styled_records(detections, films, config).filter("kept")
+    tracks = gates.drop_short_tracks(tracking.tracks_of(tracking.track_boxes(records, config, frames)), config.min_track_seconds)
+    apart = style.with_settings(differences, films, "identity_threshold")
+    known = identity.assign_characters(tracks, apart, "identity_threshold")
+    length, step = config.window_seconds, config.frame_interval
+    scan = windows.window_scan(videos, known, length, step, config.min_character_seconds)
+    at_cuts = windows.cut_scan(videos, cuts, known, length, step, config.min_character_seconds)
+    if config.cluster_scope == "window":
+        scan = _window_scope(scan, ["video", "k", "t"], known, apart, config, "identity_threshold")
+        at_cuts = _window_scope(at_cuts, ["video", "t"], known, apart, config, "identity_threshold")
+    return Analysis(known, scan, at_cuts, videos, cuts, config)
+
+
+def _window_scope(scan: DataFrame, key: list[str], tracks: DataFrame, differences: DataFrame, config: Config, threshold: float | str | None = None) -> DataFrame:
     from quorumscan.operators.overlap import overlap_join
 
     named = scan.select(*key).withColumn("k", F.col("k") if "k" in key else F.col("t"))
     inside = overlap_join(named, tracks.select("video", "track_id", "start_time", "end_time"), config.window_seconds)
-    counts = identity.window_scope_counts(inside.select("video", "k", "track_id"), differences, config.threshold())
+    counts = identity.window_scope_counts(inside.select("video", "k", "track_id"), differences, config.threshold() if threshold is None else threshold)
     joined = named.join(counts, ["video", "k"], "left")
     return joined.select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 

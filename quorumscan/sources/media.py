@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quorumscan.config import EMBEDDER_THRESHOLDS
+from quorumscan.functions import geometry
+from quorumscan.functions.frontal import frontal_from_landmarks
 from quorumscan.operators.overlap import carried
 
 #: Fixed value: how a cut's time stands in the log of the cut filter.
@@ -120,6 +126,46 @@ def _arcface():
     return cosine_difference
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """What a detector says of its boxes besides finding them, as column expressions that its entry may override.
+
+    ``crop`` is the part of the frame that is compared later: by default the box grown by the margin and cut at the frame (null if
+    nothing is left).  ``frontal`` is how frontal a face is, by default 1, which changes no order of samples.
+    """
+
+    crop: Callable[[Column], Column] = lambda margin: geometry.clamp_box(geometry.expand_box(geometry.box(), margin), F.col("frame_width"), F.col("frame_height"))
+    frontal: Callable[[], Column] = lambda: F.lit(1.0)
+
+
+#: Hooks by the detector's name; one that is not here has the neutral ones.
+hooks: dict[str, Hooks] = {
+    "real_face_scrfd": Hooks(frontal=lambda: frontal_from_landmarks("landmarks")),
+}
+
+
+def with_hooks(detections: DataFrame, margin: Column | float = 0.0, detector: str = "detector") -> DataFrame:
+    """Detections of several detectors with crop and frontal, each by its own detector's hooks.
+
+    ``margin`` is the growth of crops, a number or a column, as a style may set it.
+    """
+    grown = margin if isinstance(margin, Column) else F.lit(float(margin))
+    neutral = Hooks()
+
+    def chosen(of: Callable[[Hooks], Column]) -> Column:
+        out = of(neutral)
+        for name, own in sorted(hooks.items()):
+            out = F.when(F.col(detector) == name, of(own)).otherwise(out)
+        return out
+
+    return detections.withColumn("crop", chosen(lambda h: h.crop(grown))).withColumn("frontal", chosen(lambda h: h.frontal()))
+
+
+def default_threshold(embedder: str) -> float:
+    """An embedder's own identity threshold; it must be known."""
+    return EMBEDDER_THRESHOLDS[embedder]
+
+
 def detect(frames: DataFrame, detector: str, schema: str) -> DataFrame:
     """Boxes that a registered detector finds; it is made once per Python worker and gets Arrow batches as pandas frames."""
 

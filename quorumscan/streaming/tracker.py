@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quorumscan.config import Config
-from quorumscan.operators.tracking import TRACKED, BoxTracker, track_rows
+from quorumscan.operators.tracking import TRACKED, BoxTracker, in_order, prepared, track_rows
 
 
 def stream_tracks(detections: DataFrame, config: Config) -> DataFrame:
@@ -21,9 +21,7 @@ def stream_tracks(detections: DataFrame, config: Config) -> DataFrame:
     boxes; tracks that a gap or a cut has ended are dropped from it with the next frame.
     """
     columns = [c.split()[0] for c in TRACKED.split(", ")]
-    needed = [c for c in columns if c != "track_id"]
-    base = detections if "is_cut" in detections.columns else detections.withColumn("is_cut", F.lit(False))
-    base = base.select(*(F.col(c) if c in base.columns else F.lit(None).cast("double").alias(c) for c in needed), "is_cut")
+    base = prepared(detections)
     least_iou, gap = config.iou_threshold, config.track_gap_tolerance
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -32,7 +30,7 @@ def stream_tracks(detections: DataFrame, config: Config) -> DataFrame:
             tracker.next_id, opened = json.loads(state.get[0])
             tracker.open = [[i, last, label, tuple(box)] for i, last, label, box in opened]
         rows = pd.concat(list(parts), ignore_index=True)
-        ordered = rows.sort_values(["frame_index", "x1", "y1", "x2", "y2"], kind="stable").reset_index(drop=True)
+        ordered = in_order(rows)
         out = track_rows(tracker, ordered)[columns]
         state.update((json.dumps([tracker.next_id, [[i, last, label, [float(x) for x in box]] for i, last, label, box in tracker.open]]),))
         yield out
@@ -41,10 +39,13 @@ def stream_tracks(detections: DataFrame, config: Config) -> DataFrame:
 
 
 def sliding_characters(events: DataFrame, time: str, character: str, length: str, step: str, watermark: str) -> DataFrame:
-    """Approximate distinct characters per sliding window of a stream; late rows are dropped after ``watermark``.
+    """Distinct characters per sliding window of a stream, exact: start, end, n; late rows are dropped after ``watermark``.
 
-    Streams allow no exact distinct count, so this is a sketch; the batch scan is exact.
+    Spark has no distinct count over streams.  So each window's characters are made unique in a state of their own, which goes with
+    the window when the watermark passes its end, and what is left is counted.  Null characters are not known and do not count.
+    Windows come once, when they are over (append mode); those without a row do not come.
     """
-    timed = events.withWatermark(time, watermark)
-    counted = timed.groupBy(F.window(time, length, step)).agg(F.approx_count_distinct(character).alias("n"))
+    timed = events.withWatermark(time, watermark).filter(F.col(character).isNotNull())
+    seen = timed.select(F.window(time, length, step).alias("window"), F.col(character).alias("character")).dropDuplicates(["window", "character"])
+    counted = seen.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quorumscan.plans import more_queries, queries  # noqa: F401
+from quorumscan.plans import film_queries, more_queries, queries  # noqa: F401
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
