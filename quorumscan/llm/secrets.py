@@ -35,6 +35,8 @@ BASE = {
 TOKEN, TOKEN_HINT = r"[A-Za-z0-9+/_=-]{20,}", r"[A-Za-z0-9+/_=-]{20}"
 #: Characters of the shortest stretch of a token that is judged by itself.
 LEAST = 20
+#: Characters of the chunks out of which a masked text is put together; beyond the end of any text.
+CHUNK, FAR = 512, (1 << 31) - 1
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 #: Characters of a token; their codes are their places from 1, and 0 is the start of a token and any other character.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -94,6 +96,45 @@ class Models:
     margins: tuple[int, ...]
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, start: Column, step: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """The fold's value behind each element, ``step`` being associative with ``start`` as its neutral value.
+
+    An array grows by copies, so it is cut into about as many chunks as a chunk has elements: what each chunk comes to is folded over the
+    chunks, and goes on within each of them.  An array of n costs n ** 1.5 copies of a number, not n ** 2.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def folded(xs: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("last"), none.alias("out"))
+
+        def one(s: Column, x: Column) -> Column:
+            return bound(step(s["last"], x), lambda v: F.struct(v.alias("last"), F.concat(s["out"], F.array(v)).alias("out")))
+
+        return F.aggregate(xs, zero, one, lambda s: s["out"])
+
+    def chunked(xs: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        at = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / n).cast("int"))
+        return F.transform(at, lambda k: F.slice(xs, k * n + 1, n))
+
+    def of_chunks(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.aggregate(c, start, step))
+        before = F.concat(F.array(start), folded(totals, start))
+        return bound(before, lambda b: F.flatten(F.transform(chunks, lambda c, k: folded(c, F.get(b, k)))))
+
+    return F.when(F.size(values) > 0, bound(values, lambda xs: bound(chunked(xs), of_chunks))).otherwise(none)
+
+
+def _before(totals: Column, start: Column) -> Column:
+    """What ``running`` gives in front of each element."""
+    return F.slice(F.concat(F.array(start), totals), F.lit(1), F.size(totals))
+
+
 def _codes(text: Column) -> Column:
     """The character codes of a string."""
     return F.transform(F.split(text, ""), lambda c: F.instr(F.lit(ALPHABET), c))
@@ -173,10 +214,6 @@ def random_stretches(ratios: Column, least_sum: int) -> Column:
     def both(s: Column) -> Column:
         return F.concat(s["found"], F.when(s["best"] > least_sum, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(F.array().cast(spans)))
 
-    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-        """``use`` of a value that is computed once."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     def step(s: Column, x: Column) -> Column:
         begin, lag = s["at"] + 1 - LEAST, s["lag"] + x["old"]
         lower = (begin >= s["floor"]) & (s["low"].isNull() | (lag < s["low"]))
@@ -228,28 +265,42 @@ def united(spans: Column) -> Column:
 def _spans(text: str, kind: str, rank: int, pattern: str, group: int, hint: str, accept: Callable[[Column, Column], Column], inside: Callable[[Column], Column] | None = None) -> Column:
     """The matches of a pattern that ``accept`` (whole match, group) lets through, as sorted structs.
 
-    Of a match, ``inside`` gives starts and ends of the parts that count, if not all of it.
+    Of a match, ``inside`` gives starts and ends of the parts that count, if not all of it.  Ends are a running sum of the lengths of gaps and matches.
     """
     parts = F.arrays_zip(
         F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("group"),
     )
-    none = F.array().cast(SPANS)
 
-    def step(so_far: Column, part: Column) -> Column:
-        start = so_far["at"] + part["gap"]
-        end = start + F.coalesce(F.length(part["match"]), F.lit(0))  # the last gap has no match behind it
+    def span(a: Column, b: Column) -> Column:
+        return F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(kind).alias("kind"))
+
+    def size(part: Column) -> Column:
+        return F.coalesce(F.length(part["match"]), F.lit(0))  # the last gap has no match behind it
+
+    def found(all_parts: Column) -> Column:
+        ends = running(F.transform(all_parts, lambda x: x["gap"] + size(x)), F.lit(0), lambda x, y: x + y)
+        placed = F.zip_with(all_parts, ends, lambda x, e: F.struct(x.alias("part"), e.alias("end")))
+        good = F.filter(placed, lambda x: F.coalesce(accept(x["part"]["match"], x["part"]["group"]), F.lit(False)))
+        if not inside:
+            return F.transform(good, lambda x: span(x["end"] - size(x["part"]), x["end"]))
+        return F.flatten(F.transform(good, lambda x: F.transform(inside(x["part"]["match"]), lambda y: span(x["end"] - size(x["part"]) + y["start"], x["end"] - size(x["part"]) + y["end"]))))
 
-        def span(a: Column, b: Column) -> Column:
-            return F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(kind).alias("kind"))
+    return F.when(F.col(text).rlike(hint), bound(parts, found)).otherwise(F.array().cast(SPANS))
 
-        spans = F.transform(inside(part["match"]), lambda x: span(start + x["start"], start + x["end"])) if inside else F.array(span(start, end))
-        good = F.coalesce(accept(part["match"], part["group"]), F.lit(False))
-        return F.struct(end.alias("at"), F.when(good, F.concat(so_far["found"], spans)).otherwise(so_far["found"]).alias("found"))
 
-    zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
-    return F.when(F.col(text).rlike(hint), F.aggregate(parts, zero, step, lambda s: s["found"])).otherwise(none)
+def _apart(tokens: str, base: str) -> Column:
+    """The tokens that overlap no base span: in order of starts, none before reaches into it and the next base span begins behind it."""
+    both = F.array_sort(F.concat(F.col(tokens), F.col(base)))
+
+    def chosen(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda x: F.when(x["kind"] != "random", x["end"]).otherwise(F.lit(0))), F.lit(0), lambda x, y: F.greatest(x, y))
+        begins = running(F.reverse(F.transform(rows, lambda x: F.when(x["kind"] != "random", x["start"]).otherwise(F.lit(FAR)))), F.lit(FAR), lambda x, y: F.least(x, y))
+        judged = F.arrays_zip(rows.alias("span"), reach.alias("reach"), F.reverse(begins).alias("next"))
+        return F.transform(F.filter(judged, lambda x: (x["span"]["kind"] == "random") & (x["reach"] <= x["span"]["start"]) & (x["next"] >= x["span"]["end"])), lambda x: x["span"])
+
+    return F.when(F.size(tokens) == 0, F.col(tokens)).when(F.size(base) == 0, F.col(tokens)).otherwise(bound(both, chosen))
 
 
 def _kinds(text: str, models: Models) -> dict[str, Column]:
@@ -284,12 +335,20 @@ def scan_secrets(docs: DataFrame, models: Models, id_col: str = "doc_id", text_c
         found = found.withColumn("tokens" if kind == "random" else kind, spans)
     found = found.drop("text")
     found = found.withColumn("base", F.array_sort(F.concat(*BASE)))
-    found = found.withColumn("random", F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))))
+    found = found.withColumn("random", _apart("tokens", "base"))
     found = found.withColumn("all", F.array_sort(F.concat("base", "random")))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*BASE, "random")]
     return found.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("all").alias("spans"))
 
 
+def _between(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters from start to end, or to the last, of a text in chunks: only the chunks in question are put together."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.coalesce(F.floor(end / CHUNK).cast("int"), F.size(chunks) - 1)
+    part = F.array_join(F.slice(chunks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(part, start - first * CHUNK + 1, F.coalesce(end - start, F.length(part)))
+
+
 def mask_secrets(docs: DataFrame, models: Models, text_col: str = "text", mark: str = "<secret>") -> DataFrame:
     """``docs`` with every span of a secret in the text column replaced by ``mark``.
 
@@ -299,14 +358,14 @@ def mask_secrets(docs: DataFrame, models: Models, text_col: str = "text", mark:
     names = docs.columns
     work = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     work = work.withColumn("spans", F.array_sort(F.concat(*_kinds("text", models).values())))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
+    def masked(spans: Column, chunks: Column) -> Column:
+        reach = running(F.transform(spans, lambda x: x["end"]), F.lit(0), lambda x, y: F.greatest(x, y))
         # Spans that overlap what is already replaced only lengthen it.
-        gap = F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"])
-        fresh = F.struct(x["end"].alias("at"), F.concat(s["out"], gap, F.lit(mark)).alias("out"))
-        return F.when(x["start"] >= s["at"], fresh).otherwise(F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out")))
+        placed = F.zip_with(spans, _before(reach, F.lit(0)), lambda x, r: F.struct(r.alias("from"), x["start"].alias("to")))
+        gaps = F.transform(F.filter(placed, lambda x: x["to"] >= x["from"]), lambda x: _between(chunks, x["from"], x["to"]))
+        return F.array_join(F.concat(gaps, F.array(_between(chunks, F.array_max(reach), F.lit(None)))), mark)
 
-    clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
+    clean = bound(F.col("spans"), lambda spans: bound(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: masked(spans, chunks)))
     text = F.when((F.size("spans") == 0) | F.col("row")[text_col].isNull(), F.col("row")[text_col]).otherwise(clean)
     return work.withColumn("clean", text).select(*(F.col("clean").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -12,6 +13,8 @@ WORDS = "invoice ledger carrier shipment voucher printer gallery storage planner
 PATH = "services/storage/download/production/"
 AROUND = [(PATH, ""), (PATH + "internal/customer_documents/", ""), (PATH, "/archive/monthly/reports"), ("production_database_signing_value=", "")]
 
+NO_MODELS = secrets.Models(((0,) * secrets.CODES**2,), (10_000,))
+
 
 @pytest.fixture(scope="module")
 def weights(spark):
@@ -131,3 +134,47 @@ def test_random_spans_against_brute_force(spark, weights):
                 merged.append([a, b])
         base = [(m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
         assert found == [(a + 2, b + 2) for a, b in merged if not any(p < b + 2 and a + 2 < q for p, q in base)]
+
+
+def test_many_secrets_in_one_text_cost_in_proportion(spark):
+    """Four times the spans take about four times as long, not sixteen; and each of them is found and masked."""
+    piece = "token=abcdefgh1 "
+    took = {}
+    for n in (40_000, 160_000):
+        docs = spark.createDataFrame([(1, piece * n)], "doc_id long, text string")
+        begin = time.monotonic()
+        (row,) = secrets.scan_secrets(docs, NO_MODELS).collect()
+        (masked,) = secrets.mask_secrets(docs, NO_MODELS).collect()
+        took[n] = time.monotonic() - begin
+        assert row.n_assign == n
+        spans = row.spans.split(",")
+        assert len(spans) == n
+        assert spans[:2] == ["assign:0:15", "assign:16:31"]
+        assert spans[-1] == f"assign:{16 * (n - 1)}:{16 * n - 1}"
+        assert masked.text == "<secret> " * n
+    assert took[160_000] < 8 * took[40_000]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_overlaps_and_masks_against_brute_force(spark, seed):
+    """Runs of tokens, base matches and other text in one document: overlaps by definition, masks by cutting the text."""
+    rng = random.Random(seed)
+    parts = ["token=abcdefgh1", "AKIA" + "Q" * 16, "f" * 40, "x" * 30, "plain words", "é中", "secret: 'zzzzzzzzz'", "\U0001f600", "\n"]
+    text = "".join(rng.choice(parts) + rng.choice(["", " ", "/"]) for _ in range(300))
+    every = secrets.Models(((100,) * secrets.CODES**2,), (1,))  # every long run with a letter is random
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = secrets.scan_secrets(docs, every).collect()
+    base, tokens = [], []
+    for kind, (pattern, group, least, _) in secrets.BASE.items():
+        base += [(m.start(), m.end(), kind) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    tokens = [(m.start(), m.end()) for m in re.finditer(secrets.TOKEN, text) if re.search("[A-Za-z]", m.group())]
+    kinds = [*secrets.BASE, "random"]
+    apart = [(a, b, "random") for a, b in tokens if not any(x < b and a < y for x, y, _ in base)]
+    want = sorted([*base, *apart], key=lambda s: (s[0], kinds.index(s[2])))
+    assert row.spans == ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+    out, at = [], 0
+    for a, b in sorted([*((a, b) for a, b, _ in base), *tokens]):
+        if a >= at:
+            out += [text[at:a], "<secret>"]
+        at = max(at, b)
+    assert secrets.mask_secrets(docs, every).first().text == "".join([*out, text[at:]])
