@@ -11,21 +11,12 @@ from quorumscan.functions.metrics import count_f1, count_ratio, recall
 SHOT_FACES = r"人脸数期望[：:]\s*([\d+\s]+?)\s*[）)]"
 CHARACTERS = r"跨镜头身份去重后期望[：:]\s*(\d+)"
 TITLE = r"^(.+?)_(\d+)s"
-#: The style of each annotated title.
-STYLE_BY_TITLE = {
-    "爱情神话": "real",
-    "凡人修仙传": "3d",
-    "JOJO的奇妙冒险": "2d",
-    "擅长捉弄的高木同学": "2d",
-    "新世纪福音战士": "2d",
-    "魔女之旅": "2d",
-}
-
-
-def parse_truth(files: DataFrame, path: str = "path", styles: dict[str, str] | None = None) -> DataFrame:
+
+
+def parse_truth(files: DataFrame, styles: dict[str, str], path: str = "path") -> DataFrame:
     """Annotated file names as rows: stem, title, source_offset, shot_faces, num_characters, style, num_shots, total_faces.
 
-    Names without annotations are left out; a name with only one of the two raises an error.
+    ``styles`` is the style of each title, ``unknown`` for any other.  Names without annotations are left out; a name with only one of the two raises an error.
     """
     base = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
     stem = F.regexp_replace(base, r"^(\.*[^.].*)\.[^.]*$", "$1")
@@ -35,7 +26,7 @@ def parse_truth(files: DataFrame, path: str = "path", styles: dict[str, str] | N
     broken = F.raise_error(F.concat(F.lit("incomplete annotation: "), F.col("stem")))
     faces = F.transform(F.split(F.regexp_extract("stem", SHOT_FACES, 1), r"\+"), lambda x: F.trim(x).cast("int"))
     titled = F.col("stem").rlike(TITLE)
-    lookup = F.create_map(*(F.lit(x) for pair in (styles or STYLE_BY_TITLE).items() for x in pair))
+    style = F.coalesce(*(F.when(F.col("title") == title, F.lit(kind)) for title, kind in styles.items()), F.lit("unknown"))
     out = rows.select(
         "stem",
         F.when(titled, F.regexp_extract("stem", TITLE, 1)).otherwise(F.col("stem")).alias("title"),
@@ -44,7 +35,7 @@ def parse_truth(files: DataFrame, path: str = "path", styles: dict[str, str] | N
         F.regexp_extract("stem", CHARACTERS, 1).cast("int").alias("num_characters"),
     )
     total = F.aggregate("shot_faces", F.lit(0), lambda s, x: s + x)
-    return out.withColumn("style", F.coalesce(F.get(F.map_values(F.map_filter(lookup, lambda k, v: k == F.col("title"))), 0), F.lit("unknown"))).withColumn("num_shots", F.size("shot_faces")).withColumn("total_faces", total)
+    return out.withColumn("style", style).withColumn("num_shots", F.size("shot_faces")).withColumn("total_faces", total)
 
 
 def scored(rows: DataFrame, predicted: str = "predicted", truth: str = "truth") -> DataFrame:

@@ -22,15 +22,17 @@ def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id",
     return pairs.groupBy(*keys, "i", "j").agg(F.median("_d").alias("diff"))
 
 
-def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video", most: int = MOST) -> DataFrame:
+def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video", most: int = MOST, known: DataFrame | None = None) -> DataFrame:
     """``tracks`` (key, track_id, ...) with character_id from complete-linkage clusters of all tracks of a key.
 
     ``threshold`` is a number, or the column of ``differences`` that has each key's own.
-    Tracks that no difference mentions have no crop and so no known character: null.  Characters are numbered by
+    Tracks that no difference mentions have no crop and so no known character: null.  With ``known`` (key, track_id) these are the
+    ones that have a crop, and ``differences`` may lack pairs that are too far apart.  Characters are numbered by
     their first track.  A key of more than ``most`` tracks is split (see ``linkage``), so no task holds it whole.
     """
     bound = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
-    known = differences.select(key, F.explode(F.array("i", "j")).alias("track_id")).distinct()
+    if known is None:
+        known = differences.select(key, F.explode(F.array("i", "j")).alias("track_id")).distinct()
     found = linkage.clusters(differences.filter(F.col("diff") < bound), [key], most)
     named = known.join(found.withColumnRenamed("node", "track_id"), [key, "track_id"], "left").select(key, "track_id", F.coalesce("cluster", "track_id").alias("_cluster"))
     numbers = named.select(key, "_cluster").distinct()

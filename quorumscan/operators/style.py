@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quorumscan.config import EMBEDDER_THRESHOLDS, Config, StyleProfile
 from quorumscan.functions.frontal import representative_score
+from quorumscan.operators.evaluation import evidence_ratio, majority_style
 from quorumscan.operators.gates import passes_frontal, passes_quality
+from quorumscan.sources.media import probe_frames
 
 #: What a profile sets, in its order.
 SETTINGS = [f.name for f in fields(StyleProfile)]
@@ -55,3 +57,26 @@ def styled_records(detections: DataFrame, videos: DataFrame, config: Config) ->
 def styled_score(blur: str = "blur_var", confidence: str = "confidence", frontal: str = "frontal", weight: str = "frontal_weight") -> Column:
     """A sample's score under its video's frontal weight."""
     return representative_score(F.col(blur), F.col(confidence), F.col(frontal), F.col(weight))
+
+
+def routed(votes: DataFrame, evidence: DataFrame, config: Config, key: str = "video") -> DataFrame:
+    """(key, style, ratio, is_ambiguous) of each video with votes.
+
+    ``votes`` has (key, is_3d), one row a probe; unless more than half are for it, the style is 2d.  Of the others, ``evidence`` (key, detector,
+    confidence) has what both detectors find: the ratio of their summed confidences is infinite where the second finds nothing; under the
+    config's bound the style is real, else 3d, and within the config's band it may well be the other.
+    """
+    kinds = majority_style(votes, key)
+    first, second = (next(p.detector for name, p in config.style_profiles.items() if name == style) for style in ("2d", "real"))
+    sums = evidence_ratio(evidence, key, "detector", "confidence", first, second, config.style_real_evidence_ratio, config.style_ambiguous_band)
+    found = kinds.select(key, "style").join(sums.select(key, F.col("ratio").alias("_ratio")), key, "left")
+    flat = F.col("style") == "2d"
+    ratio = F.when(~flat, F.coalesce("_ratio", F.lit(float("inf"))))
+    real = F.when(ratio < config.style_real_evidence_ratio, F.lit("real")).otherwise(F.lit("3d"))
+    low, high = config.style_ambiguous_band
+    return found.select(key, F.when(flat, F.lit("2d")).otherwise(real).alias("style"), ratio.alias("ratio"), F.coalesce(ratio.between(low, high), F.lit(False)).alias("is_ambiguous"))
+
+
+def probes(videos: DataFrame, config: Config, total: str = "n_frames") -> DataFrame:
+    """(video, frame_index) of the frames on which a video's style is judged, as many as the config says."""
+    return videos.select("video", F.explode(probe_frames(F.col(total), config.style_probe_frames)).alias("frame_index"))

@@ -216,3 +216,16 @@ def q74_curve_points(spark, sf_dir):
         return F.aggregate("p", F.lit(0.0), lambda s, q: s + q[name])
 
     return points.select("k", F.size("p").alias("n"), F.floor(total("x") + 0.5).cast("long").alias("xs"), F.floor(total("y") * 1000 + 0.5).cast("long").alias("ys"))
+
+
+@query("""
+    WITH v AS (SELECT user_id, 2 * count(*) FILTER (value > 250) > count(*) AS deep FROM events GROUP BY user_id),
+    e AS (SELECT user_id, coalesce(sum(value) FILTER (event_type = 'click'), 0) AS a, coalesce(sum(value) FILTER (event_type = 'view'), 0) AS b FROM events GROUP BY user_id),
+    r AS (SELECT user_id, deep, CASE WHEN deep AND b <> 0 THEN a / b END AS ratio FROM v JOIN e USING (user_id))
+    SELECT user_id, CASE WHEN NOT deep THEN '2d' WHEN ratio < 0.5 THEN 'real' ELSE '3d' END AS style, coalesce(ratio BETWEEN 0.45 AND 0.8, false) AS is_ambiguous FROM r
+""")
+def q75_style_routing(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    names = F.when(F.col("event_type") == "click", F.lit("anime_face_imgutils")).when(F.col("event_type") == "view", F.lit("real_face_scrfd"))
+    evidence = e.select("user_id", names.alias("detector"), F.col("value").alias("confidence"))
+    return style.routed(e.select("user_id", (F.col("value") > 250).alias("is_3d")), evidence, Config(), "user_id").select("user_id", "style", "is_ambiguous")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quorumscan.config import Config
 from quorumscan.operators import gates, identity, selection, style, tracking, windows
+from quorumscan.operators.overlap import cut_between, overlap_join
 
 
 @dataclass
@@ -32,11 +33,12 @@ class Analysis:
 def analyze(detections: DataFrame, cuts: DataFrame, differences: DataFrame, videos: DataFrame, config: Config, frames: DataFrame | None = None) -> Analysis:
     """Gate, track, identify and scan.
 
-    ``differences`` (video, i, j, diff) compares tracks by the embedder.  With cluster_scope
+    ``differences`` (video, i, j, diff) compares tracks by the embedder.  Frames after a cut are those of ``frames``, if given, or
+    are told by ``cuts``.  With cluster_scope
     "window" every window clusters its own tracks; the characters of segments are always those of the video.
     """
     good = detections.filter(gates.passes_quality(config) & gates.passes_frontal(config))
-    tracks = gates.drop_short_tracks(tracking.tracks_of(tracking.track_boxes(good, config, frames)), config.min_track_seconds)
+    tracks = gates.drop_short_tracks(tracking.tracks_of(tracking.track_boxes(good, config, _cut_frames(good, cuts, config, frames))), config.min_track_seconds)
     known = identity.assign_characters(tracks, differences, config.threshold())
     length, step = config.window_seconds, config.frame_interval
     scan = windows.window_scan(videos, known, length, step, config.min_character_seconds)
@@ -47,6 +49,13 @@ def analyze(detections: DataFrame, cuts: DataFrame, differences: DataFrame, vide
     return Analysis(known, scan, at_cuts, videos, cuts, config)
 
 
+def _cut_frames(detections: DataFrame, cuts: DataFrame, config: Config, frames: DataFrame | None) -> DataFrame | None:
+    """Frames with is_cut: a cut lies between them and the frame before that has a detection, within the tolerance."""
+    if frames is not None or "is_cut" in detections.columns:
+        return frames
+    return cut_between(detections.groupBy("video", "frame_index").agg(F.min("time").alias("time")), cuts, config.cut_time_tolerance)
+
+
 def analyze_styles(detections: DataFrame, cuts: DataFrame, differences: DataFrame, videos: DataFrame, config: Config, frames: DataFrame | None = None) -> Analysis:
     """As ``analyze``, for ``videos`` (video, duration, style) of any styles in one plan.
 
@@ -54,7 +63,7 @@ def analyze_styles(detections: DataFrame, cuts: DataFrame, differences: DataFram
     """
     films = style.styled(videos, config)
     records = style.styled_records(detections, films, config).filter("kept")
-    tracks = gates.drop_short_tracks(tracking.tracks_of(tracking.track_boxes(records, config, frames)), config.min_track_seconds)
+    tracks = gates.drop_short_tracks(tracking.tracks_of(tracking.track_boxes(records, config, _cut_frames(records, cuts, config, frames))), config.min_track_seconds)
     apart = style.with_settings(differences, films, "identity_threshold")
     known = identity.assign_characters(tracks, apart, "identity_threshold")
     length, step = config.window_seconds, config.frame_interval
@@ -67,8 +76,6 @@ def analyze_styles(detections: DataFrame, cuts: DataFrame, differences: DataFram
 
 
 def _window_scope(scan: DataFrame, key: list[str], tracks: DataFrame, differences: DataFrame, config: Config, threshold: float | str | None = None) -> DataFrame:
-    from quorumscan.operators.overlap import overlap_join
-
     named = scan.select(*key).withColumn("k", F.col("k") if "k" in key else F.col("t"))
     inside = overlap_join(named, tracks.select("video", "track_id", "start_time", "end_time"), config.window_seconds)
     counts = identity.window_scope_counts(inside.select("video", "k", "track_id"), differences, config.threshold() if threshold is None else threshold)
@@ -86,8 +93,11 @@ def sweep(tracks: DataFrame, differences: DataFrame, videos: DataFrame, config:
     def named(rows: DataFrame, by: str) -> DataFrame:
         return rows.withColumn("_of", F.col("video")).withColumn("video", F.to_json(F.struct(F.col(by).alias("by"), F.col("video").alias("of"))))
 
-    apart, films = (named(rows.withColumn("threshold", grid), "threshold").drop("_of") for rows in (differences, videos))
-    known = identity.assign_characters(named(tracks.withColumn("threshold", grid), "threshold").drop("_of", "threshold"), apart, "threshold")
+    # Each threshold gets the pairs below it alone; that a track has a crop is told once for all of them.
+    cropped = differences.select("video", F.explode(F.array("i", "j")).alias("track_id")).distinct()
+    near = differences.withColumn("threshold", grid).filter("diff < threshold")
+    apart, films, own = (named(rows, "threshold").drop("_of") for rows in (near, videos.withColumn("threshold", grid), cropped.withColumn("threshold", grid)))
+    known = identity.assign_characters(named(tracks.withColumn("threshold", grid), "threshold").drop("_of", "threshold"), apart, "threshold", known=own.drop("threshold"))
     scan = windows.window_scan(films, known, config.window_seconds, config.frame_interval)
     sizes = known.groupBy("video").agg(F.countDistinct("character_id").alias("n_characters"))
     every = F.explode(F.array(*(F.lit(int(x)) for x in sorted(set(xs)))))

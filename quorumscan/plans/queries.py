@@ -12,6 +12,7 @@ from quorumscan.functions import geometry, text
 from quorumscan.operators import catalog, evaluation, gates, identity, overlap, selection, tracking, windows
 from quorumscan.plans import domain
 from quorumscan.plans.domain import GAP, LENGTH, SHIFT, SQL, STEP, THRESHOLD_SQL, WALK_SQL, micros, table
+from quorumscan.shared import settled
 from quorumscan.sources import media
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,11 +44,13 @@ def threshold(scanned: DataFrame) -> int:
 
 
 def chosen(spark: SparkSession, sf_dir: str, snap: bool) -> DataFrame:
-    scanned = scan(spark, sf_dir).cache()
+    """Segments at the upper quartile.  Tracks and the scan are written once: the threshold is read from the scan, and the walk is a replay of it."""
+    tracks, videos = settled(domain.tracks(spark, sf_dir), "tracks"), settled(domain.videos(spark, sf_dir), "videos")
+    scanned = settled(windows.window_scan(videos, tracks, LENGTH, STEP), "scan")
     more = {}
     if snap:
-        videos, cuts = domain.videos(spark, sf_dir), domain.cuts(spark, sf_dir)
-        more = {"videos": videos, "cuts": cuts, "at_cuts": windows.cut_scan(videos, cuts, domain.tracks(spark, sf_dir), LENGTH, STEP), "max_shift": SHIFT}
+        cuts = domain.cuts(spark, sf_dir)
+        more = {"videos": videos, "cuts": cuts, "at_cuts": windows.cut_scan(videos, cuts, tracks, LENGTH, STEP), "max_shift": SHIFT}
     return selection.replay(scanned, threshold(scanned), LENGTH, STEP, **more)
 
 
@@ -357,7 +360,7 @@ TRUTH_NAME = "'films/魔女之旅_' || doc_id || 's（人脸数期望：' || doc
 """)
 def q27_truth_from_names(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select(F.expr(TRUTH_NAME).alias("path"))
-    return evaluation.parse_truth(names).select("source_offset", "total_faces", "num_shots", "num_characters", "style", "title")
+    return evaluation.parse_truth(names, {"魔女之旅": "2d"}).select("source_offset", "total_faces", "num_shots", "num_characters", "style", "title")
 
 
 @query("""

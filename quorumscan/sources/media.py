@@ -126,6 +126,16 @@ def _arcface():
     return cosine_difference
 
 
+def read_scans(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables videos, scan, cuts and at_cuts that ``sinks.write_scans`` has written."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("videos", "scan", "cuts", "at_cuts")}
+
+
+def pictures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the picture files below a folder, whatever characters their names have; empty files are left out."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+
 @dataclass(frozen=True)
 class Hooks:
     """What a detector says of its boxes besides finding them, as column expressions that its entry may override.

@@ -120,3 +120,69 @@ def test_lists_and_labels(spark):
     assert [r.x for r in styles.select(text.style_label(F.col("s")).alias("x")).collect()] == ["2D", "3D CG", "真人", "—", "—"]
     (r,) = spark.range(1).select(text.percent_of(F.lit(30.0), F.lit(900.0)).alias("x"), text.percent_of(F.lit(1.0), F.lit(0.0)).alias("y")).collect()
     assert (r.x, r.y) == ("3.33%", None)
+
+
+def test_reports_round_the_exact_value(spark):
+    from quorumscan import sinks
+
+    values = [2.675, 0.0005, 1.0005, 0.5, None, -2.675]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double")
+    found = [tuple(r) for r in rows.select("k", sinks.rounded("x", 2).alias("two"), sinks.rounded("x", 3).alias("three")).orderBy("k").collect()]
+    assert found == [(k, None if v is None else round(v, 2), None if v is None else round(v, 3)) for k, v in enumerate(values)]
+    assert found[0][1] == 2.67
+
+
+def test_detections_are_written_with_what_was_dropped(spark, tmp_path):
+    from quorumscan import sinks
+
+    rows = [("v", 1, 0.12345, 0.98765, 51.239, False), ("v", 0, 0.0, 0.5, 2.675, True), ("w", 0, 0.0, 0.5, 1.0, True)]
+    df = spark.createDataFrame(rows, "video string, frame_index int, time double, confidence double, blur_var double, kept boolean")
+    sinks.write_detections(df, f"{tmp_path}/d")
+    back = spark.read.json(f"{tmp_path}/d").orderBy("video", "frame_index").select("video", "frame_index", "time", "confidence", "blur_var", "kept").collect()
+    assert [tuple(r) for r in back] == [("v", 0, 0.0, 0.5, 2.67, True), ("v", 1, 0.123, 0.9877, 51.24, False), ("w", 0, 0.0, 0.5, 1.0, True)]
+
+
+def test_scans_in_rows_replay_as_stored_ones(spark, tmp_path):
+    from quorumscan import sinks
+    from quorumscan.operators import selection, windows
+
+    tracks = spark.createDataFrame([("v", k, float(k), float(k + 6), 7, k % 4) for k in range(12)] + [("w", 0, 1.0, 2.0, 2, 0)], "video string, track_id int, start_time double, end_time double, num_detections int, character_id int")
+    videos = spark.createDataFrame([("v", 20.0), ("w", 9.0)], "video string, duration double")
+    cuts = spark.createDataFrame([("v", 4.4), ("v", 11.0)], "video string, cut double")
+    scan, at_cuts = windows.window_scan(videos, tracks, 5.0, 1.0), windows.cut_scan(videos, cuts, tracks, 5.0, 1.0)
+    sinks.write_scans(f"{tmp_path}/scans", videos, scan, cuts, at_cuts)
+    t = media.read_scans(spark, f"{tmp_path}/scans")
+    columns = ["video", "k", "start", "character_count"]
+    for x in (1, 3):
+        rows = selection.replay(t["scan"], x, 5.0, 1.0, videos=t["videos"], cuts=t["cuts"], at_cuts=t["at_cuts"], max_shift=2.0).select(columns)
+        stored = media.parse_scans(sinks.stored_scans(videos, scan, cuts, at_cuts, 5.0, 1.0))
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, selection.replay_stored(stored, x, 5.0, 1.0, 2.0).select(columns).collect())) != []
+
+
+def test_pictures_with_names_of_any_script(spark, tmp_path):
+    folder = tmp_path / "片名"
+    folder.mkdir()
+    (folder / "顔.jpg").write_bytes(b"\xff\xd8data")
+    (r,) = media.pictures(spark, str(tmp_path)).collect()
+    assert bytes(r.content) == b"\xff\xd8data"
+    (folder / "empty.jpg").write_bytes(b"")
+    assert media.pictures(spark, str(tmp_path)).count() == 1
+
+
+def test_style_is_routed_by_votes_then_evidence(spark):
+    votes = [("flat", True), ("flat", False), ("cg", True), ("film", True), ("film", True), ("film", False), ("none", True)]
+    evidence = [("cg", "anime_face_imgutils", 0.6), ("cg", "real_face_scrfd", 1.0), ("film", "anime_face_imgutils", 0.4), ("film", "real_face_scrfd", 1.0), ("flat", "real_face_scrfd", 5.0)]
+    found = style.routed(spark.createDataFrame(votes, "video string, is_3d boolean"), spark.createDataFrame(evidence, "video string, detector string, confidence double"), Config())
+    assert {r.video: (r["style"], r.ratio, r.is_ambiguous) for r in found.collect()} == {"flat": ("2d", None, False), "cg": ("3d", 0.6, True), "film": ("real", 0.4, False), "none": ("3d", float("inf"), False)}
+    videos = spark.createDataFrame([("v", 160)], "video string, n_frames int")
+    assert [r.frame_index for r in style.probes(videos, Config()).orderBy("frame_index").collect()] == [int(160 * (i + 0.5) / 16) for i in range(16)]
+
+
+def test_an_analysis_ends_tracks_at_its_cuts(spark):
+    rows = [("v", f, f * 1.0, "face", 0, 0, 40, 90, 0.9, 80.0, 1000) for f in range(6)]
+    detections = spark.createDataFrame(rows, "video string, frame_index int, time double, label string, x1 int, y1 int, x2 int, y2 int, confidence double, blur_var double, frame_height int")
+    differences = spark.createDataFrame([], "video string, i int, j int, diff double")
+    films = spark.createDataFrame([("v", 8.0)], "video string, duration double")
+    for times, want in (([], 1), ([2.5], 2), ([2.5, 4.5], 3), ([4.05], 3)):
+        cuts = spark.createDataFrame([("v", t) for t in times], "video string, cut double")
+        assert analyze(detections, cuts, differences, films, Config(window_seconds=4.0, frame_interval=1.0)).tracks.count() == want

@@ -377,7 +377,7 @@ def test_metrics(spark):
 
 def test_truth_from_names(spark):
     def parsed(name):
-        return evaluation.parse_truth(spark.createDataFrame([(name,)], "path string")).collect()
+        return evaluation.parse_truth(spark.createDataFrame([(name,)], "path string"), {"魔女之旅": "2d"}).collect()
 
     (r,) = parsed("films/魔女之旅_760s（人脸数期望：2+5+1+0+3+1）（跨镜头身份去重后期望：9）.mp4")
     assert (r.shot_faces, r.total_faces, r.num_characters, r.num_shots, r["style"], r.title, r.source_offset) == ([2, 5, 1, 0, 3, 1], 12, 9, 6, "2d", "魔女之旅", 760)
