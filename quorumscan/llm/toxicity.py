@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,7 +48,7 @@ class SentenceModel:
 
     weights: dict[str, float] = field(default_factory=dict)
     bias: float = 0.0
-    keep: int = 400_000
+    keep: int = 100_000
     memo: dict[str, float] = field(default_factory=dict)
 
     def word_weight(self, word: str) -> float | None:
@@ -73,6 +74,11 @@ class SentenceModel:
             if some:
                 yield m.start(), m.end(), 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
+    def rest(self) -> None:
+        """Give back what a task has needed: the worker goes on to other stages."""
+        self.memo.clear()
+        pa.default_memory_pool().release_unused()
+
     def score(self, text: str) -> tuple[float, tuple[int, int, float] | None]:
         """Noisy-or of the sentences, and the sentence that scores most (the first of equals)."""
         clean, worst = 1.0, None
@@ -119,15 +125,16 @@ def fit(sample: list[tuple[str, int]], most_features: int = 4096, steps: int = 3
             sentences[sentence] = min(y, sentences.get(sentence, 1))  # what documents of label 0 say too is innocent
     names = chosen_features(sentences, most_features)
     number = {f: k for k, f in enumerate(names)}
-    doc_of, of, which, n = [], [], [], 0
+    doc_of, of, which, n = array("q"), array("q"), array("q"), 0  # not lists: they are long, and the driver keeps what lists once held
     for d, (text, _) in enumerate(sample):
         for m in SENTENCE.finditer(text):
             hit = [number[f] for w in WORD.findall(m[0].lower()) for f in features(w) if f in number]
             if hit:
                 doc_of.append(d)
-                of += [n] * len(hit)
-                which += hit
+                of.extend([n] * len(hit))
+                which.extend(hit)
                 n += 1
+    del sentences
     doc_of, of, which = np.array(doc_of, np.int64), np.array(of, np.int64), np.array(which, np.int64)
     w, b = np.zeros(len(names)), prior_bias
     moments = [np.zeros(len(names) + 1) for _ in range(2)]
@@ -166,6 +173,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id
                 out.add(doc_id, score, sum(1 for _ in SENTENCE.finditer(text)), *(worst or (None, None, None)))
             if len(out):
                 yield out.take()
+        model.rest()
 
     ddl = "doc_id long, score double, n_sentences long, worst_start long, worst_end long, worst_score double"
     scored = pick(docs, id_col, text_col).mapInArrow(run, ddl)
@@ -210,5 +218,6 @@ def drop_toxic(docs: DataFrame, model: SentenceModel, text_col: str = "text", th
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 keep += [model.score(text or "")[0] < threshold for text in column.slice(at, SLICE_ROWS).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        model.rest()
 
     return docs.mapInArrow(run, docs.schema)
