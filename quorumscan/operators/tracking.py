@@ -158,18 +158,20 @@ def track_boxes(detections: DataFrame, config: Config, frames: DataFrame | None
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ordered = in_order(rows)
-        ordered["is_cut"] = False  # a cut begins a stretch
+        ordered["is_cut"] = ordered["stretch"] == ordered["frame_index"]  # nothing is open where a stretch begins
         out = track_rows(BoxTracker(least_iou, gap), ordered)
         out["_opens"] = ~out.duplicated("track_id")
-        return out[[*columns, "_label", "stretch", "_opens"]]
+        return out[[*columns, "_label", "_group", "_opens"]]
 
-    tracked = placed.groupBy("video", "_label", "stretch").applyInPandas(run, f"{TRACKED}, _label string, stretch int, _opens boolean")
+    # Short stretches are many: those that begin in the same bin of frames go to one call.
+    grouped = placed.withColumn("_group", F.floor(F.col("stretch") / bin_frames).cast("long"))
+    tracked = grouped.groupBy("video", "_label", "_group").applyInPandas(run, f"{TRACKED}, _label string, _group long, _opens boolean")
     own = tracked.withColumnRenamed("track_id", "_own")
     opened = own.filter("_opens").withColumn("_bin", F.floor(F.col("frame_index") / bin_frames).cast("long"))
     opened = carried(opened, ["video"], "_bin", F.count(F.lit(1)), "_before", F.sum)
-    order = Window.partitionBy("video", "_bin").orderBy("frame_index", "x1", "y1", "x2", "y2", F.col("label").asc_nulls_last(), "stretch", "_own")
-    numbered = opened.select("video", "_label", "stretch", "_own", (F.coalesce("_before", F.lit(0)) + F.row_number().over(order) - 1).cast("int").alias("track_id"))
-    return own.join(numbered, ["video", "_label", "stretch", "_own"]).select(*columns)
+    order = Window.partitionBy("video", "_bin").orderBy("frame_index", "x1", "y1", "x2", "y2", F.col("label").asc_nulls_last(), "_group", "_own")
+    numbered = opened.select("video", "_label", "_group", "_own", (F.coalesce("_before", F.lit(0)) + F.row_number().over(order) - 1).cast("int").alias("track_id"))
+    return own.join(numbered, ["video", "_label", "_group", "_own"]).select(*columns)
 
 
 def tracks_of(tracked: DataFrame) -> DataFrame:
