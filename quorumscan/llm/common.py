@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -109,6 +109,22 @@ def pick(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
+#: What the operator at work keeps in this Python worker.
+_held: dict[object, object] = {}
+
+
+def held[T](key: object, make: Callable[[], T]) -> T:
+    """``make()``, kept in this Python worker for later tasks that ask for the same key.
+
+    A worker goes on from one operator's tasks to another's: what was kept under other keys goes first.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 def groups_of(batch: pa.RecordBatch, *names: str, most_bytes: int = 4 << 20) -> Iterator[list[tuple]]:
     """Rows of a batch as tuples, in groups of bounded number and size; the last name is the text column."""
     columns = [batch.column(n) for n in names]

@@ -17,14 +17,13 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import Out, pick, rows_of, written
+from quorumscan.llm.common import Out, held, pick, rows_of, written
 from quorumscan.llm.tokenization import WordMemo, encoded_rows
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("padded_length", pa.int64()), ("fill", pa.int64())])
@@ -91,10 +90,9 @@ def padded(fill: int, capacity: int) -> int:
     return fill if fill & (fill - 1) == 0 else capacity
 
 
-@cache
 def id_memo(path: str | None) -> WordMemo:
-    """One memo per Python worker: words to their ids as little-endian unsigned 32-bit numbers."""
-    return WordMemo(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+    """One memo per Python worker, as long as it packs: words to their ids as little-endian unsigned 32-bit numbers."""
+    return held(("ids", path), lambda: WordMemo(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids)))
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 1, block_pieces: int = 1 << 16) -> DataFrame:

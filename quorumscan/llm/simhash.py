@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import Out, pick, rows_of, text_of, without, written
+from quorumscan.llm.common import Out, held, pick, rows_of, text_of, without, written
 from quorumscan.llm.components import connected_components
 
 SEED, FANOUT = 42, 8
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, text_hash (which tells rows of one identifier apart), print (the 64 bits as a long) and n_words of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash", lambda: True)
         for batch in batches:
             out = Out(PRINTS)
             for doc_id, text_hash, text in rows_of(batch, "doc_id", "text_hash", "text"):

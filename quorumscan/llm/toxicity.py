@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import SLICE_ROWS, Out, pick, rows_of
+from quorumscan.llm.common import SLICE_ROWS, Out, held, pick, rows_of
 from quorumscan.llm.labelled import HELD_OUT, labelled_sample
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -74,6 +74,10 @@ class SentenceModel:
             if some:
                 yield m.start(), m.end(), 1 / (1 + math.exp(-max(-700.0, min(700.0, total))))
 
+    def start(self) -> None:
+        """Take the worker over from the operator before."""
+        held("toxicity", lambda: True)
+
     def rest(self) -> None:
         """Give back what a task has needed: the worker goes on to other stages."""
         self.memo.clear()
@@ -166,6 +170,7 @@ def score_documents(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.start()
         for batch in batches:
             out = Out(SCORED)
             for doc_id, text in rows_of(batch, "doc_id", "text"):
@@ -212,6 +217,7 @@ def drop_toxic(docs: DataFrame, model: SentenceModel, text_col: str = "text", th
     text_at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model.start()
         for batch in batches:
             keep: list[bool] = []
             column = batch.column(text_at)
