@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorumscan.llm.common import pick
+from quorumscan.llm.common import drop_written, pick, written
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in their order: pattern, group whose length counts, least length, pattern that texts with such a match have.
@@ -62,30 +62,29 @@ def labelled_samples(spark: SparkSession, n: int = 12000) -> DataFrame:
 
     A quarter is held out; its identifiers are made of words that the others have not.  All are made by hashing the row number, so every session gets the same.
     """
-    digest = F.sha2(F.col("id").cast("string"), 512)
-    in_base64 = F.base64(F.unhex(digest))
-    letters = F.regexp_replace(in_base64, "[+/=]", "")
-    size = (F.lit(20) + F.col("id") % 29).cast("int")
     held = F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(4)) == 0
     some, others = (F.array(*map(F.lit, w)) for w in (IDENTIFIER_WORDS[::4], [w for k, w in enumerate(IDENTIFIER_WORDS) if k % 4]))
-    words = F.when(held, some).otherwise(others)
+    rows = spark.range(n).select("id", held.alias("held_out"), F.when(held, some).otherwise(others).alias("words"), F.sha2(F.col("id").cast("string"), 512).alias("hex"))
 
     def word(k: int) -> Column:
-        return F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.size(words)).cast("int"))
-
-    number = F.pmod(F.xxhash64("id"), F.lit(2030)).cast("string")
-    made = {"letters": letters, "hex": digest, "capitals": F.upper(letters), "base64": in_base64}
-    kinds = F.array(*(F.struct(F.substring(made[k], F.lit(1), size).alias("text"), F.lit(k).alias("alphabet")) for k in made))
-    secret = F.get(kinds, ((F.col("id") / 2) % len(made)).cast("int"))
-    four = [word(k) for k in range(4)]
-    many = F.slice(F.array(*map(word, range(9))), F.lit(1), (F.pmod(F.xxhash64("id", F.lit("words")), F.lit(7)) + 3).cast("int"))
-    camel = F.concat(four[0], *(F.initcap(w) for w in four[1:]), number)
+        return F.get("words", F.pmod(F.xxhash64("id", F.lit(k)), F.size("words")).cast("int"))
+
     day = F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 9000).cast("int")), "yyyy-MM-dd")
-    forms = [F.concat_ws("_", many, number), camel, F.concat_ws("-", many, number), F.upper(F.concat_ws("_", *four[:3], number)), F.concat_ws("/", many), F.concat(F.concat_ws("_", many), F.lit("/"), four[0], number), F.concat_ws("-", day, *four[:2]), F.concat(*four), F.concat_ws("/", four[0], F.translate(day, "-", "/"), *four[1:3])]
+    # Columns of their own, so that the plan holds each once however often the forms name it.
+    rows = rows.select("id", "held_out", "hex", F.base64(F.unhex("hex")).alias("base64"), F.array(*map(word, range(9))).alias("w"), day.alias("day"), F.pmod(F.xxhash64("id"), F.lit(2030)).cast("string").alias("number"))
+    size = (F.lit(20) + F.col("id") % 29).cast("int")
+    letters = F.regexp_replace("base64", "[+/=]", "")
+    made = {"letters": letters, "hex": F.col("hex"), "capitals": F.upper(letters), "base64": F.col("base64")}
+    kind = (F.col("id") / 2 % len(made)).cast("int")
+    secret = F.substring(F.get(F.array(*made.values()), kind), F.lit(1), size)
+    four = [F.get("w", F.lit(k)) for k in range(4)]
+    many = F.slice("w", F.lit(1), (F.pmod(F.xxhash64("id", F.lit("words")), F.lit(7)) + 3).cast("int"))
+    camel = F.concat(four[0], *(F.initcap(w) for w in four[1:]), F.col("number"))
+    forms = [F.concat_ws("_", many, "number"), camel, F.concat_ws("-", many, "number"), F.upper(F.concat_ws("_", *four[:3], "number")), F.concat_ws("/", many), F.concat(F.concat_ws("_", many), F.lit("/"), four[0], F.col("number")), F.concat_ws("-", "day", *four[:2]), F.concat(*four), F.concat_ws("/", four[0], F.translate("day", "-", "/"), *four[1:3])]
     named = F.get(F.array(*forms), (F.col("id") % len(forms)).cast("int"))
-    rows = spark.range(n)
     is_secret = F.pmod(F.xxhash64("id", F.lit("kind")), F.lit(2)) == 0
-    return rows.select(F.when(is_secret, secret["text"]).otherwise(named).alias("text"), is_secret.alias("is_secret"), F.when(is_secret, secret["alphabet"]).alias("alphabet"), held.alias("held_out"))
+    alphabet = F.get(F.array(*map(F.lit, made)), kind)
+    return rows.select(F.when(is_secret, secret).otherwise(named).alias("text"), is_secret.alias("is_secret"), F.when(is_secret, alphabet).alias("alphabet"), "held_out")
 
 
 @dataclass(frozen=True)
@@ -152,7 +151,7 @@ def train(samples: DataFrame, smoothing: float = 30.0, characters: int = 66, mar
     alphabet = F.coalesce("alphabet", F.lit("any")) if "alphabet" in samples.columns else F.lit("any")
     held = F.coalesce("held_out", F.lit(False)) if "held_out" in samples.columns else F.pmod(F.xxhash64("text"), F.lit(4)) == 0
     known = samples.filter(F.col("text").rlike(r"\A[\x01-\x7f]+\z") & F.col("is_secret").isNotNull())
-    known = known.select("text", F.when(F.col("is_secret"), alphabet).alias("kind"), held.alias("held"))
+    known = written(known.select("text", F.when(F.col("is_secret"), alphabet).alias("kind"), held.alias("held")), "secret-samples")
     codes = known.filter("not held").select("kind", F.concat(F.array(F.lit(0)), _codes(F.col("text"))).alias("c"))
     pairs = codes.select("kind", F.explode(F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))).alias("p"))
     counts: dict = {}
@@ -171,6 +170,7 @@ def train(samples: DataFrame, smoothing: float = 30.0, characters: int = 66, mar
     bounds = sorted(round(1000 * m) for m in margins)
     best = [F.percentile_approx(best_sum(log_ratios(F.col("text"), table)), 1 - rate, 10_000) for table in tables]
     found = known.filter("held and kind is null").agg(F.count(F.lit(1)), *best).first()[1:]
+    drop_written(known)
     return Models(tuple(tables), tuple(next((m for m in bounds if x is not None and x <= m), bounds[-1]) for x in found))
 
 
