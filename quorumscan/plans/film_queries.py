@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumscan.config import Config
-from quorumscan.functions import geometry, text
-from quorumscan.operators import anchors, evaluation, identity, style, windows
+from quorumscan.functions import frontal, geometry, metrics, text
+from quorumscan.operators import anchors, evaluation, gates, identity, style, windows
 from quorumscan.plans import domain
 from quorumscan.plans.domain import LENGTH, STEP, table
 from quorumscan.plans.pipeline import sweep
@@ -229,3 +229,49 @@ def q75_style_routing(spark, sf_dir):
     names = F.when(F.col("event_type") == "click", F.lit("anime_face_imgutils")).when(F.col("event_type") == "view", F.lit("real_face_scrfd"))
     evidence = e.select("user_id", names.alias("detector"), F.col("value").alias("confidence"))
     return style.routed(e.select("user_id", (F.col("value") > 250).alias("is_3d")), evidence, Config(), "user_id").select("user_id", "style", "is_ambiguous")
+
+
+@query("""
+    WITH p AS (SELECT p_partkey AS k, p_size AS s, 40 + p_partkey % 60 AS w FROM part), e AS (
+        SELECT k, w, s % 4 AS n, [struct_pack(c := 0.9::DOUBLE, x := 8.0::DOUBLE + s % 11), struct_pack(c := 0.5::DOUBLE + k % 3 / 10.0::DOUBLE, x := w - 9.5::DOUBLE), struct_pack(c := 0.2::DOUBLE, x := 1.0::DOUBLE)][:s % 4] AS eyes FROM p
+    ), b AS (SELECT *, list_sort(list_transform(eyes, lambda y: struct_pack(c := -y.c, x := y.x))) AS o FROM e), f AS (
+        SELECT *, CASE WHEN n = 0 THEN 0.05::DOUBLE WHEN n = 1 THEN 0.3::DOUBLE ELSE
+            greatest(0, least(1, abs(o[1].x - o[2].x) / w / 0.4::DOUBLE)) * greatest(0, least(1, 1 - abs((o[1].x + o[2].x) / 2 / w - 0.5::DOUBLE) / 0.3::DOUBLE)) END AS frontal FROM b
+    ) SELECT k, CAST(floor(frontal * 1000000 + 0.5) AS BIGINT) AS frontal_micro, n >= 2 AND frontal >= 0.35::DOUBLE AS kept FROM f
+""")
+def q76_eye_gate(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    width = (40 + k % 60).cast("int")
+
+    def eye(score, x):
+        return F.struct((x - 2.0).alias("x1"), F.lit(0.0).alias("y1"), (x + 2.0).alias("x2"), F.lit(2.0).alias("y2"), score.alias("score"))
+
+    eyes = F.array(eye(F.lit(0.9), F.lit(8.0) + size % 11), eye(F.lit(0.5) + k % 3 / F.lit(10.0), width - F.lit(9.5)), eye(F.lit(0.2), F.lit(1.0)))
+    crops = table(spark, sf_dir, "part").select(k.alias("k"), width.alias("crop_width"), F.slice(eyes, F.lit(1), (size % 4).cast("int")).alias("eyes"))
+    scored = crops.withColumn("frontal", frontal.frontal_from_eyes("eyes", "crop_width")).withColumn("num_eyes", F.size("eyes"))
+    kept = gates.passes_frontal(Config(require_eyes=2, min_frontal_score=0.35))
+    return scored.select("k", F.floor(F.col("frontal") * 1000000 + 0.5).cast("long").alias("frontal_micro"), kept.alias("kept"))
+
+
+@query("""
+    SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN 'no video stream' WHEN c_custkey % 3 = 0 THEN 'codec ' || lower(c_mktsegment)
+           WHEN NOT contains(CASE WHEN c_custkey % 4 = 0 THEN 'matroska,webm' ELSE 'mov,mp4,m4a' END, 'mp4') THEN 'container matroska,webm'
+           WHEN NOT coalesce(c_acctbal, 0) > 0 THEN 'no duration' END AS problem FROM customer
+""")
+def q77_container_problems(spark, sf_dir):
+    k = F.col("c_custkey")
+    codec = F.when(k % 5 == 0, F.lit(None)).when(k % 3 == 0, F.lower("c_mktsegment")).otherwise(F.lit("h264"))
+    container = F.when(k % 4 == 0, F.lit("matroska,webm")).otherwise(F.lit("mov,mp4,m4a"))
+    probes = table(spark, sf_dir, "customer").select(k.alias("k"), codec.alias("codec"), container.alias("container"), F.col("c_acctbal").cast("double").alias("duration"))
+    return media.valid_containers(probes).select("k", "problem")
+
+
+@query(on_events("""SELECT user_id, count(*) AS n, CAST(floor(coalesce(sum(value), 0) / nullif(count(*) FILTER (event_type = 'error'), 0) * 1000 + 0.5) AS BIGINT) AS ratio_milli,
+        CAST(len(list_distinct(list(event_type))) AS INTEGER) AS kinds, CAST(sum(list_sum(list_transform(string_split(event_id % 7 || ', ,' || event_id % 11, ','), lambda x: coalesce(TRY_CAST(trim(x) AS BIGINT), 0)))) AS BIGINT) AS numbers
+    FROM ev GROUP BY user_id"""))
+def q78_parsed_ratios(spark, sf_dir):
+    e = domain.events(spark, sf_dir)
+    listed = text.parse_numbers(F.concat_ws(",", F.col("event_id") % 7, F.lit(" "), F.col("event_id") % 11), "long")
+    total = F.sum(F.aggregate(listed, F.lit(0).cast("long"), lambda s, x: s + x))
+    found = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("v"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("event_type").cast("int").alias("kinds"), total.alias("numbers"))
+    return found.select("user_id", "n", F.floor(metrics.count_ratio(F.col("v"), F.col("errors")) * 1000 + 0.5).cast("long").alias("ratio_milli"), "kinds", "numbers")
