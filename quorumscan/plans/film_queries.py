@@ -266,12 +266,12 @@ def q77_container_problems(spark, sf_dir):
     return media.valid_containers(probes).select("k", "problem")
 
 
-@query(on_events("""SELECT user_id, count(*) AS n, CAST(floor(coalesce(sum(value), 0) / nullif(count(*) FILTER (event_type = 'error'), 0) * 1000 + 0.5) AS BIGINT) AS ratio_milli,
+@query(on_events("""SELECT user_id, count(*) AS n, CAST(floor(CAST(coalesce(sum(CAST(floor(value * 1000) AS BIGINT)), 0) AS DOUBLE) / nullif(count(*) FILTER (event_type = 'error'), 0)) AS BIGINT) AS ratio_milli,
         CAST(len(list_distinct(list(event_type))) AS INTEGER) AS kinds, CAST(sum(list_sum(list_transform(string_split(event_id % 7 || ', ,' || event_id % 11, ','), lambda x: coalesce(TRY_CAST(trim(x) AS BIGINT), 0)))) AS BIGINT) AS numbers
     FROM ev GROUP BY user_id"""))
 def q78_parsed_ratios(spark, sf_dir):
     e = domain.events(spark, sf_dir)
     listed = text.parse_numbers(F.concat_ws(",", F.col("event_id") % 7, F.lit(" "), F.col("event_id") % 11), "long")
     total = F.sum(F.aggregate(listed, F.lit(0).cast("long"), lambda s, x: s + x))
-    found = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("v"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("event_type").cast("int").alias("kinds"), total.alias("numbers"))
-    return found.select("user_id", "n", F.floor(metrics.count_ratio(F.col("v"), F.col("errors")) * 1000 + 0.5).cast("long").alias("ratio_milli"), "kinds", "numbers")
+    found = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.floor(F.col("value") * 1000).cast("long")), F.lit(0)).alias("v"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("event_type").cast("int").alias("kinds"), total.alias("numbers"))
+    return found.select("user_id", "n", F.floor(metrics.count_ratio(F.col("v"), F.col("errors"))).cast("long").alias("ratio_milli"), "kinds", "numbers")
