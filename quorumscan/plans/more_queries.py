@@ -10,6 +10,7 @@ from quorumscan.operators import catalog, evaluation, identity, selection, windo
 from quorumscan.plans import domain
 from quorumscan.plans.domain import LENGTH, SHIFT, STEP, THRESHOLD_SQL, WALK_SQL, micros, table
 from quorumscan.plans.queries import SNAP_CANDIDATES, STATUS, on_events, query, scan
+from quorumscan.shared import settled
 from quorumscan.sources import media
 
 #: The threshold of the replays.
@@ -31,10 +32,10 @@ STRICT_WALK_SQL = """
 
 
 def stored(spark, sf_dir):
-    """The scans of all videos as they are stored, read back."""
-    videos, cuts, tracks = domain.videos(spark, sf_dir), domain.cuts(spark, sf_dir), domain.tracks(spark, sf_dir)
-    at_cuts = windows.cut_scan(videos, cuts, tracks, LENGTH, STEP)
-    return media.parse_scans(sinks.stored_scans(videos, scan(spark, sf_dir), cuts, at_cuts, LENGTH, STEP))
+    """The scans of all videos as they are stored, read back.  Tracks and videos are written once, for both scans read them."""
+    tracks, videos, cuts = settled(domain.tracks(spark, sf_dir), "tracks"), settled(domain.videos(spark, sf_dir), "videos"), domain.cuts(spark, sf_dir)
+    at_windows, at_cuts = windows.window_scan(videos, tracks, LENGTH, STEP), windows.cut_scan(videos, cuts, tracks, LENGTH, STEP)
+    return media.parse_scans(sinks.stored_scans(videos, at_windows, cuts, at_cuts, LENGTH, STEP))
 
 
 @query(on_events(f"""{SNAP_AT_X} SELECT c.video, c.k, CAST(round(c.start * 1000000) AS BIGINT) AS start_us, c.character_count,
