@@ -68,15 +68,25 @@ def cut_between(samples: DataFrame, cuts: DataFrame, tolerance: float, order: st
 def nearest_cut(points: DataFrame, cuts: DataFrame, max_shift: float, at: str = "t") -> DataFrame:
     """``points`` (video, ``at``, ...) with ``cut``: the nearest within ``max_shift``, the earlier of two as near, else null.
 
-    Points may repeat: they are looked up once each.  ``max_shift`` of 0 or less turns it off.
+    Points may repeat: they are looked up once each.  ``max_shift`` of 0 or less turns it off.  Only the latest cut
+    at or before a point and the first behind it come into question; both are running values over the union of both sides, in bins.
     """
     if max_shift <= 0:
         return points.withColumn("cut", F.lit(None).cast("double"))
     x = F.col(at)
-    asked = points.select("video", at).distinct().withColumn("_bin", F.explode(F.sequence(_bin(x, max_shift) - 1, _bin(x, max_shift) + 1)))
-    near = asked.join(cuts.select("video", "cut").withColumn("_bin", _bin(F.col("cut"), max_shift)), ["video", "_bin"])
-    near = near.withColumn("_off", F.abs(F.col("cut") - x)).filter(F.col("_off") <= float(max_shift))
-    best = near.groupBy("video", at).agg(F.min(F.struct("_off", "cut")).alias("_best")).select("video", at, F.col("_best.cut").alias("cut"))
+    asked = points.select("video", at).filter(x.isNotNull()).distinct().withColumn("_at", x).withColumn("_side", F.lit(1))
+    marks = cuts.filter("cut IS NOT NULL").select("video", F.col("cut").alias("_at"), F.lit(0).alias("_side"), F.col("cut").alias("_cut"))
+    both = marks.unionByName(asked, allowMissingColumns=True).withColumn("_bin", _bin(F.col("_at"), max_shift))
+    bins = both.groupBy("video", "_bin").agg(F.max("_cut").alias("_max"), F.min("_cut").alias("_min"))
+    earlier = F.max("_max").over(Window.partitionBy("video").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+    later = F.min("_min").over(Window.partitionBy("video").orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1))
+    both = both.join(bins.select("video", "_bin", earlier.alias("_before"), later.alias("_behind")), ["video", "_bin"])
+    within = Window.partitionBy("video", "_bin")
+    last = F.coalesce(F.last("_cut", ignorenulls=True).over(within.orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)), "_before")
+    following = F.coalesce(F.last("_cut", ignorenulls=True).over(within.orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)), "_behind")
+    found = both.withColumn("_last", last).withColumn("_next", following).filter("_side = 1")
+    near = F.array_min(F.filter(F.array(*(F.struct(F.abs(F.col(c) - x).alias("_off"), F.col(c).alias("cut")) for c in ("_last", "_next"))), lambda c: c["_off"] <= float(max_shift)))
+    best = found.select("video", at, near["cut"].alias("cut"))
     return points.join(best, ["video", at], "left")
 
 
