@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,15 +95,25 @@ def track_rows(tracker: BoxTracker, rows: pd.DataFrame) -> pd.DataFrame:
 
     Rows with a null box are frames without detections; they carry cuts and give no rows.
     """
-    ids: dict[int, int] = {}
-    for frame, part in rows.groupby("frame_index", sort=True):
-        real = part[part["x1"].notna()]
-        boxes = [(r.label, (r.x1, r.y1, r.x2, r.y2)) for r in real.itertuples()]
-        for index, track in zip(real.index, tracker.update(int(frame), bool(part["is_cut"].any()), boxes), strict=True):
-            ids[index] = track
-    kept = rows.loc[list(ids)].copy()
-    kept["track_id"] = list(ids.values())
-    return kept
+    rows = rows[rows["frame_index"].notna()]
+    order = np.argsort(rows["frame_index"].to_numpy(), kind="stable")
+    frames, cut, real = (x[order].tolist() for x in (rows["frame_index"].to_numpy(), rows["is_cut"].to_numpy(bool), rows["x1"].notna().to_numpy()))
+    label, *sides = (rows[c].to_numpy()[order].tolist() for c in ("label", "x1", "y1", "x2", "y2"))
+    boxes = list(zip(label, zip(*sides, strict=True), strict=True))
+    kept: list[int] = []
+    ids: list[int] = []
+    at, n = 0, len(frames)
+    while at < n:
+        end = at + 1
+        while end < n and frames[end] == frames[at]:
+            end += 1
+        mine = [k for k in range(at, end) if real[k]]
+        ids += tracker.update(int(frames[at]), any(cut[at:end]), [boxes[k] for k in mine])
+        kept += mine
+        at = end
+    out = rows.iloc[order[kept]].copy()
+    out["track_id"] = ids
+    return out
 
 
 def prepared(detections: DataFrame) -> DataFrame:
