@@ -2,24 +2,127 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumscan.functions.geometry import dot, normalised
+from quorumscan.functions.geometry import normalised
 from quorumscan.operators import linkage
 from quorumscan.operators.linkage import MOST, complete_linkage  # noqa: F401
 
 
-def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id", feature: str = "feature") -> DataFrame:
+#: Vectors of a block of tracks; two blocks are what one task compares at once.
+BLOCK = 1024
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors as rows behind their lengths, filled up with 0; of null vectors all is NaN."""
+    size = max((len(x) for x in vectors if x is not None), default=0)
+    out = np.zeros((len(vectors), size + 1))
+    for k, x in enumerate(vectors):
+        if x is None:
+            out[k] = np.nan
+        else:
+            out[k, 0], out[k, 1 : len(x) + 1] = len(x), x
+    return out
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """1 - inner product of all rows, products added in the order of the vectors, as ``geometry.dot`` does; NaN where lengths differ."""
+    out, product = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
+    for k in range(1, min(x.shape[1], y.shape[1])):
+        np.multiply(x[:, k, None], y[None, :, k], out=product)
+        out += product
+    np.subtract(1.0, out, out=out)
+    out[x[:, 0, None] != y[None, :, 0]] = np.nan
+    return out
+
+
+def _tiles(x: np.ndarray, y: np.ndarray, side: int = 256) -> Iterator[tuple[int, int, np.ndarray]]:
+    for r in range(0, len(x), side):
+        for c in range(0, len(y), side):
+            yield r, c, _apart(x[r : r + side], y[c : c + side])
+
+
+def _median(x: np.ndarray, y: np.ndarray, bins: int = 1 << 15) -> float:
+    """The median of the differences of all rows, in two passes over tiles: bins are counted, then only the middle ones' values are kept."""
+    counts = np.zeros(3 * bins, np.int64)
+
+    def places(d: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor(d * bins), -bins // 2, 2 * bins + bins // 2 - 1).astype(np.int64) + bins // 2
+
+    for *_, d in _tiles(x, y):
+        counts += np.bincount(places(d[~np.isnan(d)]), minlength=len(counts))
+    upto = np.cumsum(counts)
+    n = int(upto[-1])
+    if not n:
+        return np.nan
+    low, high = (int(np.searchsorted(upto, r, side="right")) for r in ((n - 1) // 2, n // 2))
+    kept = []
+    for *_, d in _tiles(x, y):
+        d = d[~np.isnan(d)]
+        at = places(d)
+        kept.append(np.unique(d[(at == low) | (at == high)], return_counts=True))
+    values, often = (np.concatenate(c) for c in zip(*kept, strict=True))
+    order = np.argsort(values, kind="stable")
+    reached = np.cumsum(often[order]) + int(upto[low] - counts[low])
+    a, b = (values[order[np.searchsorted(reached, r, side="right")]] for r in ((n - 1) // 2, n // 2))
+    return 0.5 * a + 0.5 * b
+
+
+def cropped(crops: DataFrame, keys: list[str], track: str = "track_id") -> DataFrame:
+    """(keys, track_id) of the tracks that some difference mentions: those of keys of two or more."""
+    own = crops.select(*keys, F.col(track).alias("track_id")).dropna().distinct()
+    return own.join(own.groupBy(*keys).count().filter("count > 1").select(*keys), keys, "left_semi")
+
+
+def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id", feature: str = "feature", below: float | None = None) -> DataFrame:
     """(keys, i, j, diff) of tracks i < j: the median of the cosine differences of all their crops.
 
-    The median of an even number is the mean of the middle two.  Pairs are formed within
-    ``keys`` only, by an equi-join of vectors that are brought to length 1 before.  With one crop a track this is that crop's difference.
+    The median of an even number is the mean of the middle two.  Pairs are formed within ``keys`` only, of vectors that are
+    brought to length 1 before.  With one crop a track this is that crop's difference: blocks of tracks are compared, and
+    with ``below`` only differences under it leave a task.  Otherwise a task compares two tracks, tile by tile.
     """
-    a = crops.select(*keys, F.col(track).alias("i"), normalised(feature).alias("_x"))
-    b = crops.select(*keys, F.col(track).alias("j"), normalised(feature).alias("_y"))
-    pairs = a.join(b, keys).filter("i < j").withColumn("_d", F.lit(1.0) - dot("_x", "_y"))
-    return pairs.groupBy(*keys, "i", "j").agg(F.median("_d").alias("diff"))
+    rows = crops.select(*keys, F.col(track).alias("i"), normalised(feature).alias("_x")).dropna(subset=[*keys, "i"])
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"i {kinds['i']}", f"j {kinds['i']}", "diff double"])
+    bound = np.inf if below is None else float(below)
+    tracks = rows.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("_crops"))
+    single = (tracks.agg(F.max("_crops")).first()[0] or 1) == 1
+
+    def of_tracks(part: pd.DataFrame) -> pd.DataFrame:
+        p, q = part["_p"].iloc[0], part["_q"].iloc[0]
+        x, y = part[part["i"] == p], part[part["i"] == q]
+        found = [(p, q, _median(_matrix(x["_x"]), _matrix(y["_x"])))] if len(x) and len(y) else []
+        found = pd.DataFrame([f for f in found if not f[2] >= bound], columns=["i", "j", "diff"])
+        return found.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "i", "j", "diff"]]
+
+    def of_blocks(part: pd.DataFrame) -> pd.DataFrame:
+        p, q = part["_p"].iloc[0], part["_q"].iloc[0]
+        x = part[part["_b"] == p]
+        y = x if p == q else part[part["_b"] == q]
+        a, b, mx, my = x["i"].to_numpy(), y["i"].to_numpy(), _matrix(x["_x"]), _matrix(y["_x"])
+        found = []
+        for r, c, d in _tiles(mx, my):
+            i, j = a[r : r + len(d), None], b[None, c : c + d.shape[1]]
+            u, v = np.nonzero(~(d >= bound) & ((i < j) if p == q else (i != j)))
+            i, j = i[u, 0], j[0, v]
+            found.append((np.minimum(i, j), np.maximum(i, j), d[u, v]))
+        i, j, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (a[:0], a[:0], np.zeros(0))
+        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "i": i, "j": j, "diff": d})
+
+    if single:
+        blocks = tracks.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_n"))
+        placed = rows.join(blocks, keys).withColumn("_b", F.pmod(F.xxhash64("i"), "_n"))
+        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+        dealt = placed.withColumn("_o", others).withColumn("_p", F.least("_b", "_o")).withColumn("_q", F.greatest("_b", "_o")).drop("_n", "_o")
+        return dealt.groupBy(*keys, "_p", "_q").applyInPandas(of_blocks, schema)
+    others = tracks.select(*keys, F.col("i").alias("_o"))
+    dealt = rows.join(others, keys).filter("i != _o").withColumn("_p", F.least("i", "_o")).withColumn("_q", F.greatest("i", "_o")).drop("_o")
+    return dealt.groupBy(*keys, "_p", "_q").applyInPandas(of_tracks, schema)
 
 
 def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video", most: int = MOST, known: DataFrame | None = None) -> DataFrame:
@@ -41,15 +144,16 @@ def assign_characters(tracks: DataFrame, differences: DataFrame, threshold: floa
     return tracks.drop("character_id").join(labelled, [key, "track_id"], "left")
 
 
-def window_scope_counts(members: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video", most: int = MOST) -> DataFrame:
+def window_scope_counts(members: DataFrame, differences: DataFrame, threshold: float | str, key: str = "video", most: int = MOST, known: DataFrame | None = None) -> DataFrame:
     """(key, k, n): characters in window k when only its own tracks are clustered.
 
     ``members`` has (key, k, track_id).  Windows with the same set of tracks are clustered once;
     tracks that no difference mentions are left out.  ``threshold`` is a number, or the column of ``differences`` that has each key's own.
-    A window of more than ``most`` tracks is split (see ``linkage``).
+    A window of more than ``most`` tracks is split (see ``linkage``).  ``known`` is as in ``assign_characters``.
     """
     bound = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
-    known = differences.select(key, F.explode(F.array("i", "j")).alias("track_id")).distinct()
+    if known is None:
+        known = differences.select(key, F.explode(F.array("i", "j")).alias("track_id")).distinct()
     sets = members.join(known, [key, "track_id"], "left_semi").groupBy(key, "k").agg(F.sort_array(F.collect_set("track_id")).alias("tracks"))
     signed = sets.withColumn("signature", F.sha2(F.to_json("tracks"), 256))
     distinct = signed.groupBy(key, "signature").agg(F.first("tracks").alias("tracks")).select(key, "signature", F.explode("tracks").alias("i"))

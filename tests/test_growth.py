@@ -3,10 +3,12 @@
 import random
 import time
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from quorumscan.operators import overlap, tracking, windows
+from quorumscan.operators import identity, overlap, tracking, windows
 
 
 def test_cut_counts_equal_pairs_also_where_times_meet(spark):
@@ -55,3 +57,20 @@ def test_tracker_takes_frames_without_a_table_each():
     began = time.time()
     assert set(tracking.track_rows(tracking.BoxTracker(0.3, 1), rows)["track_id"]) == {0}
     assert time.time() - began < 3
+
+
+@pytest.mark.parametrize("crops", [1, 3])
+def test_differences_by_blocks_and_tiles_equal_pairs(spark, crops, monkeypatch):
+    monkeypatch.setattr(identity, "BLOCK", 3)
+    rng = np.random.default_rng(crops)
+    rows = [(v, t, [float(x) for x in rng.normal(size=4)]) for v in "ab" for t in range(10) for _ in range(crops)] + [("c", 1, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "video string, track_id int, feature array<double>")
+    by = {}
+    for v, t, x in rows:
+        by.setdefault((v, t), []).append(np.array(x) / np.linalg.norm(x))
+    want = {(v, t, u): np.median([1 - x @ y for x in a for y in b]) for (v, t), a in by.items() for (w, u), b in by.items() if v == w and t < u}
+    found = {(r.video, r.i, r.j): r["diff"] for r in identity.crop_differences(frame, ["video"]).collect()}
+    assert set(found) == set(want) and all(found[k] == pytest.approx(want[k]) for k in want)
+    near = identity.crop_differences(frame, ["video"], below=0.8).collect()
+    assert {(r.video, r.i, r.j) for r in near} == {k for k, d in want.items() if d < 0.8}
+    assert identity.cropped(frame, ["video"]).count() == 20
