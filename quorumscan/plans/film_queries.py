@@ -136,8 +136,9 @@ def q70_style_thresholds(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select(F.concat_ws("-", F.col("label"), F.col("vec_id") % 8).alias("video"), "label", F.col("vec_id").alias("track_id"), F.col("embedding").alias("feature"))
     named = F.coalesce(*(F.when(F.col("label") % 4 == int(v), F.lit(s)) for v, s in STYLES.items()))
     videos = style.styled(vectors.select("video", named.alias("style")).distinct(), Config())
-    apart = style.with_settings(identity.crop_differences(vectors.select("video", "track_id", "feature"), ["video"]), videos, "identity_threshold")
-    known = identity.assign_characters(vectors.select("video", "track_id"), apart, "identity_threshold")
+    widest = videos.agg(F.max("identity_threshold")).first()[0]
+    apart = style.with_settings(identity.crop_differences(vectors.select("video", "track_id", "feature"), ["video"], below=widest), videos, "identity_threshold")
+    known = identity.assign_characters(vectors.select("video", "track_id"), apart, "identity_threshold", known=identity.cropped(vectors, ["video"]))
     return known.filter("character_id IS NOT NULL").groupBy("video").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("character_id").alias("characters"))
 
 
@@ -199,7 +200,7 @@ def q73_sweep_grid(spark, sf_dir):
     tracks = vectors.select("video", "track_id", start.alias("start_time"), (start + 4.0).alias("end_time"), F.lit(3).alias("num_detections"))
     videos = vectors.select("video").distinct().withColumn("duration", F.lit(100.0))
     config = Config(window_seconds=10.0, frame_interval=2.0)
-    return sweep(tracks, identity.crop_differences(vectors, ["video"]), videos, config, [0.7, 0.9], [2, 3])
+    return sweep(tracks, identity.crop_differences(vectors, ["video"], below=0.9), videos, config, [0.7, 0.9], [2, 3], identity.cropped(vectors, ["video"]))
 
 
 @query("""

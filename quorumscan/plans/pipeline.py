@@ -83,10 +83,11 @@ def _window_scope(scan: DataFrame, key: list[str], tracks: DataFrame, difference
     return joined.select(*key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def sweep(tracks: DataFrame, differences: DataFrame, videos: DataFrame, config: Config, thresholds: list[float], xs: list[int]) -> DataFrame:
+def sweep(tracks: DataFrame, differences: DataFrame, videos: DataFrame, config: Config, thresholds: list[float], xs: list[int], cropped: DataFrame | None = None) -> DataFrame:
     """(video, threshold, x, n_characters, n_segments) over a grid, in one plan; differences are computed once by the caller.
 
-    Each video is taken once for each threshold, under a name of its own, and each of those once for each X.
+    Each video is taken once for each threshold, under a name of its own, and each of those once for each X.  With ``cropped`` (video, track_id),
+    the tracks that have a crop, ``differences`` may lack pairs that are too far apart for any threshold.
     """
     grid = F.explode(F.array(*(F.lit(float(t)) for t in sorted(set(thresholds)))))
 
@@ -94,7 +95,8 @@ def sweep(tracks: DataFrame, differences: DataFrame, videos: DataFrame, config:
         return rows.withColumn("_of", F.col("video")).withColumn("video", F.to_json(F.struct(F.col(by).alias("by"), F.col("video").alias("of"))))
 
     # Each threshold gets the pairs below it alone; that a track has a crop is told once for all of them.
-    cropped = differences.select("video", F.explode(F.array("i", "j")).alias("track_id")).distinct()
+    if cropped is None:
+        cropped = differences.select("video", F.explode(F.array("i", "j")).alias("track_id")).distinct()
     near = differences.withColumn("threshold", grid).filter("diff < threshold")
     apart, films, own = (named(rows, "threshold").drop("_of") for rows in (near, videos.withColumn("threshold", grid), cropped.withColumn("threshold", grid)))
     known = identity.assign_characters(named(tracks.withColumn("threshold", grid), "threshold").drop("_of", "threshold"), apart, "threshold", known=own.drop("threshold"))

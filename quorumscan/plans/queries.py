@@ -253,9 +253,9 @@ LINKAGE_SQL = """
 """)
 def q20_complete_linkage(spark, sf_dir):
     own = crops(spark, sf_dir).withColumn("video", F.concat_ws("-", "label", "track_id"))
-    differences = identity.crop_differences(own.select("video", "vec_id", "feature"), ["video"], "vec_id")
+    differences = identity.crop_differences(own.select("video", "vec_id", "feature"), ["video"], "vec_id", below=0.9)
     tracks = own.select("video", F.col("vec_id").alias("track_id"))
-    return identity.assign_characters(tracks, differences, 0.9)
+    return identity.assign_characters(tracks, differences, 0.9, known=identity.cropped(own, ["video"], "vec_id"))
 
 
 @query(on_events(f""", seen AS (
@@ -270,8 +270,8 @@ def q21_window_scope_count(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 4).cast("string").alias("video"), F.col("vec_id").alias("track_id"), F.col("embedding").alias("feature"))
     users = domain.events(spark, sf_dir).select("video", F.floor(F.col("t") / 3600).cast("long").alias("k"), F.col("user_id").alias("track_id")).distinct()
     seen = users.select("video", "track_id").distinct()
-    differences = identity.crop_differences(vectors.join(seen, ["video", "track_id"], "left_semi"), ["video"])
-    return identity.window_scope_counts(users, differences, 0.9)
+    shown = vectors.join(seen, ["video", "track_id"], "left_semi")
+    return identity.window_scope_counts(users, identity.crop_differences(shown, ["video"], below=0.9), 0.9, known=identity.cropped(shown, ["video"]))
 
 
 BOXES = "SELECT l_orderkey AS frame, l_linenumber AS n, l_quantity AS x1, l_linenumber * 5.0 AS y1, l_quantity + 20 AS x2, l_linenumber * 5.0 + 20 AS y2, l_extendedprice AS score FROM lineitem"
