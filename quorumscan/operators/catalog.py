@@ -40,9 +40,12 @@ def items_with_assets(tasks: DataFrame, items: DataFrame, assets: DataFrame, tas
 
 def characters_with_crop(segments: DataFrame, crops: DataFrame, ids: str = "character_ids", key: str = "video", character: str = "character_id") -> DataFrame:
     """Segments whose array ``ids`` keeps the characters that have a crop in their video."""
-    shown = crops.groupBy(key).agg(F.collect_set(character).alias("_shown"))
-    joined = segments.join(shown, key, "left")
-    kept = F.array_intersect(ids, F.coalesce("_shown", F.array().cast(dict(segments.dtypes)[ids])))
+    kind = dict(segments.dtypes)[ids]
+    shown = crops.select(key, F.col(character).alias("_id")).distinct()
+    each = segments.select(key, ids).distinct().select(key, ids, F.posexplode(F.array_distinct(ids)).alias("_at", "_id"))
+    inside = each.join(shown, [key, "_id"]).groupBy(key, ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_id"))), lambda x: x["_id"]).alias("_kept"))
+    joined = segments.join(inside, [key, ids], "left")
+    kept = F.coalesce("_kept", F.when(F.col(ids).isNotNull(), F.array().cast(kind)))
     return joined.select(*(kept.alias(c) if c == ids else F.col(c) for c in segments.columns))
 
 

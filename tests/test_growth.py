@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quorumscan.operators import identity, overlap, tracking, windows
+from quorumscan.operators import catalog, identity, overlap, tracking, windows
 
 
 def test_cut_counts_equal_pairs_also_where_times_meet(spark):
@@ -74,3 +74,24 @@ def test_differences_by_blocks_and_tiles_equal_pairs(spark, crops, monkeypatch):
     near = identity.crop_differences(frame, ["video"], below=0.8).collect()
     assert {(r.video, r.i, r.j) for r in near} == {k for k, d in want.items() if d < 0.8}
     assert identity.cropped(frame, ["video"]).count() == 20
+
+
+def test_characters_with_crop_carry_no_set_of_a_whole_video(spark):
+    rows = [("a", 0, [3, 1, 2, 3]), ("a", 1, []), ("b", 0, [1]), ("a", 2, None), ("a", 3, [3, 1, 2, 3])]
+    segments = spark.createDataFrame(rows, "video string, k int, character_ids array<int>")
+    crops = spark.createDataFrame([("a", 3), ("a", 2), ("a", 2)], "video string, character_id int")
+    found = catalog.characters_with_crop(segments, crops)
+    assert {(r.video, r.k): r.character_ids for r in found.collect()} == {("a", 0): [3, 2], ("a", 1): [], ("b", 0): [], ("a", 2): None, ("a", 3): [3, 2]}
+    assert "collect_set" not in found._jdf.queryExecution().toString()
+
+
+def test_cosine_pairs_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(identity, "BLOCK", 2)
+    vectors = [(k, [float(k % 3), float(k % 2)]) for k in range(9)]
+    frame = spark.createDataFrame([("v", k, x) for k, x in vectors], "video string, id int, feature array<double>")
+    found = {(r.i, r.j): r["diff"] for r in identity.cosine_pairs(frame, ["video"], "id").collect()}
+    assert len(found) == 36
+    for (i, j), d in found.items():
+        x, y = np.array(vectors[i][1]), np.array(vectors[j][1])
+        size = np.linalg.norm(x) * np.linalg.norm(y)
+        assert d == pytest.approx(1 - (x @ y / size if size else 0))
