@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,21 +30,39 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return out
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """1 - inner product of all rows, products added in the order of the vectors, as ``geometry.dot`` does; NaN where lengths differ."""
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of all rows, products added in the order of the vectors, as ``geometry.dot`` does; NaN where lengths differ."""
     out, product = np.zeros((len(x), len(y))), np.empty((len(x), len(y)))
     for k in range(1, min(x.shape[1], y.shape[1])):
         np.multiply(x[:, k, None], y[None, :, k], out=product)
         out += product
-    np.subtract(1.0, out, out=out)
     out[x[:, 0, None] != y[None, :, 0]] = np.nan
     return out
 
 
-def _tiles(x: np.ndarray, y: np.ndarray, side: int = 256) -> Iterator[tuple[int, int, np.ndarray]]:
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differences of all rows of vectors of length 1."""
+    return 1.0 - _dots(x, y)
+
+
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differences of all rows, as ``geometry.cosine_difference`` has them; 1 where a vector is zero or null."""
+
+    def norms(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for k in range(1, rows.shape[1]):
+            out += rows[:, k] * rows[:, k]
+        return np.sqrt(np.where(np.isnan(rows[:, 0]), np.nan, out))
+
+    size = norms(x)[:, None] * norms(y)[None, :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1.0 - np.where(size > 0, _dots(x, y) / size, 0.0)
+
+
+def _tiles(x: np.ndarray, y: np.ndarray, side: int = 256, apart: Callable[[np.ndarray, np.ndarray], np.ndarray] = _apart) -> Iterator[tuple[int, int, np.ndarray]]:
     for r in range(0, len(x), side):
         for c in range(0, len(y), side):
-            yield r, c, _apart(x[r : r + side], y[c : c + side])
+            yield r, c, apart(x[r : r + side], y[c : c + side])
 
 
 def _median(x: np.ndarray, y: np.ndarray, bins: int = 1 << 15) -> float:
@@ -79,6 +97,38 @@ def cropped(crops: DataFrame, keys: list[str], track: str = "track_id") -> DataF
     return own.join(own.groupBy(*keys).count().filter("count > 1").select(*keys), keys, "left_semi")
 
 
+def _by_blocks(rows: DataFrame, keys: list[str], bound: float, apart: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(keys, i, j, diff) of all pairs i < j of rows (keys, i, _x) of one vector each, unless the difference is ``bound`` or more; a task compares two blocks."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"i {kinds['i']}", f"j {kinds['i']}", "diff double"])
+
+    def of_blocks(part: pd.DataFrame) -> pd.DataFrame:
+        p, q = part["_p"].iloc[0], part["_q"].iloc[0]
+        x = part[part["_b"] == p]
+        y = x if p == q else part[part["_b"] == q]
+        a, b, mx, my = x["i"].to_numpy(), y["i"].to_numpy(), _matrix(x["_x"]), _matrix(y["_x"])
+        found = []
+        for r, c, d in _tiles(mx, my, apart=apart):
+            i, j = a[r : r + len(d), None], b[None, c : c + d.shape[1]]
+            u, v = np.nonzero(~(d >= bound) & ((i < j) if p == q else (i != j)))
+            i, j = i[u, 0], j[0, v]
+            found.append((np.minimum(i, j), np.maximum(i, j), d[u, v]))
+        i, j, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (a[:0], a[:0], np.zeros(0))
+        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "i": i, "j": j, "diff": d})
+
+    blocks = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_n"))
+    placed = rows.join(blocks, keys).withColumn("_b", F.pmod(F.xxhash64("i"), "_n"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    dealt = placed.withColumn("_o", others).withColumn("_p", F.least("_b", "_o")).withColumn("_q", F.greatest("_b", "_o")).drop("_n", "_o")
+    return dealt.groupBy(*keys, "_p", "_q").applyInPandas(of_blocks, schema)
+
+
+def cosine_pairs(vectors: DataFrame, keys: list[str], name: str, feature: str = "feature") -> DataFrame:
+    """(keys, i, j, diff) of all pairs of vectors i < j of a key, compared in blocks; ``name`` is unique in a key."""
+    rows = vectors.select(*keys, F.col(name).alias("i"), F.transform(feature, lambda x: x.cast("double")).alias("_x"))
+    return _by_blocks(rows.dropna(subset=[*keys, "i"]), keys, np.inf, _cosine)
+
+
 def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id", feature: str = "feature", below: float | None = None) -> DataFrame:
     """(keys, i, j, diff) of tracks i < j: the median of the cosine differences of all their crops.
 
@@ -100,26 +150,8 @@ def crop_differences(crops: DataFrame, keys: list[str], track: str = "track_id",
         found = pd.DataFrame([f for f in found if not f[2] >= bound], columns=["i", "j", "diff"])
         return found.assign(**{k: part[k].iloc[0] for k in keys})[[*keys, "i", "j", "diff"]]
 
-    def of_blocks(part: pd.DataFrame) -> pd.DataFrame:
-        p, q = part["_p"].iloc[0], part["_q"].iloc[0]
-        x = part[part["_b"] == p]
-        y = x if p == q else part[part["_b"] == q]
-        a, b, mx, my = x["i"].to_numpy(), y["i"].to_numpy(), _matrix(x["_x"]), _matrix(y["_x"])
-        found = []
-        for r, c, d in _tiles(mx, my):
-            i, j = a[r : r + len(d), None], b[None, c : c + d.shape[1]]
-            u, v = np.nonzero(~(d >= bound) & ((i < j) if p == q else (i != j)))
-            i, j = i[u, 0], j[0, v]
-            found.append((np.minimum(i, j), np.maximum(i, j), d[u, v]))
-        i, j, d = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (a[:0], a[:0], np.zeros(0))
-        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "i": i, "j": j, "diff": d})
-
     if single:
-        blocks = tracks.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("_n"))
-        placed = rows.join(blocks, keys).withColumn("_b", F.pmod(F.xxhash64("i"), "_n"))
-        others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-        dealt = placed.withColumn("_o", others).withColumn("_p", F.least("_b", "_o")).withColumn("_q", F.greatest("_b", "_o")).drop("_n", "_o")
-        return dealt.groupBy(*keys, "_p", "_q").applyInPandas(of_blocks, schema)
+        return _by_blocks(rows, keys, bound, _apart)
     others = tracks.select(*keys, F.col("i").alias("_o"))
     dealt = rows.join(others, keys).filter("i != _o").withColumn("_p", F.least("i", "_o")).withColumn("_q", F.greatest("i", "_o")).drop("_o")
     return dealt.groupBy(*keys, "_p", "_q").applyInPandas(of_tracks, schema)

@@ -213,10 +213,8 @@ def crops(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = b.vec_id % 10 AND a.vec_id < b.vec_id
 """)
 def q18_cosine_pairs(spark, sf_dir):
-    a = crops(spark, sf_dir).select("label", "track_id", F.col("vec_id").alias("i"), F.col("feature").alias("x"))
-    b = crops(spark, sf_dir).select("label", "track_id", F.col("vec_id").alias("j"), F.col("feature").alias("y"))
-    pairs = a.join(b, ["label", "track_id"]).filter("i < j")
-    return pairs.select("i", "j", F.floor(geometry.cosine_difference("x", "y") * 1000).cast("long").alias("milli"))
+    pairs = identity.cosine_pairs(crops(spark, sf_dir), ["label", "track_id"], "vec_id")
+    return pairs.select("i", "j", F.floor(F.col("diff") * 1000).cast("long").alias("milli"))
 
 
 @query("""
