@@ -1,10 +1,11 @@
 """Phrase collocations: count-min sketches first, exact counts of the survivors second.
 
-1. Every task counts all its phrases of one to five words in a count-min sketch, some rows of
-   counters at hashes of the phrase.  The tasks' sketches are merged cell by cell, a block of cells at a time, in streams.  A sketch
-   never counts too little, so a phrase all of whose cells reach the least count may be frequent, and any other is not.
-   What the second pass is given is one bit a cell: whether it reaches that count.
-2. The second pass reads the texts again, drops every phrase that has a cell below the count, or whose
+1. Every task counts its phrases in a count-min sketch, a row of counters for each number of words.  Words and pairs come first, then triples
+   whose pairs may both be frequent, then longer phrases whose triples may, so few phrases beyond the frequent ones are counted at all.  A task
+   sends only the cells that it has counted in, as differences, so what is sent follows its text and not the sketch's width.  The tasks' cells are
+   added up a block of cells at a time, in streams.  A sketch never counts too little, so a phrase whose cell reaches the least count may be
+   frequent, and any other is not.  What later passes are given is one bit a cell: whether it reaches that count.
+2. The last pass reads the texts again, drops every phrase that has a cell below the count, or whose
    shorter parts have, and aggregates the rest exactly, as strings: first a task's own, then all tasks' by parts of the phrases.  Nothing
    frequent is lost.
 3. Cuts of a phrase are scored by joins of the exact counts, and phrases subsumed by a longer one go.
@@ -22,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +33,14 @@ from quorumscan.llm.words import Words, byte_set, mixed, texts_of, words_of
 #: Fixed bytes of the definition: what ends a piece, and what else parts words.
 BREAKS = byte_set([*b".,;:!?", *range(0x0A, 0x0E)])
 SEPARATORS = BREAKS | byte_set(b" \t")
-#: Counters of a row of the sketch at least and at most; 4 bytes each in a task, 1 bit in the broadcast.
-LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
+#: Counters of a row of the sketch at least and at most; 1 bit each in the broadcast.
+LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 26
 #: Characters of the table for each counter.
 CHARS_A_CELL = 40
-ROWS = 2
-#: Cells that are merged at a time.
-BLOCK = 1 << 16
+#: Cells that are merged at a time, at least, and blocks of a row at most.
+BLOCK, MOST_BLOCKS = 1 << 16, 256
+#: Cells that a task holds before they are added up.
+HELD_CELLS = 1 << 22
 #: Bytes of texts that are counted at a time.
 GROUP_BYTES = 4 << 20
 #: Counts that a task holds before they are added up.
@@ -82,24 +85,69 @@ def _language_hash(names: list[str]) -> np.ndarray:
     return np.array([int.from_bytes(zlib.crc32(x.encode()).to_bytes(4, "big") + zlib.adler32(x.encode()).to_bytes(4, "big"), "big") for x in names], np.uint64)
 
 
-def merged_sketch(texts: DataFrame, size: int, width: int, least: int) -> list[np.ndarray]:
-    """Of each row of the sketch of all phrases, the packed bits of the cells that reach ``least``."""
-    block = min(BLOCK, width)
+def _candidates(words: Words, languages: np.ndarray, bits: list[np.ndarray], width: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every number of words up to ``size``: the places of phrases that may be frequent, by the sketch's bits as far as there are any
+    and by their shorter parts, and the hashes of all."""
+    alive = None
+    for n, ok, h in _grams(words, languages, size):
+        # Parts of a phrase are as frequent as it is, so one whose parts are not alive is left out.
+        ok = ok if alive is None else ok & alive[: len(ok)] & alive[1 : len(ok) + 1]
+        at = np.flatnonzero(ok)
+        if n <= len(bits):
+            cell = _cells(h[at], n, width)
+            at = at[(bits[n - 1][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1]
+        if not len(at):
+            return
+        yield n, at, h
+        alive = np.zeros(len(ok), bool)
+        alive[at] = True
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells in order, each once, with the sums of their counts."""
+    cells, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+    order = np.argsort(cells, kind="stable")
+    cells, counts = cells[order], counts[order]
+    first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
+    return cells[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _bytes_apart(a: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers byte by byte: first the lowest of each."""
+    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def merged_sketch(texts: DataFrame, sizes: list[int], bits: list[np.ndarray], width: int, least: int) -> list[np.ndarray]:
+    """Of each of ``sizes``' row of the sketch of candidates, the packed bits of the cells that reach ``least``; ``bits`` are those of smaller sizes."""
+    block = min(width, max(BLOCK, width // MOST_BLOCKS))
+    known = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def sent(cells: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1)
+        number = cells // block
+        cuts = np.flatnonzero(np.diff(number, prepend=-1, append=-1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            data = press.compress(_bytes_apart(np.diff(cells[a:b], prepend=number[a] * block)) + _bytes_apart(np.minimum(counts[a:b], least)))
+            yield pa.RecordBatch.from_pydict({"cell": [int(number[a]) * block], "counts": [data]}, pa.schema([("cell", pa.int64()), ("counts", pa.binary())]))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ROWS, width), np.uint32)
+        held, n_held = [], 0
         for rows in texts_of(batches, BREAKS, GROUP_BYTES, "lang"):
             words, lang, names = _read(rows)
             if not len(words.word):
                 continue
-            for _, ok, h in _grams(words, _language_hash(names)[lang], size):
-                for r in range(ROWS):
-                    np.add.at(table[r], _cells(h[ok], r, width), np.uint32(1))
-        for r in range(ROWS):
-            for k in range(0, width, block):
-                part = np.minimum(table[r, k : k + block], least)
-                if part.any():
-                    yield pa.RecordBatch.from_pydict({"cell": [r * width + k], "counts": [zlib.compress(part.astype("<u4").tobytes(), 1)]}, pa.schema([("cell", pa.int64()), ("counts", pa.binary())]))
+            for n, at, h in _candidates(words, _language_hash(names)[lang], known.value, width, sizes[-1]):
+                if n >= sizes[0]:
+                    held.append(np.unique(_cells(h[at], n, width) + (n - sizes[0]) * width, return_counts=True))
+                    n_held += len(held[-1][0])
+            if n_held > HELD_CELLS:
+                held = [_summed(held)]
+                n_held = len(held[0][0])
+                if n_held > HELD_CELLS // 2:
+                    yield from sent(*held[0])
+                    held, n_held = [], 0
+        if held:
+            yield from sent(*_summed(held))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by cell, so one block of counters is held at a time."""
@@ -107,23 +155,27 @@ def merged_sketch(texts: DataFrame, size: int, width: int, least: int) -> list[n
         def done(cell: int, total: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"cell": [cell], "bits": [np.packbits(total >= least).tobytes()]}, pa.schema([("cell", pa.int64()), ("bits", pa.binary())]))
 
+        unpress = zstandard.ZstdDecompressor()
         at, total = None, None
         for batch in batches:
-            for cell, counts in zip(batch.column("cell").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            for cell, data in zip(batch.column("cell").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 if cell != at:
                     if at is not None:
                         yield done(at, total)
-                    at, total = cell, np.zeros(block, np.uint64)
-                total += np.frombuffer(zlib.decompress(counts), "<u4")
+                    at, total = cell, np.zeros(block, np.int64)
+                raw = np.frombuffer(unpress.decompress(data), np.uint8).reshape(2, 4, -1)
+                places, counts = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in raw)
+                total[np.cumsum(places, dtype=np.int64)] += counts
         if at is not None:
             yield done(at, total)
 
     sketches = texts.mapInArrow(count, "cell long, counts binary")
-    bits = sketches.repartition("cell").sortWithinPartitions("cell").mapInArrow(merge, "cell long, bits binary")
-    out = [np.zeros(width // 8, np.uint8) for _ in range(ROWS)]
-    for row in bits.collect():  # of bounded size: a bit for each cell
+    merged = sketches.repartition("cell").sortWithinPartitions("cell").mapInArrow(merge, "cell long, bits binary")
+    out = [np.zeros(width // 8, np.uint8) for _ in sizes]
+    for row in merged.collect():  # of bounded size: a bit for each cell
         r, k = divmod(row.cell, width)
         out[r][k // 8 : (k + block) // 8] = np.frombuffer(row.bits, np.uint8)
+    known.unpersist()
     return out
 
 
@@ -149,16 +201,13 @@ def frequent_phrases(docs: DataFrame, least: int, size: int = 5, text_col: str =
     spark: SparkSession = docs.sparkSession
     chars = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     width = width or sketch_width(chars)
-    known = spark.sparkContext.broadcast(merged_sketch(texts, size, width, least))
+    bits: list[np.ndarray] = []
+    for sizes in ([1, 2], [3], list(range(4, size + 1))):
+        if sizes := [n for n in sizes if n <= size]:
+            bits += merged_sketch(texts, sizes, bits, width, least)
+    known = spark.sparkContext.broadcast(bits)
     schema = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
 
-    def may_be(h: np.ndarray) -> np.ndarray:
-        found = np.ones(len(h), bool)
-        for r, bits in enumerate(known.value):
-            cell = _cells(h, r, width)
-            found &= (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
-        return found
-
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in texts_of(batches, BREAKS, GROUP_BYTES, "lang"):
             words, lang, names = _read(rows)
@@ -167,22 +216,14 @@ def frequent_phrases(docs: DataFrame, least: int, size: int = 5, text_col: str =
             if not len(words.word):
                 continue
             texts_by_number, n_words = words.names.cast(pa.string()), len(words.names)
-            alive, number = None, lang
-            for n, ok, h in _grams(words, _language_hash(names)[lang], size):
-                # Parts of a phrase are as frequent as it is, so one whose parts are not alive is left out.
-                ok = ok if alive is None else ok & alive[: len(ok)] & alive[1 : len(ok) + 1]
-                at = np.flatnonzero(ok)
-                at = at[may_be(h[at])]
-                alive = np.zeros(len(ok), bool)
-                alive[at] = True
-                if not len(at):
-                    break
+            number = lang
+            for n, at, h in _candidates(words, _language_hash(names)[lang], known.value, width, size):
                 # A phrase is numbered by the number of its beginning and its last word: exact, whatever the hashes.
                 codes, _ = pd.factorize(number[at] * n_words + words.word[at + n - 1])
                 counts = np.bincount(codes)
                 first = np.empty(len(counts), np.int64)
                 first[codes[::-1]] = at[::-1]
-                number = np.zeros(len(ok), np.int64)
+                number = np.zeros(len(h), np.int64)
                 number[at] = codes
                 parts = [texts_by_number.take(pa.array(words.word[first + k])) for k in range(n)]
                 phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]

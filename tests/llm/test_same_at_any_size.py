@@ -3,7 +3,7 @@
 import pytest
 from test_phrases_search_lm import ROWS, made_up, plain_scores, table
 
-from quorumscan.llm import lm
+from quorumscan.llm import collocations, lm
 
 
 @pytest.mark.parametrize("most", [1, 50, 200])
@@ -31,3 +31,22 @@ def test_spread_words_on_odd_tables(spark):
     assert lm.score_documents(table(spark, []), most=1).collect() == []
     (only,) = lm.score_documents(table(spark, [(1, "a b")]), held_out="true", most=1).collect()
     assert (only.train_tokens, only.score) == (0, 0.0)
+
+
+def test_what_a_sketch_sends_follows_the_texts(spark, monkeypatch):
+    rows = [(f"a{k} b{k} c{k} d{k} e{k} f{k}", "en") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(8)
+    sent, plain = [], type(docs).mapInArrow
+
+    def kept(self, func, schema):
+        out = plain(self, func, schema)
+        if schema == "cell long, counts binary":
+            sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", kept)
+    assert collocations.frequent_phrases(docs, 100, width=1 << 22).filter("size > 0").collect() == []
+    sizes = [sum(len(r.counts) for r in df.collect()) for df in sent]
+    # 22,000 words and pairs in rows of four million cells; no triple has a frequent pair.
+    assert 0 < sizes[0] < 22_000 * 12
+    assert not any(sizes[1:])
