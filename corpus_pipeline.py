@@ -17,8 +17,20 @@ from quorumscan.llm.common import written
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch: with Spark's 10,000 a task holds tens of megabytes of whole texts, several times over, in the JVM and in Python.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents go to Python workers in batches of ``BATCH_ROWS``, or of less where the session has less."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.5 for toxicity."""
+    small_batches(spark)
     model = toxicity.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
@@ -30,6 +42,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of fingerprints linked within three bits, the document with the smallest identifier."""
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -41,6 +54,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

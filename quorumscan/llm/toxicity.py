@@ -219,11 +219,9 @@ def drop_toxic(docs: DataFrame, model: SentenceModel, text_col: str = "text", th
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model.start()
         for batch in batches:
-            keep: list[bool] = []
-            column = batch.column(text_at)
             for at in range(0, batch.num_rows, SLICE_ROWS):
-                keep += [model.score(text or "")[0] < threshold for text in column.slice(at, SLICE_ROWS).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                part = batch.slice(at, SLICE_ROWS)
+                yield part.filter(pa.array([model.score(text or "")[0] < threshold for text in part.column(text_at).to_pylist()], pa.bool_()))
         model.rest()
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,8 +1,10 @@
 """Results that must not depend on bounds that the size of the input brings into play."""
 
+import pyarrow as pa
 import pytest
 from test_phrases_search_lm import ROWS, made_up, plain_scores, table
 
+import corpus_pipeline
 from quorumscan.llm import collocations, lm
 
 
@@ -50,3 +52,21 @@ def test_what_a_sketch_sends_follows_the_texts(spark, monkeypatch):
     # 22,000 words and pairs in rows of four million cells; no triple has a frequent pair.
     assert 0 < sizes[0] < 22_000 * 12
     assert not any(sizes[1:])
+
+
+def test_pipeline_stages_hand_small_batches_to_workers(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(k, "some words here") for k in range(20)], "doc_id long, text string")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    try:
+        corpus_pipeline.pack(spark, docs, "")
+        found = spark.range(3000).coalesce(1).mapInArrow(sizes, "n long").collect()
+        assert sum(r.n for r in found) == 3000
+        assert max(r.n for r in found) <= corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(name, before)
