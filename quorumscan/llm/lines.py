@@ -16,6 +16,7 @@ Main path: DataFrame and SQL functions only.
    some comparisons a line.  In bands that this leaves in several components, lines of different
    components meet in blocks of bounded size.  Their shingles' bitmaps there rule out every pair that
    differs in more bits than pairs that are similar enough can, so none is lost; pairs that pass are verified.
+   The bitmaps are made once for all candidates, and pairs with hubs are held against them first, too.
 5. Distributed union-find over the links; a component keeps its earliest line.
 
 Equal lines, however many, are pre-aggregated in each task; joins by line carry places, and the
@@ -95,13 +96,24 @@ def _sizes_fit(x: str, y: str, similarity: float) -> Column:
     return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y) - F.lit(1e-9)
 
 
+def _bits_fit(x: str, y: str, x_size: str, y_size: str, similarity: float) -> Column:
+    """False only where bitmaps, with columns of these prefixes, differ in more bits than those of sets that are similar enough can.
+
+    Two lines differ in a shingle at least for each bit in which their bitmaps differ, and similar ones
+    in (1 - similarity) / (1 + similarity) of the sum of their sizes at most.
+    """
+    differing = reduce(Column.__add__, (F.bit_count(F.col(f"{x}{w}").bitwiseXOR(F.col(f"{y}{w}"))) for w in range(WORDS)))
+    return differing <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(x_size) + F.col(y_size)) + F.lit(1e-9)
+
+
 def _links(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets are similar enough."""
 
     def side(key: str, line: str, size: str) -> DataFrame:
-        return texts.select(F.col("key").alias(key), F.col("line").alias(line), F.col("size").alias(size))
+        return texts.select(F.col("key").alias(key), F.col("line").alias(line), F.col("size").alias(size), *(F.col(f"w{w}").alias(f"{key}_w{w}") for w in range(WORDS)))
 
-    joined = pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b").filter(_sizes_fit("m", "n", similarity))
+    joined = pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b")
+    joined = joined.filter(_sizes_fit("m", "n", similarity)).filter(_bits_fit("a_w", "b_w", "m", "n", similarity))
     both = F.size(F.array_intersect(shingles("x", width), shingles("y", width)))
     return joined.filter(both * (1 + similarity) >= similarity * (F.col("m") + F.col("n")) - 1e-9).select("a", "b")
 
@@ -115,26 +127,22 @@ def _hub_pairs(members: DataFrame, hubs: int) -> DataFrame:
 
 def bitmaps(texts: DataFrame, width: int) -> DataFrame:
     """key and the words w0, w1, ... of a bitmap in which every shingle of the line sets one bit."""
-    every = exploded(texts, width, 1, "key").select("key", F.pmod("h0", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h0, 32), 64) AS int))").alias("bit"))
+    every = exploded(texts.repartition("key"), width, 1, "key").select("key", F.pmod("h0", F.lit(WORDS)).alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h0, 32), 64) AS int))").alias("bit"))
+    every = every.groupBy("key", "word").agg(F.bit_or("bit").alias("bit"))  # a column for each word only where there is a row for each word
     return every.groupBy("key").agg(*(F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)))
 
 
-def _block_pairs(members: DataFrame, groups: DataFrame, marked: DataFrame, texts: DataFrame, width: int, similarity: float, n_bands: int, block: int) -> DataFrame:
+def _block_pairs(members: DataFrame, groups: DataFrame, marked: DataFrame, texts: DataFrame, similarity: float, n_bands: int, block: int) -> DataFrame:
     """Pairs (a, b) of lines of different components that share a band and that the bitmaps do not rule out.
 
-    Two lines differ in a shingle at least for each bit in which their bitmaps differ, and similar ones
-    in (1 - similarity) / (1 + similarity) of the sum of their sizes at most.  The lines of a band are dealt out in blocks of
-    about ``block`` lines, and each block meets all of the band in a task of its own.
+    The lines of a band are dealt out in blocks of about ``block`` lines, and each block meets all of the band in a task of its own.
     A pair is made in the first band that it shares.
     """
     placed = members.join(groups, members["key"] == groups["node"], "left").select("band", "key", F.coalesce("component", "key").alias("group"))
     bands = placed.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     placed = written(placed.join(bands.filter("lo != hi").drop("lo", "hi"), "band"), "open-bands")
-    open_lines = placed.select("key").distinct()
-    maps = bitmaps(texts.join(open_lines, "key", "left_semi"), width)
     hashes = mark_members(marked.select("key", "bands"), placed, "key").filter("_member").drop("_member")
-    known = maps.join(hashes, "key").join(texts.select("key", "size"), "key")
-    rows = placed.join(known, "key")
+    rows = written(placed.join(hashes, "key").join(texts.drop("line"), "key"), "open-lines")
 
     def side(x: str, block_of: Column) -> DataFrame:
         names = ("key", "group", "size", "bands", *(f"w{w}" for w in range(WORDS)))
@@ -142,8 +150,7 @@ def _block_pairs(members: DataFrame, groups: DataFrame, marked: DataFrame, texts
 
     left = side("a", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     right = side("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    differing = reduce(Column.__add__, (F.bit_count(F.col(f"a_w{w}").bitwiseXOR(F.col(f"b_w{w}"))) for w in range(WORDS)))
-    near = differing <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("a_size") + F.col("b_size")) + F.lit(1e-9)
+    near = _bits_fit("a_w", "b_w", "a_size", "b_size", similarity)
     first = F.coalesce(*(F.when(F.get("a_bands", F.lit(b)) == F.get("b_bands", F.lit(b)), F.get("a_bands", F.lit(b))) for b in range(n_bands)))
     meet = (left["band"] == right["band"]) & (left["block"] == right["block"]) & (F.col("a_key") < F.col("b_key")) & (F.col("a_group") != F.col("b_group"))
     return left.join(right, meet & _sizes_fit("a_size", "b_size", similarity) & near & (first == left["band"])).select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
@@ -158,10 +165,11 @@ def line_components(lines: DataFrame, marked: DataFrame, width: int, similarity:
     keys = members.select("key").distinct()
     texts = mark_members(lines.select("key", "line"), members, "key").filter("_member").select("key", "line")
     texts = texts.groupBy("key").agg(F.first("line").alias("line")).join(keys, "key", "left_semi")
-    texts = written(texts.withColumn("size", F.size(shingles("line", width))), "candidate-lines")
+    texts = written(texts.withColumn("size", F.size(shingles("line", width))), "candidate-texts")
+    texts = written(texts.join(bitmaps(texts, width), "key"), "candidate-lines")
 
     groups = connected_components(_links(_hub_pairs(members, hubs), texts, width, similarity))
-    found = written(_links(_block_pairs(members, groups, marked, texts, width, similarity, n_bands, block), texts, width, similarity), "more-links")
+    found = written(_links(_block_pairs(members, groups, marked, texts, similarity, n_bands, block), texts, width, similarity), "more-links")
     if found.isEmpty():
         return groups
     return connected_components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))

@@ -104,3 +104,14 @@ def test_shingles_of_wide_characters(spark):
     for a in range(len(listed)):
         for b in range(a):
             assert len(found[a] & found[b]) == len(shingles(listed[a]) & shingles(listed[b]))
+
+
+def test_pairs_that_bitmaps_rule_out_are_not_verified(spark):
+    """Links look at the bitmaps first, so a wrong bitmap hides a pair, and a right one none."""
+    line = "a line of more than eight characters that is here twice"
+    texts = spark.createDataFrame([(1, line + " x"), (2, line + " y"), (3, line)], "key int, line string").withColumn("size", F.size(lines.shingles("line", 8)))
+    known = texts.join(lines.bitmaps(texts, 8), "key")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a int, b int")
+    assert sorted(map(tuple, lines._links(pairs, known, 8, 0.8).collect())) == [(1, 2), (1, 3), (2, 3)]
+    wrong = known.select("key", "line", "size", *(F.when(F.col("key") == 3, F.bitwise_not(F.col(f"w{w}"))).otherwise(F.col(f"w{w}")).alias(f"w{w}") for w in range(lines.WORDS)))
+    assert [tuple(r) for r in lines._links(pairs, wrong, 8, 0.8).collect()] == [(1, 2)]
