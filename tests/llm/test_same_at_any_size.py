@@ -23,6 +23,30 @@ def test_spread_words_have_the_same_model(spark, most):
         assert r.score == pytest.approx(want[r.doc_id][5], rel=1e-3, abs=1e-3)
 
 
+@pytest.mark.parametrize(("bits", "most"), [(0, 1 << 25), (5, 1 << 25), (5, 300), (8, 50)])
+def test_words_below_the_broadcasts_share_have_their_own_counts(spark, monkeypatch, bits, most):
+    monkeypatch.setattr(lm, "SHARE_BITS", bits)
+    rows = [(d, t) for d, t, _ in made_up(9, 300)] + [(1000 + k, f"first{k // 2} seen{k % 7} of w1 held{k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = plain_scores(rows)
+    found = lm.score_documents(docs, shard=500, parts=2, most=most).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
+        assert r.base_score == pytest.approx(want[r.doc_id][4])
+        assert r.score == pytest.approx(want[r.doc_id][5], rel=1e-3, abs=1e-3)
+
+
+def test_rare_words_on_odd_tables(spark, monkeypatch):
+    docs = table(spark, ROWS).repartition(3)
+
+    def scores(bits):
+        monkeypatch.setattr(lm, "SHARE_BITS", bits)
+        return sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs, shard=30_000, parts=1).collect()), key=repr)
+
+    assert scores(0) == scores(4) == scores(20)
+
+
 def test_spread_words_on_odd_tables(spark):
     docs = table(spark, ROWS).repartition(3)
 
