@@ -45,16 +45,47 @@ def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1.0 - _dots(x, y)
 
 
-def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differences of all rows, as ``geometry.cosine_difference`` has them; 1 where a vector is zero or null."""
+def _norms(rows: np.ndarray) -> np.ndarray:
+    """Lengths of all rows, squares added in the order of the vectors; NaN of null ones."""
+    out = np.zeros(len(rows))
+    for k in range(1, rows.shape[1]):
+        out += rows[:, k] * rows[:, k]
+    return np.sqrt(np.where(np.isnan(rows[:, 0]), np.nan, out))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    """The rows brought to length 1, as ``geometry.normalised`` has them; zero ones stay."""
+    size = _norms(rows)[:, None]
+    out = rows.copy()
+    out[:, 1:] /= np.where(size > 0, size, 1.0)
+    return out
+
+
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """``_apart`` of rows of length 1 (or 0, or null) where it is under the threshold, infinity elsewhere.
+
+    A product of matrices, right to far better than 1e-9, tells which pairs may be; their products are then added in order.
+    """
+    out = np.full((len(x), len(y)), np.inf)
+    with np.errstate(invalid="ignore"):
+        i, j = np.nonzero(1.0 - x[:, 1:] @ y[:, 1:].T < threshold + 1e-9)
+    same = x[i, 0] == y[j, 0]
+    i, j = i[same], j[same]
+    often = np.bincount(i, minlength=len(x))
+    total, product = np.zeros(len(i)), np.empty(len(i))
+    for left, right in zip(np.ascontiguousarray(x.T[1:]), np.ascontiguousarray(y.T[1:]), strict=True):
+        np.take(right, j, out=product, mode="clip")
+        product *= np.repeat(left, often)
+        total += product
+    d = 1.0 - total
+    d[~(d < threshold)] = np.inf
+    out[i, j] = d
+    return out
 
-    def norms(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows))
-        for k in range(1, rows.shape[1]):
-            out += rows[:, k] * rows[:, k]
-        return np.sqrt(np.where(np.isnan(rows[:, 0]), np.nan, out))
 
-    size = norms(x)[:, None] * norms(y)[None, :]
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differences of all rows, as ``geometry.cosine_difference`` has them; 1 where a vector is zero or null."""
+    size = _norms(x)[:, None] * _norms(y)[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         return 1.0 - np.where(size > 0, _dots(x, y) / size, 0.0)
 
@@ -199,6 +230,46 @@ def window_scope_counts(members: DataFrame, differences: DataFrame, threshold: f
     return every.join(out, [key, "k"], "left").select(key, "k", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+#: Windows in a row whose tracks' vectors go to one task together.
+ROW = 24
+
+
+def window_scope_counts_of_crops(members: DataFrame, crops: DataFrame, threshold: float, key: str = "video", most: int = MOST) -> DataFrame:
+    """(key, k, n) as ``window_scope_counts`` has it from the differences of ``crops`` (key, track_id, feature), ``k`` a number; no pair of tracks leaves a task.
+
+    A task gets the members of ``ROW`` windows of a key and the vector of each of their tracks once, and clusters one window after the other (see
+    ``linkage.clusters_of_vectors``); equal sets of tracks are clustered once.  Time grows with the square of a window's tracks, what is shuffled with their
+    number.  A window counts every track that has a crop.  Tracks of several crops need the median of their differences, which are made before.
+    """
+    rows = crops.select(key, "track_id", "feature").dropna(subset=[key, "track_id"])
+    tracks = rows.groupBy(key, "track_id").agg(F.count(F.lit(1)).alias("_crops"))
+    if (tracks.agg(F.max("_crops")).first()[0] or 1) > 1:
+        return window_scope_counts(members, crop_differences(rows, [key], below=threshold), threshold, key, most, tracks.select(key, "track_id"))
+    inside = members.select(key, "k", "track_id").join(rows.select(key, "track_id"), [key, "track_id"], "left_semi").withColumn("_row", F.floor(F.col("k") / ROW))
+    # Under names of their own: Spark does not cogroup a table with what was made of it.
+    vectors = inside.select(key, "_row", "track_id").distinct().join(rows, [key, "track_id"])
+    vectors = vectors.select(F.col(key).alias("_key"), F.col("_row").alias("_of"), F.col("track_id").alias("_track"), F.col("feature").alias("_x"))
+    kinds = dict(members.dtypes)
+
+    def count(part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("_track")
+        x = _unit(_matrix(own["_x"]))
+        at = np.searchsorted(own["_track"].to_numpy(), part["track_id"].to_numpy())
+        known: dict[bytes, int] = {}
+        found = []
+        for k, mine in part.assign(at=at).groupby("k")["at"]:
+            mine = np.unique(mine.to_numpy())
+            if (name := mine.tobytes()) not in known:
+                known[name] = int(linkage.clusters_of_vectors(x[mine], lambda a, b: _near(a, b, threshold)).max()) + 1
+            found.append((k, known[name]))
+        out = pd.DataFrame(found, columns=["k", "n"])
+        return out.assign(**{key: part[key].iloc[0] if len(part) else None})[[key, "k", "n"]]
+
+    out = inside.groupBy(key, "_row").cogroup(vectors.groupBy("_key", "_of")).applyInPandas(count, f"`{key}` {kinds[key]}, k {kinds['k']}, n long")
+    every = members.select(key, "k").distinct()
+    return every.join(out, [key, "k"], "left").select(key, "k", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def dense_labels(rows: DataFrame, key: str, raw: str, order: str) -> DataFrame:
     """``rows`` with label: raw labels numbered from 0 by first appearance in ``order``."""
     first = F.min(order).over(Window.partitionBy(key, raw))

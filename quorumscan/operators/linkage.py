@@ -11,10 +11,15 @@ pairs below it:
    pairs (difference, lower, higher) is total, so ties end as they do one by one.
 
 Only pairs below the threshold are needed; a pair that is missing is too far apart.
+
+``clusters_of_vectors`` clusters one set of vectors in one task without writing its pairs: by the rounds above over arrays.
+What it holds does not grow with the number of pairs: where there are too many, a round finds each cluster's nearest from the vectors, strip by strip.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +29,8 @@ from quorumscan.shared import settled
 
 #: Tracks of a group that one task clusters, by a matrix.
 MOST = 2048
+#: Where a task clusters vectors: clusters that end by a matrix, pairs under the threshold that it holds at a time, rows and columns of a tile.
+FEW, MOST_PAIRS, SIDE = 256, 1 << 24, 256
 
 
 def complete_linkage(matrix: np.ndarray, threshold: float) -> list[int]:
@@ -54,6 +61,118 @@ def complete_linkage(matrix: np.ndarray, threshold: float) -> list[int]:
     return [number.setdefault(int(c), len(number)) for c in cluster]
 
 
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _strips(x: np.ndarray, clusters: np.ndarray, near: Near, upper: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, first column, largest differences) of clusters, some rows of them at a time; with ``upper`` from the first row's own column on.
+
+    ``near`` has infinity for all that is not under the threshold.
+    """
+    order = np.argsort(clusters, kind="stable")
+    x, of = x[order], clusters[order]
+    begins = np.searchsorted(of, np.arange(of[-1] + 2))
+    single = len(begins) == len(x) + 1
+    a = 0
+    while a < len(begins) - 1:
+        b = max(a + 1, int(np.searchsorted(begins, begins[a] + SIDE, "right")) - 1)
+        low = a if upper else 0
+        out = np.full((b - a, len(begins) - 1 - low), -np.inf)
+        for r in range(begins[a], begins[b], SIDE):
+            rows = of[r : min(r + SIDE, begins[b])]
+            for c in range(begins[low], len(x), SIDE):
+                columns = of[c : c + SIDE]
+                d = near(x[r : r + len(rows)], x[c : c + SIDE])
+                if single:
+                    out[:, c - low : c - low + len(columns)] = d
+                    continue
+                for axis, names in enumerate((rows, columns)):
+                    d = np.maximum.reduceat(d, np.flatnonzero(np.diff(names, prepend=-1)), axis=axis)
+                part = out[rows[0] - a : rows[-1] + 1 - a, columns[0] - low : columns[-1] + 1 - low]
+                np.maximum(part, d, out=part)
+        yield a, low, out
+        a = b
+
+
+def _near_pairs(x: np.ndarray, clusters: np.ndarray, near: Near, most_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Pairs i < j of clusters that are near, in order, and their differences; None where there are too many."""
+    found, n = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))], 0
+    for a, low, d in _strips(x, clusters, near, True):
+        i, j = np.nonzero(d < np.inf)
+        upper = i + a < j + low
+        i, j = i[upper], j[upper]
+        n += len(i)
+        if n > most_pairs:
+            return None
+        found.append(((i + a).astype(np.int32), (j + low).astype(np.int32), d[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _merged_nearest(x: np.ndarray, clusters: np.ndarray, near: Near) -> np.ndarray:
+    """Clusters after those that are each other's nearest have merged, numbered by their lowest members."""
+    nearest = []
+    for a, _, d in _strips(x, clusters, near, False):
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
+        nearest.append(np.where(np.isinf(d.min(axis=1)), -1, d.argmin(axis=1)))
+    nearest = np.concatenate(nearest)
+    own = np.arange(len(nearest))
+    to = np.where((nearest >= 0) & (nearest[nearest] == own), np.minimum(own, nearest), own)
+    return np.unique(to[clusters], return_inverse=True)[1]
+
+
+def _merged_pairs(n: int, i: np.ndarray, j: np.ndarray, diff: np.ndarray, most: int) -> np.ndarray:
+    """The lowest member of each of ``n`` nodes' clusters, from pairs i < j in order: mutual nearest ones merge, then few that are left by a matrix."""
+    clusters = np.arange(n)
+    while len(i):
+        live = np.flatnonzero(np.bincount(i, minlength=n) + np.bincount(j, minlength=n))
+        if len(live) <= most:
+            matrix = np.full((len(live), len(live)), np.inf)
+            a, b = np.searchsorted(live, i), np.searchsorted(live, j)
+            matrix[a, b] = matrix[b, a] = diff
+            labels = np.array(complete_linkage(matrix, np.inf))
+            to = np.arange(n)
+            to[live] = live[np.unique(labels, return_index=True)[1][labels]]
+            return to[clusters]
+        order = np.argsort(diff, kind="stable")  # by difference, lower and higher
+        rank = np.full((2, n), len(order))
+        for k, end in enumerate((i, j)):
+            rank[k, end[order[::-1]]] = np.arange(len(order))[::-1]  # of a node's pairs the first one stays
+        rank = rank.min(axis=0)
+        best = order[np.unique(rank[live])]
+        best = best[rank[i[best]] == rank[j[best]]]
+        to, parts = np.arange(n), np.ones(n, np.int64)
+        to[j[best]] = i[best]
+        parts[i[best]] = 2
+        clusters = to[clusters]
+        # Merged clusters are near each other only if all their parts were, at the largest of their differences.
+        a, b = to[i], to[j]
+        key = np.minimum(a, b) * n + np.maximum(a, b)
+        order = np.argsort(key, kind="stable")
+        order = order[(a != b)[order]]
+        key = key[order]
+        begins = np.flatnonzero(np.diff(key, prepend=-1))
+        if not len(begins):
+            break
+        a, b = np.divmod(key[begins], n)
+        whole = np.diff(np.append(begins, len(key))) == parts[a] * parts[b]
+        i, j, diff = a[whole].astype(np.int32), b[whole].astype(np.int32), np.maximum.reduceat(diff[order], begins)[whole]
+    return clusters
+
+
+def clusters_of_vectors(x: np.ndarray, near: Near, most: int = FEW, most_pairs: int = MOST_PAIRS) -> np.ndarray:
+    """Cluster numbers of rows, by first appearance, as ``complete_linkage`` has them from a matrix.
+
+    ``near`` has the differences of two sets of rows that are under the threshold, and infinity elsewhere.
+    """
+    clusters = np.arange(len(x))
+    while len(x):
+        pairs = _near_pairs(x, clusters, near, most_pairs)
+        if pairs is not None:
+            return np.unique(_merged_pairs(int(clusters.max()) + 1, *pairs, most)[clusters], return_inverse=True)[1]
+        clusters = _merged_nearest(x, clusters, near)
+    return clusters
+
+
 def components(links: DataFrame, keys: list[str], most_rounds: int = 60) -> DataFrame:
     """(keys, node, component) of every node of the links (keys, i, j): the smallest node that it is linked to.
 

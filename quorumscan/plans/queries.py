@@ -269,7 +269,7 @@ def q21_window_scope_count(spark, sf_dir):
     users = domain.events(spark, sf_dir).select("video", F.floor(F.col("t") / 3600).cast("long").alias("k"), F.col("user_id").alias("track_id")).distinct()
     seen = users.select("video", "track_id").distinct()
     shown = vectors.join(seen, ["video", "track_id"], "left_semi")
-    return identity.window_scope_counts(users, identity.crop_differences(shown, ["video"], below=0.9), 0.9, known=identity.cropped(shown, ["video"]))
+    return identity.window_scope_counts_of_crops(users, shown, 0.9)
 
 
 BOXES = "SELECT l_orderkey AS frame, l_linenumber AS n, l_quantity AS x1, l_linenumber * 5.0 AS y1, l_quantity + 20 AS x2, l_linenumber * 5.0 + 20 AS y2, l_extendedprice AS score FROM lineitem"
